@@ -15,6 +15,7 @@ Spark knows will do: nothing is opened by path.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -32,7 +33,7 @@ MASK = 0xA282EAD8
 HEAD, PAYLOAD = struct.Struct("<QI"), struct.Struct("<BqI")
 #: Bytes of text for each file, so that a file is read at once by one task.
 FILE_BYTES = 24 << 20
-#: Pieces whose ids are kept in a task; beyond that the cache starts anew.
+#: Pieces whose ids a worker keeps, from task to task; the frequent ones come first, and later ones are encoded each time.
 CACHE = 600_000
 
 #: A word with the spaces and line ends before it. The pre-tokenizer always cuts between a non-space and one of the two,
@@ -81,30 +82,54 @@ class Encoder:
     """ids of whole texts. Words repeat, so the ids of each piece are kept; they come from the tokenizers library."""
 
     def __init__(self, path: str, end_id: int | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True  # in a text, their strings are ordinary text
-        self.kind = "<u4" if max(self.own.get_vocab_size(), (end_id or 0) + 1) > 65536 else "<u2"
+        vocab = self.own.get_vocab()
+        self.kind = "<u4" if max(*vocab.values(), end_id or 0) >= 65536 else "<u2"
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a token's letters stand for one byte each
+        for token, i in vocab.items():
+            self.bytes[i] = len(token)
         self.cache: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.own.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """All pieces as one text; a piece's ids end where its bytes do."""
+        ids = self._ids("".join(pieces))
+        at = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
+        data, ends = ids.tobytes(), (at * ids.itemsize).tolist()
+        return {p: data[s:e] for p, s, e in zip(pieces, [0, *ends], ends, strict=False)}
 
     def __call__(self, text: str) -> bytes:
         if OTHER_SPACE.search(text):
-            return self._ids(text) + self.end
+            return self._ids(text).tobytes() + self.end
         pieces, cache = PIECE.findall(text), self.cache
         try:
             return b"".join([cache[p] for p in pieces]) + self.end
         except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
-            new = list({p for p in pieces if p not in cache})
-            for p, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, self.kind).tobytes()
-            return b"".join([cache[p] for p in pieces]) + self.end
+            first, last = pieces[:1], pieces[-1:]  # one without a space before it, or of nothing but spaces, is encoded alone
+            alone = {p for p in first + last if p.isspace() or p[0] not in " \n"}
+            new = [p for p in dict.fromkeys(pieces) if p not in cache and p not in alone]
+            found = (self._new(new) if new else {}) | {p: self._ids(p).tobytes() for p in alone if p not in cache}
+            if len(cache) < CACHE:
+                cache |= found
+            return b"".join([found[p] if p in found else cache[p] for p in pieces]) + self.end
+
+
+_KEPT: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, end_id: int | None) -> Encoder:
+    """The worker's own, kept between tasks."""
+    if (path, end_id) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path, end_id] = Encoder(path, end_id)
+    return _KEPT[path, end_id]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
@@ -119,7 +144,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id)
         for batch in batches:
             out, held = [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
