@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.mixing import op1_mixing
 from tessera.llm.pii import op3_pii
 from tessera.llm.quality import op2_quality_rules
 from tessera.llm.token_files import op7_token_files
@@ -14,6 +15,7 @@ from tessera.llm.warc import op9_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_quality_rules": op2_quality_rules,
         "op3_pii": op3_pii,
         "op7_token_files": op7_token_files,
