@@ -116,16 +116,22 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def listed(kinds: tuple[str, ...], column: str = "pii") -> Column:
     """kind:start:end of each span, by kind and then start, joined by commas."""
-    each = [F.transform(F.col(f"{column}.{k}"), lambda x, k=k: F.concat_ws(":", F.lit(k), x["s"], x["e"])) for k in kinds]
-    return F.array_join(F.concat(*each), ",")
+
+    def of(kind: str) -> Column:
+        return F.transform(F.col(f"{column}.{kind}"), lambda x: F.concat_ws(":", F.lit(kind), x["s"], x["e"]))
+
+    return F.array_join(F.concat(*map(of, kinds)), ",")
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets. Overlapping spans become one, named after
     the first of them. Texts without spans, null and empty ones among them, stay as they are."""
     found = spans(docs, text)
-    each = [F.transform(F.col(f"pii.{k}"), lambda x, k=k: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{k.upper()}]").alias("m"))) for k in PATTERNS]
-    found = found.withColumn("_all", F.array_sort(F.concat(*each)))
+
+    def of(kind: str) -> Column:
+        return F.transform(F.col(f"pii.{kind}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("m")))
+
+    found = found.withColumn("_all", F.array_sort(F.concat(*map(of, PATTERNS))))
     t = F.col(text)
 
     def step(acc: Column, x: Column) -> Column:

@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from tessera.llm.mixing import op1_mixing
+from tessera.llm.ngram_join import op5_ngram_join
+from tessera.llm.packing import op6_best_fit_packing
 from tessera.llm.pii import op3_pii
 from tessera.llm.quality import op2_quality_rules
 from tessera.llm.token_files import op7_token_files
@@ -18,8 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_quality_rules": op2_quality_rules,
         "op3_pii": op3_pii,
+        "op5_ngram_join": op5_ngram_join,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_files": op7_token_files,
         "op9_warc": op9_warc,
+        "pipeline": corpus_pipeline.run,
     }
 
 
