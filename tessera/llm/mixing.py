@@ -89,7 +89,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     empty table. Columns that are not asked for are not read. Rows are dealt by source and block, so that a source with a
     third of all rows is spread like any other. Reruns agree, whatever the partitions: everything random is a hash.
     """
-    keep = [c for c in columns if c not in ("size", "source_size", "target", "taken", "draws", "_source", "_at", "_text_hash")]
+    keep = [c for c in columns if c not in ("size", "source_size", "target", "taken", "draws", "rest", "passes", "block", "before", "source_no", "n_blocks", "shards", "_source", "_name", "_at", "_text_hash", "_upto", "_times")]
     rows = docs.select(*keep, F.col("source").alias("_source"), n_words().alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("_at"), F.xxhash64("text").alias("_text_hash"))
     rows = stored(rows, "sizes")
     spark = docs.sparkSession
@@ -100,8 +100,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     plan = plan.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(float(block_words)), total / MAX_BLOCKS)))).withColumn("n_blocks", F.col("n_blocks").cast("int"))
     plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    plan = stored(plan, "plan")
-    rows = rows.join(small(plan), rows["_source"].eqNullSafe(plan["source"])).drop("source")
+    plan = stored(plan.withColumnRenamed("source", "_name"), "plan")
+    rows = rows.join(small(plan), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
     rows = rows.withColumn("block", F.pmod("_at", F.col("n_blocks").cast("long")))
 
     # blocks in permuted order, with the words before each

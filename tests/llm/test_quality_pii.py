@@ -39,7 +39,7 @@ def base_spans(text):
 ODD = [
     None, "", " \n\t ", "a b c d e " * 40, "one two", "x\ny z\nx\nx\n \n", "é" * 30000, "1" * 30000, "1 " * 9000, "a." * 9000 + "@" + "b." * 9000,
     "a@b.c_d@e.f g.@h.i a@b a@b.", "1.2.3.4.5.6.7.8 256.1.1.1 0255.00001.2.3 1.2.3 9.9.9.9", "4111 1111-1111 1111, 4111111111111112 41111111111111111111 1--4111111111111111",
-    "+1 (499) 555-6503 +1 2 +12345678901234567 ++49 89 1234567. +4 4", "𝄞𝄞 me@x.org 𝄞 10.0.0.1", "IBAN GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33", "ssn 123-45-6789 part 123-45-6789",
+    "+1 (499) 555-6503 +1 2 +12345678901234567 ++49 89 1234567. +4 4", "𝄞𝄞 me@x.org 𝄞 10.0.0.1", "IBAN GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33", "ssn 123-45-6789, " + "x" * 50 + " part 123-45-6789",
     'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "card 378282246310005",
 ]
 
