@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from tessera.llm.html_extract import op8_html_extraction
+from tessera.llm.licenses import op10_license_scan
 from tessera.llm.mixing import op1_mixing
 from tessera.llm.ngram_join import op5_ngram_join
 from tessera.llm.packing import op6_best_fit_packing
@@ -19,12 +21,14 @@ from tessera.llm.warc import op9_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_license_scan": op10_license_scan,
         "op1_mixing": op1_mixing,
         "op2_quality_rules": op2_quality_rules,
         "op3_pii": op3_pii,
         "op5_ngram_join": op5_ngram_join,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_files": op7_token_files,
+        "op8_html_extraction": op8_html_extraction,
         "op9_warc": op9_warc,
         "pipeline": corpus_pipeline.run,
     }
