@@ -10,6 +10,7 @@ import corpus_pipeline
 
 from tessera.llm.html_extract import op8_html_extraction
 from tessera.llm.licenses import op10_license_scan
+from tessera.llm.media import op4_media_columns
 from tessera.llm.mixing import op1_mixing
 from tessera.llm.ngram_join import op5_ngram_join
 from tessera.llm.packing import op6_best_fit_packing
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_quality_rules": op2_quality_rules,
         "op3_pii": op3_pii,
+        "op4_media_columns": op4_media_columns,
         "op5_ngram_join": op5_ngram_join,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_files": op7_token_files,
