@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import small, stored, table, whole
 from tessera.llm.graph import components
-from tessera.llm.shingles import WORDS, _mixed, shingle_sets
+from tessera.llm.shingles import shingle_sets
 
 #: A pair links when PARTS * intersection >= SHARE * union.
 SHARE, PARTS = 75, 100
@@ -36,6 +36,8 @@ FILTER_IDS = 1_000_000
 #: Bytes of text for each bucket of the index.
 BUCKET_BYTES = 8 << 20
 BLOCK = 256
+#: What a task holds at once: bytes of text, and shingles to be dealt out.
+SLICE_BYTES, HELD = 2 << 20, 1 << 20
 
 
 def least_common(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -52,26 +54,41 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """Row and set of each text of a batch (its last column, binary)."""
-    return enumerate(shingle_sets([x.as_py() for x in batch.column(batch.num_columns - 1)]))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about SLICE_BYTES of text (their last column, binary) each."""
+    for batch in batches:
+        size = np.diff(np.frombuffer(batch.columns[-1].buffers()[1], np.int32, batch.num_rows + 1, 4 * batch.columns[-1].offset)) if batch.num_rows else []
+        part = np.cumsum(size) // SLICE_BYTES if batch.num_rows else []
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0, 0]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(lo, hi - lo)
+
+
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The set of each text of a batch."""
+    return list(shingle_sets([x.as_py() for x in batch.columns[-1]]))
 
 
 def _distinct_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
-    found = {set_id(s): s for _, s in _sets(batch) if len(s)}
+    found = {set_id(s): s for s in _sets(batch) if len(s)}
     return np.fromiter(found, np.int64, len(found)), list(found.values())
 
 
+def least_hashes(s: np.ndarray) -> list[int]:
+    """The least shingle of each of KEYS equal ranges of hashes, as far as there is one."""
+    bounds = np.arange(KEYS, dtype=np.uint64) << np.uint64(64 - KEYS.bit_length() + 1)
+    at = np.searchsorted(s, bounds)
+    there = np.flatnonzero(at < np.append(at[1:], len(s)))
+    return s[at[there]].view(np.int64).tolist()
+
+
 def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, text_hash, sid, n and least hashes of each row."""
-    seeds = _mixed(np.arange(1, KEYS + 1, dtype=np.uint64))
-    for batch in batches:
-        sid, size, keys = [], [], []
-        for _, s in _sets(batch):
-            size.append(len(s))
-            sid.append(set_id(s) if len(s) else None)
-            keys.append([int(_mixed(s ^ k).min().view(np.int64)) for k in seeds] if len(s) else [])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "text_hash", "sid", "n", "keys"])
+    for batch in _slices(batches):
+        sets = _sets(batch)
+        sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+        keys = pa.array([least_hashes(s) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], sid, pa.array([len(s) for s in sets], pa.int64()), keys], ["id", "text_hash", "sid", "n", "keys"])
 
 
 def _blobs(bucket: np.ndarray, n_buckets: int, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -94,13 +111,22 @@ def _lowest(sets: list[np.ndarray], share: float) -> np.ndarray:
 
 def counting(n_buckets: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, c = np.unique(_lowest(_distinct_sets(batch)[1], 0.4), return_counts=True)
-            yield _blobs(_bucket(v, n_buckets), n_buckets, [v, c.astype(np.int32)])
+        held: list[np.ndarray] = []
+        for batch in _slices(batches):
+            held.append(_lowest(_distinct_sets(batch)[1], 0.4))
+            if sum(map(len, held)) >= HELD:
+                yield _counted(held, n_buckets)
+                held = []
+        yield _counted(held, n_buckets)
 
     return count
 
 
+def _counted(held: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
+    v, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+    return _blobs(_bucket(v, n_buckets), n_buckets, [v, c.astype(np.int32)])
+
+
 def frequent(part: pa.Table) -> pa.Table:
     v = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in part.column("c0")])
     c = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in part.column("c1")])
@@ -113,7 +139,8 @@ def indexing(n_buckets: int, common: np.ndarray) -> Callable:
     """Prefixes under the order (in common, hash)."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held: list[list[np.ndarray]] = []
+        for batch in _slices(batches):
             ids, sets = _distinct_sets(batch)
             if not sets:
                 continue
@@ -129,11 +156,21 @@ def indexing(n_buckets: int, common: np.ndarray) -> Callable:
             place = np.where(hot, np.repeat(cold, n) + hot_within, within - hot_within)
             kept = place < np.repeat(p, n)
             tokens = flat[kept]
-            yield _blobs(_bucket(tokens, n_buckets), n_buckets, [tokens, np.repeat(ids, n)[kept], np.repeat(n, n)[kept].astype(np.int32), place[kept].astype(np.int32)])
+            held.append([tokens, np.repeat(ids, n)[kept], np.repeat(n, n)[kept].astype(np.int32), place[kept].astype(np.int32)])
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield _indexed(held, n_buckets)
+                held = []
+        if held:
+            yield _indexed(held, n_buckets)
 
     return index
 
 
+def _indexed(held: list[list[np.ndarray]], n_buckets: int) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    return _blobs(_bucket(columns[0], n_buckets), n_buckets, columns)
+
+
 def shared(part: pa.Table) -> pa.Table:
     """Rows of a bucket whose shingle is in two sets at least."""
     token, sid, n, at = (np.concatenate([np.frombuffer(x.as_py(), k) for x in part.column(f"c{i}")]) for i, k in enumerate((np.uint64, np.int64, np.int32, np.int32)))
@@ -212,7 +249,7 @@ def summed(x: np.ndarray) -> np.ndarray:
 
 def fetching(wanted: np.ndarray | None) -> Callable:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, sets = _distinct_sets(batch)
             kept = np.isin(ids, wanted) if wanted is not None else np.ones(len(ids), bool)
             yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array([s.tobytes() for s, k in zip(sets, kept, strict=True) if k], pa.binary())], ["sid", "data"])
@@ -261,9 +298,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     nodes = stored(about.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
 
     # 1. hub links
-    keyed = nodes.select("sid", "n", F.posexplode("keys").alias("k", "key"))
-    hubs = keyed.groupBy("k", "key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("k", "sid").alias("h"), F.col("sid"), F.col("n"))).alias("hub")).where(f"m >= {GROUP}")
-    near = keyed.join(small(stored(hubs, "hubs")), ["k", "key"]).where(f"hub.sid <> sid AND {PARTS} * least(n, hub.n) >= {SHARE} * greatest(n, hub.n)")
+    keyed = nodes.select("sid", "n", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key", "sid").alias("h"), F.col("sid"), F.col("n"))).alias("hub")).where(f"m >= {GROUP}")
+    near = keyed.join(small(stored(hubs, "hubs")), "key").where(f"hub.sid <> sid AND {PARTS} * least(n, hub.n) >= {SHARE} * greatest(n, hub.n)")
     near = stored(near.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct(), "near")
     links = stored(verified(texts, near), "hub-links")
     roots = stored(components(links), "roots")

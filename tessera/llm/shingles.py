@@ -8,7 +8,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes hashed at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
