@@ -8,7 +8,8 @@ set that is similar enough, and so few of an inverted index's lists are needed:
  2. Index. Shingles of many sets come last in the order, so that a passage in very many documents is in few prefixes.
  3. Lists are cut into blocks by position. A block is skipped if even its best pair would have too small an
     intersection, and a list within one component is skipped whole.
- 4. The count of a pair's shared prefix shingles bounds its intersection; what passes is compared in full.
+ 4. Bitmaps of the sets bound what a pair can have in common; then the count of its shared prefix shingles does;
+    what passes is compared in full.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ FILTER_IDS = 1_000_000
 #: Bytes of text for each bucket of the index.
 BUCKET_BYTES = 8 << 20
 BLOCK = 256
+#: Classes of the bitmaps.
+BITS = 512
 #: What a task holds at once: bytes of text, and shingles to be dealt out.
-SLICE_BYTES, HELD = 2 << 20, 1 << 20
+SLICE_BYTES, HELD = 2 << 20, 1 << 19
 
 
 def least_common(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -82,13 +85,28 @@ def least_hashes(s: np.ndarray) -> list[int]:
     return s[at[there]].view(np.int64).tolist()
 
 
-def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text_hash, sid, n and least hashes of each row."""
-    for batch in _slices(batches):
-        sets = _sets(batch)
-        sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-        keys = pa.array([least_hashes(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], sid, pa.array([len(s) for s in sets], pa.int64()), keys], ["id", "text_hash", "sid", "n", "keys"])
+def parities(s: np.ndarray) -> bytes:
+    """For each of BITS classes of shingles, whether the set has an odd number of them. Two sets' bitmaps differ in no more
+    bits than the sets have shingles of their own."""
+    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def describing(common: np.ndarray) -> Callable:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """id, text_hash, sid, n, share of common shingles, least hashes and bitmap of each row."""
+        for batch in _slices(batches):
+            sets = _sets(batch)
+            n = np.array([len(s) for s in sets], np.int64)
+            hot = np.isin(np.concatenate(sets), common) if len(common) and sets else np.zeros(n.sum(), bool)
+            before = np.concatenate([[0], np.cumsum(hot)])
+            ends = np.cumsum(n)
+            share = 1000 * (before[ends] - before[ends - n]) // np.maximum(n, 1)
+            sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+            keys = pa.array([least_hashes(s) for s in sets], pa.list_(pa.int64()))
+            bits = pa.array([parities(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], sid, pa.array(n), pa.array(share.astype(np.int64)), keys, bits], ["id", "text_hash", "sid", "n", "share", "keys", "bits"])
+
+    return described
 
 
 def _blobs(bucket: np.ndarray, n_buckets: int, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -189,18 +207,23 @@ def shared(part: pa.Table) -> pa.Table:
 def pairs(part: pa.Table) -> pa.Table:
     """Pairs of sets of different components that share a shingle of a list and could be similar, with how many."""
     token, sid, n, at, root = (part.column(c).to_numpy() for c in ("token", "sid", "n", "at", "root"))
-    order = np.lexsort((at, token))
-    token, sid, n, at, root = token[order], sid[order], n[order].astype(np.int64), at[order].astype(np.int64), root[order]
+    bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(token), BITS // 64)
+    order = np.lexsort((at, root, token))
+    token, sid, n, at, root, bits = token[order], sid[order], n[order].astype(np.int64), at[order].astype(np.int64), root[order], bits[order]
     found: list[np.ndarray] = []
     held = 0
 
-    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        need = least_common(n[i], n[j])
-        most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
-        return (np.minimum(np.minimum(n[i], n[j]), most) >= need) & (root[i] != root[j])
-
     def keep(i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs i, j that no bound excludes."""
         nonlocal held
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        need = least_common(n[i], n[j])
+        most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+        ok = np.minimum(np.minimum(n[i], n[j]), most) >= need
+        i, j, need = i[ok], j[ok], need[ok]
+        ok = 2 * need + np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
+        i, j = i[ok], j[ok]
         swap = sid[i] > sid[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         found.append(np.stack([sid[i], sid[j], n[i], n[j], np.ones(len(i), np.int64)], 1))
@@ -216,22 +239,24 @@ def pairs(part: pa.Table) -> pa.Table:
         i = np.flatnonzero(short[:-d] & (token[:-d] == token[d:])) if d < len(token) else np.zeros(0, int)
         if not len(i):
             break
-        i = i[fits(i, i + d)]
         keep(i, i + d)
     for g in np.flatnonzero(size > 2 * COMMON):
         lo, hi = cuts[g], cuts[g + 1]
-        if (root[lo:hi] == root[lo]).all():
+        if root[lo] == root[hi - 1]:
             continue
-        for a in range(lo, hi, BLOCK):
-            x = np.arange(a, min(a + BLOCK, hi))
-            for b in range(a, hi, BLOCK):
-                y = np.arange(b, min(b + BLOCK, hi))
-                # places grow from block to block: at best, the largest later set loses what lies between the nearest two
-                if b > a and at[y[0]] - at[x[-1]] > n[y].max() - int(least_common(n[x].min(), n[y].min())):
+        blocks = [np.arange(a, min(a + BLOCK, hi)) for a in range(lo, hi, BLOCK)]
+        ranges = [(at[x].min(), at[x].max(), n[x].min(), n[x].max()) for x in blocks]
+        for a, x in enumerate(blocks):
+            for b in range(a, len(blocks)):
+                y = blocks[b]
+                if root[x[0]] == root[y[-1]]:
+                    continue
+                # at best, the largest set of the later block loses what lies between the nearest places of the two
+                gap, later = max((ranges[b][0] - ranges[a][1], b), (ranges[a][0] - ranges[b][1], a))
+                if gap > 0 and gap > ranges[later][3] - int(least_common(ranges[a][2], ranges[b][2])):
                     continue
                 i, j = (z.ravel() for z in np.meshgrid(x, y, indexing="ij"))
-                ok = fits(i, j) & (i < j)
-                keep(i[ok], j[ok])
+                keep(*((i[i < j], j[i < j]) if a == b else (i, j)))
     out = summed(np.concatenate(found)) if found else np.zeros((0, 5), np.int64)
     return pa.table({c: out[:, k] for k, c in enumerate(("a", "b", "n_a", "n_b", "shared"))})
 
@@ -291,28 +316,33 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), whole(text_col).cast("binary").alias("text"))
-    about = stored(rows.mapInArrow(described, "id long, text_hash long, sid long, n long, keys array<long>"), "about")
     texts = rows.select("text")
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    nodes = stored(about.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-
-    # 1. hub links
-    keyed = nodes.select("sid", "n", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key", "sid").alias("h"), F.col("sid"), F.col("n"))).alias("hub")).where(f"m >= {GROUP}")
+    counts = texts.mapInArrow(counting(buckets), "bucket int, c0 binary, c1 binary").groupBy("bucket").applyInArrow(frequent, "token long, n long")
+    common = np.sort(np.array([r.token for r in counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
+    about = stored(rows.mapInArrow(describing(common), "id long, text_hash long, sid long, n long, share long, keys array<long>, bits binary"), "about")
+    firsts = [F.first(c).alias(c) for c in ("n", "share", "keys", "bits")]
+    nodes = stored(about.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), *firsts), "nodes")
+
+    # 1. hub links: to the member of a group with the largest share of common shingles, and to any one
+    keyed = nodes.select("sid", "n", "share", F.explode("keys").alias("key"))
+    order = F.xxhash64("key", "sid").alias("h")
+    hub = [F.max(F.struct("share", order, "sid", "n")).alias("x"), F.min(F.struct(order, "sid", "n")).alias("y")]
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("m"), *hub).where(f"m >= {GROUP}")
+    hubs = hubs.select("key", F.explode(F.array(F.struct("x.sid", "x.n"), F.struct("y.sid", "y.n"))).alias("hub"))
     near = keyed.join(small(stored(hubs, "hubs")), "key").where(f"hub.sid <> sid AND {PARTS} * least(n, hub.n) >= {SHARE} * greatest(n, hub.n)")
     near = stored(near.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct(), "near")
     links = stored(verified(texts, near), "hub-links")
     roots = stored(components(links), "roots")
 
     # 2. index
-    counts = texts.mapInArrow(counting(buckets), "bucket int, c0 binary, c1 binary").groupBy("bucket").applyInArrow(frequent, "token long, n long")
-    common = np.sort(np.array([r.token for r in counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
     index = texts.mapInArrow(indexing(buckets, common), "bucket int, c0 binary, c1 binary, c2 binary, c3 binary").groupBy("bucket").applyInArrow(shared, "token long, sid long, n int, at int")
     index = stored(index, "index")
 
     # 3. lists, 4. pairs
-    lists = index.join(small(roots.select(F.col("node").alias("sid"), "root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    lists = index.join(small(nodes.select("sid", "bits")), "sid")
+    lists = lists.join(small(roots.select(F.col("node").alias("sid"), "root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     found = lists.groupBy(F.pmod("token", F.lit(buckets)).alias("bucket")).applyInArrow(pairs, "a long, b long, n_a long, n_b long, shared long")
     found = found.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     rest = f"greatest(({SHARE} * n_a + {PARTS - 1}) div {PARTS}, ({SHARE} * n_b + {PARTS - 1}) div {PARTS}) - 1"
