@@ -27,6 +27,8 @@ FILTERS = [(k % 4, 5 * k % 9, 2 + k % 3, 2 + 2 * (k * 7 % 4)) for k in range(16)
 CUTS = (-0.25, 0.0, 0.25)
 #: An alignment needs so many equal integers at its offset, so many frames of overlap, and at most such a share of wrong bits.
 VOTES, OVERLAP, BIT_ERRORS = 4, 8, 0.15
+#: Recordings that a task holds at once.
+ROWS = 256
 #: Query integers that are broadcast, at most (24 bytes each).
 PROBES = 1_000_000
 
@@ -101,9 +103,16 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ROWS rows at a time: audio is large."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, audio, gives way to n_frames and fp."""
-    for batch in batches:
+    for batch in parts(batches):
         frames, items = [], []
         for x in batch.column(batch.num_columns - 1):
             s = samples_of(x.as_py())
@@ -148,7 +157,7 @@ def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Audio for the last column, a text: a note of HOP samples for each word, its pitch by the word's hash."""
     t = np.arange(HOP) / RATE
     notes = [(9000 * np.sin(2 * np.pi * 220 * 2 ** (k / CLASSES) * t)).astype("<i2") for k in range(2 * CLASSES)]
-    for batch in batches:
+    for batch in parts(batches):
         out = []
         for x in batch.column(batch.num_columns - 1):
             own = [notes[hashlib.blake2b(w.encode(), digest_size=1).digest()[0] % len(notes)] for w in (x.as_py() or "").split()]
