@@ -62,13 +62,13 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 found = list(zip(*fastq_records(text or ""), strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in found], ["name", "comment", "seq", "qual"])
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(parse, SEQUENCE)
+    return spark.read.text(path, wholetext=True).mapInArrow(parse, SEQUENCE)
 
 
 def read_file_list(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(path, document number from 0) of each line of a file list, checked. A list is a small file of names."""
     found = []
-    for n, line in enumerate(r.value for r in spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", "\n")).alias("value")).collect()):
+    for n, line in enumerate(r.value for r in spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n")).alias("value")).collect()):
         words = line.split()
         if not words:
             continue
@@ -115,5 +115,5 @@ def read_doc_taxa(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (line number from 0), label."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     return lines.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+\z", ""), "\n")).alias("doc_id", "label"))
