@@ -12,7 +12,8 @@ LISTED = "select b.item_id, d.doc_id, d.lang, d.source from benchmark b join doc
 # seeds of 12 characters: benchmark passages in documents
 SEEDS = (
     "rk as (select item_id r, p, substr(text, p + 1, 12) m from benchmark, unnest(range(0, length(text) - 11)) as a(p))",
-    "dk as (select doc_id d, p as q, substr(text, p + 1, 12) m from documents, unnest(range(0, length(text) - 11)) as a(p) where substr(text, p + 1, 12) in (select m from rk))",
+    "dc as (select doc_id d, o, substr(text, o + 1, 211) t from documents, unnest(range(0, length(text), 200)) as c(o))",
+    "dk as (select d, o + p as q, substr(t, p + 1, 12) m from dc, unnest(range(0, least(200, length(t) - 11))) as a(p))",
     "hits as (select r, d, q - p as diag, p from rk join dk using (m))",
     "marked as (select *, p - row_number() over (partition by r, d, diag order by p) g from hits)",
     "isl as (select r, d, diag, min(p) s, max(p) + 11 e from marked group by r, d, diag, g)",
