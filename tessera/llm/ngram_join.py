@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import small, stored, table, whole
+from tessera.llm._common import arrow_rows, small, stored, table, whole
 from tessera.llm.graph import components
 from tessera.llm.shingles import shingle_sets
 
@@ -35,10 +35,14 @@ KEYS, GROUP = 8, 8
 #: Node ids that are sent to each task as a filter, at most (8 bytes each); beyond that a join does it.
 FILTER_IDS = 1_000_000
 #: Bytes of text for each bucket of the index.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 BLOCK = 256
+#: Rows of lists that a task compares, about: a pair's shared shingles are counted within a task first.
+LIST_ROWS = 200_000
 #: Classes of the bitmaps.
 BITS = 512
+#: Rows that a task in Python gets at once.
+ROWS = 1000
 #: What a task holds at once: bytes of text, and shingles to be dealt out.
 SLICE_BYTES, HELD = 2 << 20, 1 << 19
 
@@ -314,6 +318,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     shingle have one shingle. Repeated rows link like any copies. A null id is no candidate for `component`, which is
     null where no row of the component has an id. Other columns are not read. An empty table gives an empty table.
     """
+    with arrow_rows(docs.sparkSession, ROWS):
+        return _linked(docs, id_col, text_col)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), whole(text_col).cast("binary").alias("text"))
     texts = rows.select("text")
@@ -343,7 +352,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # 3. lists, 4. pairs
     lists = index.join(small(nodes.select("sid", "bits")), "sid")
     lists = lists.join(small(roots.select(F.col("node").alias("sid"), "root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    found = lists.groupBy(F.pmod("token", F.lit(buckets)).alias("bucket")).applyInArrow(pairs, "a long, b long, n_a long, n_b long, shared long")
+    parts = max(12, -(-index.count() // LIST_ROWS))
+    found = lists.groupBy(F.pmod(F.xxhash64("token"), F.lit(parts)).alias("bucket")).applyInArrow(pairs, "a long, b long, n_a long, n_b long, shared long")
     found = found.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     rest = f"greatest(({SHARE} * n_a + {PARTS - 1}) div {PARTS}, ({SHARE} * n_b + {PARTS - 1}) div {PARTS}) - 1"
     need = f"({SHARE} * (n_a + n_b) + {PARTS + SHARE - 1}) div {PARTS + SHARE}"
