@@ -31,10 +31,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """The file system deletes path when the driver ends."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again. Cuts the lineage: a lost executor costs no recomputation."""
+    """df, written as a table in the shared folder and read again. Cuts the lineage: a lost executor costs no recomputation.
+    The table goes when the driver ends."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

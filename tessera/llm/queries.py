@@ -36,5 +36,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+NGRAM_JOIN = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from w)),
+n as (select doc_id, count(*) n from sh group by doc_id),
+pairs as (select a.doc_id x, b.doc_id y, count(*) c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+both_ as (select x, y from links union all select y, x from links),
+reach as (select x, y from both_ union select reach.x, both_.y from reach join both_ on both_.x = reach.y)
+select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) component_id
+from documents d left join n using (doc_id) left join reach r on r.x = d.doc_id group by d.doc_id, n.n
+"""
+
+WARC = """
+with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) x from pages),
+m as (select x, max(page_id) last from p group by x)
+select page_id, cast(octet_length(encode(h)) as bigint) payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((cast('0x' || substr(p.x, cast(1 + 10 * (i // 8) as int), 10) as bigint) >> cast(35 - 5 * (i % 8) as int)) & 31) as int), 1)), '') payload_digest,
+  case when page_id = last then 'response' else 'revisit' end record_type, case when page_id <> last then last end refers_to
+from p join m using (x)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; the others are tested against brute force."""
+    return {"op5_ngram_join": NGRAM_JOIN, "op9_warc": WARC}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm._common import new_path, small, whole
+from tessera.llm._common import new_path, small, until_exit, whole
 
 MASK = 0xA282EAD8
 HEAD, PAYLOAD = struct.Struct("<QI"), struct.Struct("<BqI")
@@ -206,4 +206,6 @@ def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
     rows = token_table(index_tokens(spark, path, f"{path}-index"))
+    for x in (path, f"{path}-index"):
+        until_exit(spark, x)
     return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32", "file", "offset", "length")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import new_path, small, stored, table
+from tessera.llm._common import new_path, small, stored, table, until_exit
 
 DICTIONARY, TRAILER = 0x184D2A5D, 0x184D2A50
 #: Records of an archive that its dictionary is built from, at most: so many bytes.
@@ -179,4 +179,5 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path)
+    until_exit(spark, path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
