@@ -26,9 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again; cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read again; cuts the lineage. The table goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
