@@ -44,6 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than there are: texts are short to move and long to search."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def dna(text: str = "text") -> Column:
     """The letters A, C, G and T of a text, upper case."""
     return F.upper(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^ACGTacgt]", ""))
@@ -55,7 +61,7 @@ def kmers(df: DataFrame, seq: str, k: int, pos: str = "pos", kmer: str = "kmer")
     starts = F.expr(f"CASE WHEN length({seq}) >= {k} THEN sequence(0, length({seq}) - {k}, {CHUNK}) ELSE cast(array() AS array<int>) END")
     cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col(seq), i + 1, F.lit(CHUNK + k - 1)).alias("part")))
     rest = [c for c in df.columns if c != seq]
-    chunks = df.select(*rest, F.explode(cut).alias("_c")).select(*rest, "_c.at", "_c.part")
+    chunks = spread(df).select(*rest, F.explode(cut).alias("_c")).select(*rest, "_c.at", "_c.part")
     each = F.transform(F.expr(f"sequence(1, length(part) - {k - 1})"), lambda i: F.struct((F.col("at") + i - 1).alias(pos), F.substring(F.col("part"), i, F.lit(k)).alias(kmer)))
     return chunks.select(*rest, F.explode(each).alias("_k")).select(*rest, f"_k.{pos}", f"_k.{kmer}")
 

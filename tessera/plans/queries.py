@@ -15,7 +15,7 @@ from tessera.operators import matching as M
 from tessera.operators import profiles as P
 from tessera.operators import taxonomy as X
 from tessera.operators import voting as V
-from tessera.plans.common import dna, listed, numbered, stored, table
+from tessera.plans.common import dna, listed, numbered, spread, stored, table
 from tessera.sources.listings import parse_lines
 
 
@@ -25,7 +25,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def benchmark(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +130,7 @@ def _probe(found: bool) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _dna_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", dna().alias("seq"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", dna().alias("seq"))
 
 
 def minimizer_digest_lex(spark: SparkSession, sf: str) -> DataFrame:
