@@ -42,9 +42,9 @@ LIST_ROWS = 200_000
 #: Classes of the bitmaps.
 BITS = 512
 #: Rows that a task in Python gets at once.
-ROWS = 1000
+ROWS = 500
 #: What a task holds at once: bytes of text, and shingles to be dealt out.
-SLICE_BYTES, HELD = 2 << 20, 1 << 19
+SLICE_BYTES, HELD = 1 << 20, 1 << 18
 
 
 def least_common(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
