@@ -47,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files give fewer partitions than there are: texts are short to move and long to search."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
 
 
 def dna(text: str = "text") -> Column:
