@@ -1,14 +1,15 @@
 """Main text of web pages by template deduction.
 
 A page is a series of tokens: tags with their path and the text of its blocks. Tokens that occur equally often in the same
-pages of a host form an equivalence class. Large classes in enough of a host's pages are valid; nested in each other they
-are the host's template: text in them is boilerplate, and what lies between their tokens are slots. The main text is what
-the slots hold inside the article's container, without what is never part of an article: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments.
+pages of a host form an equivalence class. A class is valid if enough pages share it, it has tags and texts, its tokens come
+in one order, its spans nest with those of other classes, and content that differs by page lies between its tokens. Valid
+classes are the template of the pages that share them: their text is boilerplate, and what lies between is in slots. The
+main text is what the slots hold inside the article's container, without what is never part of an article: menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, comments. Text in an article element is kept also where pages share it.
 
 A class is found by its occurrence vector's fingerprint: for each token the exclusive or of a hash of (page, count). It is
 the same for tokens with the same vector, and pre-aggregates in each task, so that a host with a third of all pages costs
-no more than others and no vector is ever gathered.
+no more than others and no vector is ever gathered. Equal pages of a host are one page and have one vote.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 from urllib.parse import urlsplit
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import BROADCAST_ROWS, stored, table
 
-#: A class is valid if at least so many pages of a host, and such a share of them, have its tokens, and it has so many tokens.
-MIN_PAGES, MIN_SHARE, MIN_TOKENS = 4, 0.3, 4
+#: A class is valid if at least so many different pages of a host have its tokens, and it has so many tokens.
+MIN_PAGES, MIN_TOKENS = 4, 4
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -51,28 +52,26 @@ ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|content|main|m
 
 
 class Block:
-    __slots__ = ("path", "text", "out", "article", "linked")
+    __slots__ = ("path", "text", "out", "article", "element")
 
-    def __init__(self, path: str, text: str, out: bool, article: bool, linked: int):
-        self.path, self.text, self.out, self.article, self.linked = path, text, out, article, linked
+    def __init__(self, path: str, text: str, out: bool, article: bool, element: bool):
+        self.path, self.text, self.out, self.article, self.element = path, text, out, article, element
 
 
-def blocks(html: str) -> tuple[list[Block], list[str]]:
-    """The text blocks of a page in order, and the paths of its tags. Takes time linear in the page and the depth of its
+def blocks(html: str) -> list[Block | str]:
+    """The text blocks of a page and the paths of its tags, in order. Takes time linear in the page and the depth of its
     elements; any text is a page, closed and well nested or not."""
-    found: list[Block] = []
-    tags: list[str] = []
-    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]  # name, out, in an article, path
+    found: list[Block | str] = []
+    stack: list[tuple[str, bool, bool, bool, str]] = [("", False, False, False, "")]  # name, out, in an article, in an article element, path
     held: list[str] = []
-    links = anchors = 0
 
     def flush() -> None:
-        nonlocal held, links
+        nonlocal held
         text = " ".join(unescape("".join(held)).split())
         if text:
-            _, out, article, path = stack[-1]
-            found.append(Block(path, text, out, article, links))
-        held, links = [], 0
+            _, out, article, element, path = stack[-1]
+            found.append(Block(path, text, out, article, element))
+        held = []
 
     def close(upto: int) -> None:
         del stack[upto:]
@@ -84,8 +83,6 @@ def blocks(html: str) -> tuple[list[Block], list[str]]:
             start = end
         if start > at:
             held.append(html[at:start])
-            if anchors:
-                links += start - at
         if start == end:
             break
         m = TOKEN.match(html, start)
@@ -101,8 +98,6 @@ def blocks(html: str) -> tuple[list[Block], list[str]]:
             continue
         name = m[2].lower()
         if m[1]:
-            if name == "a":
-                anchors = max(0, anchors - 1)
             if name in INLINE:
                 continue
             flush()
@@ -111,13 +106,11 @@ def blocks(html: str) -> tuple[list[Block], list[str]]:
                     close(k)
                     break
             continue
-        if name == "a":
-            anchors += 1
         if name in INLINE:
             continue
         flush()
         if name in RAW:
-            tags.append(f"{stack[-1][3]}>{name}")
+            found.append(f"{stack[-1][-1]}>{name}")
             done = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             at = done.end() if done else end
             continue
@@ -144,7 +137,7 @@ def blocks(html: str) -> tuple[list[Block], list[str]]:
                     close(k)
         own = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
         marks = " ".join(own[k] for k in ("class", "id", "role") if k in own)
-        _, out, article, path = stack[-1]
+        _, out, article, element, path = stack[-1]
         path = f"{path}>{name}{'.' + own['class'] if own.get('class') else ''}" if len(path) < 400 else path
         page_header = name == "header" and not article
         hidden = "hidden" in own or "display:none" in own.get("style", "").replace(" ", "") or own.get("aria-hidden") == "true"
@@ -154,11 +147,12 @@ def blocks(html: str) -> tuple[list[Block], list[str]]:
             if any(not (article and m[1].lower() == "header") for m in NOT_ARTICLE.finditer(WITHOUT.sub("", marks))):
                 out = True
         article = article or (not out and (name in ("article", "main") or own.get("role") == "main" or own.get("itemprop") == "articleBody" or bool(marks) and name in ("div", "section") and bool(ARTICLE.search(marks))))
-        tags.append(path)
+        element = element or (not out and (name == "article" or own.get("itemprop") == "articleBody"))
+        found.append(path)
         if not m[0].endswith("/>") or name in SCOPES or name == "p":
-            stack.append((name, out, article, path))
+            stack.append((name, out, article, element, path))
     flush()
-    return found, tags
+    return found
 
 
 def host(url: str | None) -> str:
@@ -172,89 +166,188 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def page_tokens(html: str) -> Counter:
-    """Occurrences of each token: (hash, whether text)."""
-    found, tags = blocks(html)
-    return Counter([(_hash("t", p), False) for p in tags] + [(_hash("x", b.path, b.text), True) for b in found if not b.article])
+def token(x: Block | str) -> int:
+    """The lowest bit tells texts from tags."""
+    return _hash("t", x) & ~1 if isinstance(x, str) else _hash("x", x.path, x.text) | 1
 
 
-def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each host's tokens in a batch: pages, and the fingerprint of the occurrence vector."""
+def page_tokens(html: str) -> list[int]:
+    """The tokens of a page in order."""
+    found = blocks(html)
+    tags = {x: token(x) for x in {x for x in found if isinstance(x, str)}}
+    return [tags[x] if isinstance(x, str) else token(x) for x in found]
+
+
+def series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, digest and tokens of each page (url, html)."""
     for batch in batches:
-        own: dict[tuple[str, int, bool], list[int]] = {}
-        pages: Counter = Counter()
-        for key, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            name = host(url)
-            pages[name] += 1
-            for (token, is_text), n in page_tokens(html).items():
-                x = own.setdefault((name, token, is_text), [0, 0])
-                x[0] += 1
-                x[1] ^= _hash(str(key), str(n))
-        for name, n in pages.items():
-            own[name, 0, False] = [n, 0]
-        rows = [(h, t, x, n, v) for (h, t, x), (n, v) in own.items() if n > 0]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "token", "is_text", "pages", "vector"])
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """host, token: texts of each host's template, for hosts and tokens whose class is valid. pages: key, url, html."""
-    found = pages.mapInArrow(occurrences, "host string, token long, is_text boolean, pages long, vector long")
-    token = found.groupBy("host", "token", "is_text").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector")).where(f"pages >= {MIN_PAGES} OR token = 0")
-    token = stored(token, "occurrences")
-    total = token.where("token = 0 AND NOT is_text").select("host", F.col("pages").alias("total"))
-    valid = token.where("token <> 0").groupBy("host", "vector", "pages").agg(F.count("*").alias("size"), F.max("is_text").alias("texts")).join(total, "host")
-    valid = valid.where(f"texts AND size >= {MIN_TOKENS} AND pages >= {MIN_SHARE} * total").select("host", "vector", "pages")
-    return token.where("is_text").join(valid, ["host", "vector", "pages"]).select("host", "token")
-
-
-def main_text(html: str, template: set[int] | frozenset = frozenset()) -> str:
-    """Blocks of the slots: those of the article's container, else those outside links and templates."""
-    found, _ = blocks(html)
-    inside = [b for b in found if not b.out]
-    own = [b for b in inside if b.article]
-    if not own:
-        own = [b for b in inside if _hash("x", b.path, b.text) not in template and 2 * b.linked <= len(b.text)]
-    return " ".join(b.text for b in own)
-
-
-def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages (page_id, url, html).
+        urls, htmls = (c.to_pylist() for c in batch.columns)
+        cols = [pa.array([host(u) for u in urls], pa.string()), pa.array([_hash(u or "", h) for u, h in zip(urls, htmls, strict=True)], pa.int64()), pa.array([page_tokens(h) for h in htmls], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["host", "digest", "tokens"])
 
-    Null or empty html gives an empty text; a null or odd url is of the host "". Repeated rows and null ids are rows like
-    any other; other columns are not read; an empty table gives an empty table. Whole pages at any length.
-    """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = rows.select(F.xxhash64("page_id", "html").alias("key"), "url", "html")
-    template = stored(templates(keyed), "templates")
-    few = template.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    schema = "page_id long, url string, text string, n_chars long"
 
-    def output(ids: list, urls: list, texts: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "host" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
 
-    if few:
-        by_host: dict[str, set[int]] = {}
-        for r in template.collect():  # its size has been checked
-            by_host.setdefault(r.host, set()).add(r.token)
+
+def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each host's tokens in a batch: pages, and the fingerprint of the occurrence vector."""
+    for batch in batches:
+        own: dict[tuple[str, int], list[int]] = {}
+        for name, digest, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            marks: dict[int, int] = {}
+            for t, n in Counter(tokens).items():
+                x = own.setdefault((name, t), [0, 0])
+                x[0] += 1
+                if n not in marks:
+                    marks[n] = _hash(str(digest), str(n))
+                x[1] ^= marks[n]
+        yield _batch([(h, t, n, v) for (h, t), (n, v) in own.items()], ["host", "token", "pages", "vector"])
+
+
+#: Of a token of a class: class, its number of tokens, its pages.
+Member = tuple[int, int, int]
+
+
+def ranks(pages: list[tuple[str, list[int], dict[int, Member]]]) -> list[tuple]:
+    """host, token, least and greatest rank of the token in its class, over pages (host, tokens, members)."""
+    found: dict[tuple[str, int], list[int]] = {}
+    for name, tokens, members in pages:
+        seen: dict[int, int] = {}
+        for t in tokens:
+            m = members.get(t)
+            if m:
+                k = seen.get(m[0], 0)
+                seen[m[0]] = k + 1
+                x = found.setdefault((name, t), [k % m[1], k % m[1]])
+                x[0], x[1] = min(x[0], k % m[1]), max(x[1], k % m[1])
+    return [(*k, *x) for k, x in found.items()]
+
+
+def spans(pages: list[tuple[str, list[int], dict[int, Member]]]) -> list[tuple]:
+    """host, class, least and greatest digest of the texts between its tokens, and 1 if its spans cross those of a class
+    with more pages, over pages (host, tokens, members)."""
+    found: dict[tuple[str, int], list[int]] = {}
+    for name, tokens, members in pages:
+        open_: list[int] = []  # classes, the innermost last
+        about: dict[int, Member] = {}
+        at: dict[int, int] = {}
+        first: dict[int, int] = {}
+        last: dict[int, int] = {}
+        own: dict[int, int] = {}
+        crossed: set[int] = set()
+        total = 0
+        for t in tokens:
+            m = members.get(t)
+            if m:
+                c = m[0]
+                about[c] = m
+                first.setdefault(c, total)
+                k = at.get(c, 0)
+                at[c] = (k + 1) % m[1]
+                if c not in crossed:
+                    if not k:
+                        open_.append(c)
+                    while open_ and c in open_ and open_[-1] != c:
+                        above = open_[-1]
+                        if (about[above][2], about[above][1], above) > (m[2], m[1], c):
+                            crossed.add(c)
+                            open_.remove(c)
+                        else:
+                            crossed.add(above)
+                            open_.pop()
+                    if open_ and open_[-1] == c and k == m[1] - 1:
+                        open_.pop()
+            if t & 1:
+                total += t * t + t  # a sum of hashes does not depend on the order
+            if m:
+                if t & 1:
+                    own[m[0]] = own.get(m[0], 0) + t * t + t
+                last[m[0]] = total
+        for c in about:
+            between = (last[c] - first[c] - own.get(c, 0)) & (1 << 62) - 1
+            x = found.setdefault((name, c), [between, between, 0])
+            x[0], x[1], x[2] = min(x[0], between), max(x[1], between), x[2] | (c in crossed)
+    return [(*k, *x) for k, x in found.items()]
+
+
+def beside(pages: DataFrame, members: DataFrame, limit: int, work: Callable[[list[tuple]], pa.RecordBatch], schema: str) -> DataFrame:
+    """work over the rows of pages (host first), each with its host's members (host, token, others) as a dictionary. Up to
+    `limit` members go to every task; beyond that they are joined by the same host."""
+    columns = members.columns[1:]
+    if members.limit(limit + 1).count() <= limit:
+        by_host: dict[str, dict[int, tuple]] = {}
+        for r in members.collect():  # its size has been checked
+            by_host.setdefault(r[0], {})[r[1]] = tuple(r[2:])
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, urls, htmls = (c.to_pylist() for c in batch.columns)
-                yield output(ids, urls, [main_text(h, by_host.get(host(u), frozenset())) for u, h in zip(urls, htmls, strict=True)])
+                yield work([(*r, by_host.get(r[0], {})) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
 
-        return rows.mapInArrow(read, schema)
+        return pages.mapInArrow(read, schema)
 
     def read_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, urls, htmls, tokens = (c.to_pylist() for c in batch.columns)
-            yield output(ids, urls, [main_text(h, frozenset(t or ())) for h, t in zip(htmls, tokens, strict=True)])
+            yield work([(*r[:-1], {m[columns[0]]: tuple(m[c] for c in columns[1:]) for m in r[-1] or ()}) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+
+    # a host's members are no more than its pages' tokens
+    sets = members.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("members"))
+    return pages.join(sets, "host", "left").select(*pages.columns, "members").mapInArrow(read_joined, schema)
+
+
+def templates(pages: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """host, token: texts of each host's template, for hosts and tokens whose class is valid. pages: url, html."""
+    found = pages.select("url", "html").mapInArrow(series, "host string, digest long, tokens array<long>")
+    once = stored(found, "series")
+    token = once.mapInArrow(occurrences, "host string, token long, pages long, vector long")
+    token = token.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector")).where(f"pages >= {MIN_PAGES}")
+    token = stored(token.select("host", "token", "pages", F.xxhash64("vector", "pages").alias("class")), "occurrences")
+    own = once.select("host", "tokens")
+
+    def sized(rows: DataFrame) -> DataFrame:
+        """Tokens of classes with enough tokens, texts and tags among them: copies of a text share no tags of their own."""
+        size = rows.groupBy("host", "class").agg(F.count("*").alias("size"), F.max(F.expr("token & 1")).alias("texts"), F.min(F.expr("token & 1")).alias("no_tags"))
+        size = size.where(f"texts = 1 AND no_tags = 0 AND size >= {MIN_TOKENS}").select("host", "class", "size")
+        return rows.join(size, ["host", "class"]).select("host", "token", "class", "size", "pages")
+
+    members = stored(sized(token), "members")
+    ranked = beside(own, members, limit, lambda rows: _batch(ranks(rows), ["host", "token", "lo", "hi"]), "host string, token long, lo long, hi long")
+    fixed = ranked.groupBy("host", "token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi").select("host", "token")
+    ordered = stored(sized(members.drop("size").join(fixed, ["host", "token"])), "ordered")
+    judged = beside(own, ordered, limit, lambda rows: _batch(spans(rows), ["host", "class", "lo", "hi", "crossed"]), "host string, class long, lo long, hi long, crossed long")
+    valid = judged.groupBy("host", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("crossed").alias("crossed")).where("crossed = 0")
+    return ordered.where("token & 1 = 1").join(valid, ["host", "class"]).select("host", "token")
+
+
+def main_text(html: str, template: dict | set | frozenset = frozenset()) -> str:
+    """Text of the slots: those inside the article's container, else all. An article element's text is whole."""
+    slots = [b for b in blocks(html) if not isinstance(b, str) and not b.out and (b.element or token(b) not in template)]
+    return " ".join(b.text for b in [b for b in slots if b.article] or slots)
+
+
+def with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, page_id, url, html for page_id, url, html."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([host(u) for u in batch.column(1).to_pylist()], pa.string()), *batch.columns], ["host", *batch.schema.names])
+
+
+def extracted(pages: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """page_id, url, text, n_chars for each row of pages (page_id, url, html).
+
+    Null or empty html gives an empty text; a null or odd url is of the host "". Repeated rows and null ids are rows like
+    any other; other columns are not read; an empty table gives an empty table. Whole pages at any length. Templates of up
+    to `limit` tokens go to every task, longer ones are joined; the rows are the same.
+    """
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    template = stored(templates(rows, limit), "templates")
+    named = rows.mapInArrow(with_host, "host string, page_id long, url string, html string")
+
+    def output(found: list[tuple]) -> pa.RecordBatch:
+        texts = [main_text(html, template) for _, _, _, html, template in found]
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    # a host's template is no longer than its pages are
-    sets = template.groupBy("host").agg(F.collect_list("token").alias("tokens"))
-    named = rows.withColumn("host", F.coalesce(F.lower(F.expr("try_parse_url(url, 'HOST')")), F.lit("")))
-    return named.join(sets, "host", "left").select("page_id", "url", "html", "tokens").mapInArrow(read_joined, schema)
+    return beside(named, template, limit, output, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,6 +299,31 @@ def test_html(spark, sf):
     assert html_extract.extracted(df.limit(0)).count() == 0
 
 
+def texts_of(spark, rows, **more):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extracted(df, **more).collect()}
+
+
+def test_html_template_tells_slots_in_a_container(spark):
+    page = "<body><div class='content'><p>Welcome all<h2>Our shop</h2><p>Own text {i}</p><ul><li>Call us<li>Find us</ul></div></body>"
+    rows = [(i, f"https://z.org/{i}", page.format(i=i)) for i in range(6)]
+    assert texts_of(spark, rows) == {i: f"Own text {i}" for i in range(6)}
+    # tokens that change places between pages are in no template
+    moved = [(i, f"https://z.org/{i}", "<body>" + "".join(f"<p>{x}</p>" for x in [f"Own {i}", *random.Random(i).sample(["One", "Two", "Three", "Four", "Five", "Six"], 6)]) + "</body>") for i in range(12)]
+    assert all(len(t.split()) == 8 for t in texts_of(spark, moved).values())
+
+
+def test_html_classes_must_nest():
+    a = {t: (1, 2, 9) for t in (2, 4)}
+    b = {t: (2, 2, 5) for t in (6, 8)}
+    crossed = lambda tokens: {r[1] for r in html_extract.spans([("h", tokens, a | b)]) if r[-1]}
+    assert crossed([2, 6, 8, 4]) == set()
+    assert crossed([2, 4, 6, 8, 2, 4]) == set()
+    assert crossed([6, 2, 4, 8]) == set()
+    assert crossed([2, 6, 4, 8]) == {2}
+    assert crossed([6, 2, 8, 4]) == {2}
+
+
 def test_media(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(5))
