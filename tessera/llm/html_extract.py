@@ -182,7 +182,7 @@ def series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """host, digest and tokens of each page (url, html)."""
     for batch in batches:
         urls, htmls = (c.to_pylist() for c in batch.columns)
-        cols = [pa.array([host(u) for u in urls], pa.string()), pa.array([_hash(u or "", h) for u, h in zip(urls, htmls, strict=True)], pa.int64()), pa.array([page_tokens(h) for h in htmls], pa.list_(pa.int64()))]
+        cols = [pa.array([host(u) for u in urls], pa.string()), pa.array([_hash(h) for h in htmls], pa.int64()), pa.array([page_tokens(h) for h in htmls], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(cols, ["host", "digest", "tokens"])
 
 
@@ -299,7 +299,7 @@ def beside(pages: DataFrame, members: DataFrame, limit: int, work: Callable[[lis
 def templates(pages: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """host, token: texts of each host's template, for hosts and tokens whose class is valid. pages: url, html."""
     found = pages.select("url", "html").mapInArrow(series, "host string, digest long, tokens array<long>")
-    once = stored(found, "series")
+    once = stored(found.groupBy("host", "digest").agg(F.first("tokens").alias("tokens")), "series")
     token = once.mapInArrow(occurrences, "host string, token long, pages long, vector long")
     token = token.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector")).where(f"pages >= {MIN_PAGES}")
     token = stored(token.select("host", "token", "pages", F.xxhash64("vector", "pages").alias("class")), "occurrences")
@@ -316,7 +316,7 @@ def templates(pages: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     fixed = ranked.groupBy("host", "token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi").select("host", "token")
     ordered = stored(sized(members.drop("size").join(fixed, ["host", "token"])), "ordered")
     judged = beside(own, ordered, limit, lambda rows: _batch(spans(rows), ["host", "class", "lo", "hi", "crossed"]), "host string, class long, lo long, hi long, crossed long")
-    valid = judged.groupBy("host", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("crossed").alias("crossed")).where("crossed = 0")
+    valid = judged.groupBy("host", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("crossed").alias("crossed")).where("lo <> hi AND crossed = 0")
     return ordered.where("token & 1 = 1").join(valid, ["host", "class"]).select("host", "token")
 
 

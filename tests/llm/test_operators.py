@@ -324,6 +324,20 @@ def test_html_classes_must_nest():
     assert crossed([6, 2, 8, 4]) == {2}
 
 
+def test_html_copies_and_links_keep_their_text(spark):
+    copy = "<body><div>" + "".join(f"<p>Paragraph {k} of one text</p>" for k in range(6)) + "</div></body>"
+    rows = [(i, f"https://c.org/{i}", copy) for i in range(8)] + [(20 + i, f"https://c.org/o{i}", f"<body><div><p>Other {i}</p></div></body>") for i in range(4)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == " ".join(f"Paragraph {k} of one text" for k in range(6)) for i in range(8))
+    links = "<body><p><a href='a'>One &amp; only reference</a></p><p>end</p></body>"
+    assert texts_of(spark, [(1, "u", links)]) == {1: "One & only reference end"}
+    # a layout of few of the host's pages has its template too
+    other = "<body class='b'><table><tr><td>Left<td>Right</table><p>Mine {i}</p><dl><dt>Below</dl></body>"
+    rows = [(i, f"https://d.org/{i}", f"<body><p>Text {i}</p></body>") for i in range(40)] + [(100 + i, f"https://d.org/{i}", other.format(i=i)) for i in range(5)]
+    got = texts_of(spark, rows)
+    assert [got[100 + i] for i in range(5)] == [f"Mine {i}" for i in range(5)]
+
+
 def test_media(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(5))
