@@ -338,6 +338,15 @@ def test_html_copies_and_links_keep_their_text(spark):
     assert [got[100 + i] for i in range(5)] == [f"Mine {i}" for i in range(5)]
 
 
+def test_html_rows_do_not_depend_on_the_size_of_templates(spark):
+    page = "<body><div class='d{k}'><p>Welcome {k}</p><table><tr><td>Cell {k}</table></div><p>Own {i}</p><p>Bottom {k}</p></body>"
+    urls = ["http://a_b.org/x y?q={i}", "http://c.org/{{|}}^%{i}", "HTTP://D.org:80/{i}", "::bad[{i}", None]
+    rows = [(10 * k + i, u and u.format(i=i), page.format(i=10 * k + i, k=k)) for k, u in enumerate(urls) for i in range(5)]
+    few = texts_of(spark, rows)
+    assert few == {i: f"Own {i}" for i, *_ in rows}
+    assert texts_of(spark, rows, limit=0) == few
+
+
 def test_media(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(5))
