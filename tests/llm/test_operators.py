@@ -386,6 +386,19 @@ def test_licenses(spark):
     assert 2003 in found
 
 
+def test_licenses_without_keywords_and_over_line_ends(spark):
+    ordinary = "The thand oner is andthe reer thaning of the ou and in the only this re."
+    rows = [(i, f"{ordinary} {i}\n" * 3) for i in range(300)]
+    planted = {1001: ("Apache-2.0", "Released under Apache 2.0."), 1002: ("GPL", "Distributed under the GNU GPL v3"), 1003: ("GPL", "GPLv3"), 1004: ("BSD", "BSD-3-Clause"), 1005: ("CC-BY-SA", "CC-BY-SA 4.0")}
+    planted |= {1006: ("GPL", "# You should have received a copy of the\n# GNU General\n# Public License along with this program"), 1007: ("MIT", " * This project is distributed and used under the\n * terms of the MIT\n * license.")}
+    rows += [(k, f"{ordinary}\n\n{t}\n\n{ordinary}") for k, (_, t) in planted.items()]
+    found = defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.doc_id].add(r.family)
+    assert {k: v - {licenses.UNKNOWN} for k, v in found.items() if k > 1000} == {k: {f} for k, (f, _) in planted.items()}
+    assert all(k > 1000 for k in found)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
