@@ -1,15 +1,16 @@
 """Self-join of documents by the Jaccard similarity of their word shingles, exact.
 
-Equal sets are one node. A set's prefix under a total order of shingles, rare ones first, holds a shared shingle with each
-set that is similar enough, and so few of an inverted index's lists are needed:
-
- 1. Hub links. Large groups of sets with a common least hash are compared with one hub, not pairwise: the answers of a
-    set are those of a highly similar one, up to the sets in other components.
- 2. Index. Shingles of many sets come last in the order, so that a passage in very many documents is in few prefixes.
- 3. Lists are cut into blocks by position. A block is skipped if even its best pair would have too small an
-    intersection, and a list within one component is skipped whole.
- 4. Bitmaps of the sets bound what a pair can have in common; then the count of its shared prefix shingles does;
-    what passes is compared in full.
+Equal sets are one node, and one of its documents stands for it. Under a total order of shingles, rare ones first, the
+first shingle that two linked sets share lies in a prefix of both, so that few of an inverted index's lists are needed:
+
+ 1. Hub links. Sets with a common least hash are a group; each is compared with two hubs of its group, not with each other.
+ 2. Index. The prefixes' shingles give lists of (position, size). Lists are cut into blocks by size and position; two
+    blocks are skipped if even their best pair has too little left after the list's shingle, and so are pairs of one
+    component. Bitmaps of the sets bound what a pair can share; what passes is compared in full.
+ 3. Long lists make no pairs. Lists with the same first set are one family, whose answers are derived within a task: a
+    hub's intersection with each member is counted, and then any two members' from how they differ from the hub. The
+    triangle inequality settles most of them at once. A family gives no more links than it has members; one too large for
+    a task is dealt into parts, and each two parts are a task.
 """
 
 from __future__ import annotations
@@ -19,25 +20,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import arrow_rows, small, stored, table, whole
+from tessera.llm._common import arrow_rows, small, stored, table, unused, whole
 from tessera.llm.graph import components
 from tessera.llm.shingles import shingle_sets
 
 #: A pair links when PARTS * intersection >= SHARE * union.
 SHARE, PARTS = 75, 100
-#: Shingles in more sets than this come last in the order; of these, the MOST_COMMON most frequent. Either only sets speed.
+#: Shingles of more sets than COMMON are ordered by how many (the MOST_COMMON most frequent of them: 12 bytes each go to every
+#: task); all others come first. The order decides speed, not links.
 COMMON, MOST_COMMON = 32, 1 << 20
-#: Least hashes for hubs, and the size of a group from which it gets one.
+#: Lists of more sets than this make no pairs.
+LONG = 2 * COMMON
+#: Least hashes for hubs, and the size of a group from which it gets hubs.
 KEYS, GROUP = 8, 8
-#: Node ids that are sent to each task as a filter, at most (8 bytes each); beyond that a join does it.
-FILTER_IDS = 1_000_000
-#: Bytes of text for each bucket of the index.
-BUCKET_BYTES = 16 << 20
-BLOCK = 256
-#: Rows of lists that a task compares, about: a pair's shared shingles are counted within a task first.
+#: Bytes of text for each bucket of the index, and of sets for each part of a family.
+BUCKET_BYTES, FAMILY_BYTES = 16 << 20, 8 << 20
+#: Sets in a block of a list, and blocks that are compared at once.
+BLOCK, BLOCKS = 8, 1 << 15
+#: Rows of lists that a task compares, about.
 LIST_ROWS = 200_000
 #: Classes of the bitmaps.
 BITS = 512
@@ -53,12 +58,17 @@ def least_common(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 
 def prefix(n: np.ndarray) -> np.ndarray:
-    """Shingles of a set of n of which a linked set shares one at least."""
+    """Shingles of a set of n among which is the first that it shares with any linked set."""
     return np.where(n > 0, n - (-(-SHARE * n // PARTS)) + 1, 0)
 
 
-def set_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def short_prefix(n: np.ndarray) -> np.ndarray:
+    """The same for linked sets that are no smaller."""
+    return np.where(n > 0, n - least_common(n, n) + 1, 0)
+
+
+def set_id(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,9 +86,8 @@ def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     return list(shingle_sets([x.as_py() for x in batch.columns[-1]]))
 
 
-def _distinct_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
-    found = {set_id(s): s for s in _sets(batch) if len(s)}
-    return np.fromiter(found, np.int64, len(found)), list(found.values())
+def _distinct_sets(batch: pa.RecordBatch) -> dict[bytes, np.ndarray]:
+    return {set_id(s): s for s in _sets(batch) if len(s)}
 
 
 def least_hashes(s: np.ndarray) -> list[int]:
@@ -95,195 +104,197 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
-def describing(common: np.ndarray) -> Callable:
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """id, text_hash, sid, n, share of common shingles, least hashes and bitmap of each row."""
-        for batch in _slices(batches):
-            sets = _sets(batch)
-            n = np.array([len(s) for s in sets], np.int64)
-            hot = np.isin(np.concatenate(sets), common) if len(common) and sets else np.zeros(n.sum(), bool)
-            before = np.concatenate([[0], np.cumsum(hot)])
-            ends = np.cumsum(n)
-            share = 1000 * (before[ends] - before[ends - n]) // np.maximum(n, 1)
-            sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            keys = pa.array([least_hashes(s) for s in sets], pa.list_(pa.int64()))
-            bits = pa.array([parities(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], sid, pa.array(n), pa.array(share.astype(np.int64)), keys, bits], ["id", "text_hash", "sid", "n", "share", "keys", "bits"])
-
-    return described
+def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text_hash, sid, n, least hashes and bitmap of each row."""
+    for batch in _slices(batches):
+        sets = _sets(batch)
+        sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.binary())
+        keys = pa.array([least_hashes(s) for s in sets], pa.list_(pa.int64()))
+        bits = pa.array([parities(s) if len(s) else None for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], sid, pa.array([len(s) for s in sets], pa.int64()), keys, bits], ["id", "text_hash", "sid", "n", "keys", "bits"])
 
 
-def _blobs(bucket: np.ndarray, n_buckets: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+def _blobs(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     """A row for each bucket with the bytes of its part of each column."""
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    columns = [c[order] for c in columns]
-    there = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
-    data = [pa.array([c[cuts[b] : cuts[b + 1]].tobytes() for b in there], pa.binary()) for c in columns]
+    there, first = np.unique(bucket[order], return_index=True)
+    cuts = [*first.tolist(), len(bucket)]
+    data = [pa.array([c[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)], pa.binary()) for c in (c[order] for c in columns)]
     return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *data], ["bucket", *(f"c{i}" for i in range(len(columns)))])
 
 
-def _bucket(tokens: np.ndarray, n: int) -> np.ndarray:
-    return (tokens % np.uint64(n)).astype(np.int32)
+def _placed(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle's bucket, and what tells it from others of its bucket."""
+    return (tokens % np.uint64(buckets)).astype(np.int32), (tokens >> np.uint64(32)).astype(np.uint32)
 
 
-def _lowest(sets: list[np.ndarray], share: float) -> np.ndarray:
-    return np.concatenate([s[: int(len(s) * share) + 1] for s in sets]) if sets else np.zeros(0, np.uint64)
+def _key(bucket: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return high.astype(np.uint64) << np.uint64(32) | bucket.astype(np.uint64)
 
 
-def counting(n_buckets: int) -> Callable:
+def counting(buckets: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+
+        def dealt() -> pa.RecordBatch:
+            bucket, high = _placed(np.concatenate([*held, np.zeros(0, np.uint64)]), buckets)
+            return _blobs(bucket, [high])
+
         for batch in _slices(batches):
-            held.append(_lowest(_distinct_sets(batch)[1], 0.4))
+            held += _distinct_sets(batch).values()
             if sum(map(len, held)) >= HELD:
-                yield _counted(held, n_buckets)
+                yield dealt()
                 held = []
-        yield _counted(held, n_buckets)
+        yield dealt()
 
     return count
 
 
-def _counted(held: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
-    v, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-    return _blobs(_bucket(v, n_buckets), n_buckets, [v, c.astype(np.int32)])
-
-
 def frequent(part: pa.Table) -> pa.Table:
-    v = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in part.column("c0")])
-    c = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in part.column("c1")])
-    v, at = np.unique(v, return_inverse=True)
-    n = np.bincount(at, c).astype(np.int64)
-    return pa.table({"token": v[n > COMMON].view(np.int64), "n": n[n > COMMON]})
+    """key and n of a bucket's shingles of more than COMMON sets."""
+    v, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in part.column("c0")]), return_counts=True)
+    key = _key(np.full(len(v), part.column("bucket")[0].as_py()), v)
+    return pa.table({"key": key[n > COMMON].view(np.int64), "n": n[n > COMMON].astype(np.int64)})
 
 
-def indexing(n_buckets: int, common: np.ndarray) -> Callable:
-    """Prefixes under the order (in common, hash)."""
+def indexing(buckets: int, common: Broadcast) -> Callable:
+    """Prefixes under the order (class of frequency, hash). common: sorted keys of common shingles and their classes."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, classes = common.value
         held: list[list[np.ndarray]] = []
         for batch in _slices(batches):
-            ids, sets = _distinct_sets(batch)
-            if not sets:
+            found = _distinct_sets(batch)
+            if not found:
                 continue
+            sets = list(found.values())
             n = np.array([len(s) for s in sets])
-            p = prefix(n)
-            flat = np.concatenate(sets)
-            hot = np.isin(flat, common) if len(common) else np.zeros(len(flat), bool)
-            start = np.cumsum(n) - n
-            hot_before = np.concatenate([[0], np.cumsum(hot)])
-            within = np.arange(len(flat)) - np.repeat(start, n)
-            hot_within = hot_before[:-1] - np.repeat(hot_before[start], n)
-            cold = n - (hot_before[start + n] - hot_before[start])
-            place = np.where(hot, np.repeat(cold, n) + hot_within, within - hot_within)
-            kept = place < np.repeat(p, n)
-            tokens = flat[kept]
-            held.append([tokens, np.repeat(ids, n)[kept], np.repeat(n, n)[kept].astype(np.int32), place[kept].astype(np.int32)])
+            flat, own = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+            bucket, high = _placed(flat, buckets)
+            of = np.zeros(len(flat), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, key := _key(bucket, high)), len(keys) - 1)
+                of = np.where(keys[at] == key, classes[at], 0)
+            order = np.lexsort((of, own))  # stable: by hash within a class
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            kept = place < prefix(n)[own]
+            order, place = order[kept], place[kept]
+            # common shingles are known to be shared; they are dealt out evenly
+            spread = -1 - (np.arange(len(order)) + order[:1].sum()) % buckets
+            ids = np.frombuffer(b"".join(found), np.dtype("V16"))
+            held.append([np.where(of[order] > 0, spread, bucket[order]).astype(np.int32), flat[order], ids[own[order]], n[own[order]].astype(np.int32), place.astype(np.int32)])
             if sum(len(x[0]) for x in held) >= HELD:
-                yield _indexed(held, n_buckets)
+                yield _indexed(held)
                 held = []
         if held:
-            yield _indexed(held, n_buckets)
+            yield _indexed(held)
 
     return index
 
 
-def _indexed(held: list[list[np.ndarray]], n_buckets: int) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-    return _blobs(_bucket(columns[0], n_buckets), n_buckets, columns)
+def _indexed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    bucket, *columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    return _blobs(bucket, columns)
+
+
+def _binary(ids: np.ndarray) -> pa.Array:
+    """16-byte values as binary."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(ids.tobytes())]).cast(pa.binary())
 
 
 def shared(part: pa.Table) -> pa.Table:
-    """Rows of a bucket whose shingle is in two sets at least."""
-    token, sid, n, at = (np.concatenate([np.frombuffer(x.as_py(), k) for x in part.column(f"c{i}")]) for i, k in enumerate((np.uint64, np.int64, np.int32, np.int32)))
-    order = np.lexsort((sid, token))
-    token, sid, n, at = token[order], sid[order], n[order], at[order]
+    """Rows of a bucket whose shingle is in two sets at least, one of them early enough to be the smaller of a linked pair.
+    Of common shingles all rows, to be counted by list."""
+    token, sid, n, at = (np.frombuffer(b"".join(part.column(f"c{i}").to_pylist()), k) for i, k in enumerate((np.uint64, np.dtype("V16"), np.int32, np.int32)))
+    if part.column("bucket")[0].as_py() < 0:
+        return _rows(token, sid, n, at, np.ones(len(token), bool))
+    two = sid.view(np.uint64).reshape(-1, 2)
+    order = np.lexsort((two[:, 1], two[:, 0], token))
+    token, sid, n, at, two = token[order], sid[order], n[order], at[order], two[order]
     new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+    new[1:] = (token[1:] != token[:-1]) | (two[1:] != two[:-1]).any(1)
     token, sid, n, at = token[new], sid[new], n[new], at[new]
-    same = token[1:] == token[:-1]
-    many = np.zeros(len(token), bool)
-    many[1:] |= same
-    many[:-1] |= same
-    return pa.table({"token": token[many].view(np.int64), "sid": sid[many], "n": n[many], "at": at[many]})
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
+    size = np.diff(np.append(first, len(token)))
+    early = np.maximum.reduceat((at < short_prefix(n)).astype(np.int8), first) if len(first) else np.zeros(0)
+    kept, long = np.repeat((size > 1) & (early > 0), size), np.repeat(size > LONG, size)
+    return _rows(token[kept], sid[kept], n[kept], at[kept], long[kept])
+
+
+def _rows(token: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray, common: np.ndarray) -> pa.Table:
+    return pa.table({"token": token.view(np.int64), "sid": _binary(sid), "n": n, "at": at, "common": common})
+
+
+def _numbers(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """The values of the columns in ascending order, and each column as numbers of them."""
+    sizes = np.cumsum([0, *map(len, columns)])
+    every = pa.chunked_array([x for c in columns for x in c.chunks], pa.binary()).combine_chunks().dictionary_encode()
+    rank = pc.sort_indices(every.dictionary)
+    back = np.empty(len(rank), np.int64)
+    back[rank.to_numpy()] = np.arange(len(rank))
+    codes = back[every.indices.to_numpy()] if len(rank) else np.zeros(0, np.int64)
+    return every.dictionary.take(rank), [codes[lo:hi] for lo, hi in zip(sizes, sizes[1:], strict=False)]
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the numbers first[i] ... first[i] + size[i] - 1, one after the other, and their i."""
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + first[of], of
+
+
+def _pairs_of(values: pa.Array, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    return pa.table({"a": values.take(pa.array(lo)), "b": values.take(pa.array(hi))})
 
 
 def pairs(part: pa.Table) -> pa.Table:
-    """Pairs of sets of different components that share a shingle of a list and could be similar, with how many."""
-    token, sid, n, at, root = (part.column(c).to_numpy() for c in ("token", "sid", "n", "at", "root"))
+    """Pairs of sets of different components of which a list's shingle may be the first that they share, and which could
+    be similar."""
+    values, (sid, root) = _numbers(part.column("sid"), part.column("root"))
+    token, n, at = (part.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "at"))
     bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(token), BITS // 64)
-    order = np.lexsort((at, root, token))
-    token, sid, n, at, root, bits = token[order], sid[order], n[order].astype(np.int64), at[order].astype(np.int64), root[order], bits[order]
-    found: list[np.ndarray] = []
-    held = 0
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        """Pairs i, j that no bound excludes."""
-        nonlocal held
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
+    size_class = np.floor(np.log(np.maximum(n, 1)) / np.log(PARTS / SHARE))
+    order = np.lexsort((at, size_class, token))
+    token, sid, n, at, root, bits = token[order], sid[order], n[order], at[order], root[order], bits[order]
+    rest = n - at  # what a pair can share if this is its first
+    lists = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
+    size = np.diff(np.append(lists, len(token)))
+    # blocks, and each two of a list
+    count = -(-size // BLOCK)
+    k, of = _ranges(np.zeros(len(count), int), count)
+    begin = lists[of] + BLOCK * k
+    end = np.minimum(begin + BLOCK, (lists + size)[of])
+    if not len(begin):
+        return _pairs_of(values, np.zeros(0, int), np.zeros(0, int))
+    n_lo, n_hi, r_hi = np.minimum.reduceat(n, begin), np.maximum.reduceat(n, begin), np.maximum.reduceat(rest, begin)
+    root_lo, root_hi = np.minimum.reduceat(root, begin), np.maximum.reduceat(root, begin)
+    found = [np.zeros(0, np.int64)]
+    later = count[of] - k
+    for lo in range(0, len(begin), BLOCKS):
+        y, x = _ranges(np.arange(lo, min(lo + BLOCKS, len(begin))), later[lo : lo + BLOCKS])
+        x += lo
+        ok = PARTS * n_hi[x] >= SHARE * n_lo[y]
+        ok &= PARTS * n_hi[y] >= SHARE * n_lo[x]
+        ok &= np.minimum(r_hi[x], r_hi[y]) >= least_common(n_lo[x], n_lo[y])
+        ok &= (root_lo[x] != root_hi[y]) | (root_hi[x] != root_lo[y])
+        x, y = x[ok], y[ok]
+        wide = (end - begin)[y]
+        c, of_pair = _ranges(np.zeros(len(x), int), (end - begin)[x] * wide)
+        i, j = begin[x][of_pair] + c // wide[of_pair], begin[y][of_pair] + c % wide[of_pair]
         need = least_common(n[i], n[j])
-        most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
-        ok = np.minimum(np.minimum(n[i], n[j]), most) >= need
+        ok = (i < j) & (root[i] != root[j]) & (np.minimum(rest[i], rest[j]) >= need)
         i, j, need = i[ok], j[ok], need[ok]
         ok = 2 * need + np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
-        i, j = i[ok], j[ok]
-        swap = sid[i] > sid[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        found.append(np.stack([sid[i], sid[j], n[i], n[j], np.ones(len(i), np.int64)], 1))
-        held += len(i)
-        if held > 2_000_000:
-            found[:] = [summed(np.concatenate(found))]
-            held = len(found[0])
-
-    cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-    size = np.diff(cuts)
-    short = np.repeat(size <= 2 * COMMON, size)
-    for d in range(1, 2 * COMMON):
-        i = np.flatnonzero(short[:-d] & (token[:-d] == token[d:])) if d < len(token) else np.zeros(0, int)
-        if not len(i):
-            break
-        keep(i, i + d)
-    for g in np.flatnonzero(size > 2 * COMMON):
-        lo, hi = cuts[g], cuts[g + 1]
-        if root[lo] == root[hi - 1]:
-            continue
-        blocks = [np.arange(a, min(a + BLOCK, hi)) for a in range(lo, hi, BLOCK)]
-        ranges = [(at[x].min(), at[x].max(), n[x].min(), n[x].max()) for x in blocks]
-        for a, x in enumerate(blocks):
-            for b in range(a, len(blocks)):
-                y = blocks[b]
-                if root[x[0]] == root[y[-1]]:
-                    continue
-                # at best, the largest set of the later block loses what lies between the nearest places of the two
-                gap, later = max((ranges[b][0] - ranges[a][1], b), (ranges[a][0] - ranges[b][1], a))
-                if gap > 0 and gap > ranges[later][3] - int(least_common(ranges[a][2], ranges[b][2])):
-                    continue
-                i, j = (z.ravel() for z in np.meshgrid(x, y, indexing="ij"))
-                keep(*((i[i < j], j[i < j]) if a == b else (i, j)))
-    out = summed(np.concatenate(found)) if found else np.zeros((0, 5), np.int64)
-    return pa.table({c: out[:, k] for k, c in enumerate(("a", "b", "n_a", "n_b", "shared"))})
-
-
-def summed(x: np.ndarray) -> np.ndarray:
-    order = np.lexsort((x[:, 1], x[:, 0]))
-    x = x[order]
-    new = np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)]) if len(x) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    out = x[first].copy()
-    if len(first):
-        out[:, 4] = np.add.reduceat(x[:, 4], first)
-    return out
-
-
-def fetching(wanted: np.ndarray | None) -> Callable:
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            ids, sets = _distinct_sets(batch)
-            kept = np.isin(ids, wanted) if wanted is not None else np.ones(len(ids), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array([s.tobytes() for s, k in zip(sets, kept, strict=True) if k], pa.binary())], ["sid", "data"])
+        i, j = sid[i[ok]], sid[j[ok]]
+        found.append(np.unique(np.minimum(i, j) * len(values) + np.maximum(i, j)))
+    code = np.unique(np.concatenate(found))
+    return _pairs_of(values, code // len(values), code % len(values))
+
 
-    return fetch
+def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        found = _distinct_sets(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["sid", "data"])
 
 
 def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,23 +302,132 @@ def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            common = len(s) + len(t) - len(np.union1d(s, t))
+            both = np.concatenate([s, t])
+            both.sort(kind="stable")  # of two sorted runs
+            common = np.count_nonzero(both[1:] == both[:-1])
             ok.append(PARTS * common >= SHARE * (len(s) + len(t) - common))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def verified(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+def derived(part: pa.Table) -> pa.Table:
+    """Links between members (sid, n, root, side, data) of a family that make a forest over their components: none of them
+    is within a component, and none is left out between two. With two sides, pairs within a side are another task's."""
+    values, (sid, label) = _numbers(part.column("sid"), part.column("root"))
+    side = part.column("side").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("data")]
+    n = np.array([len(s) for s in sets])
+    flat, own = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+    v, code, held = np.unique(flat, return_inverse=True, return_counts=True)
+    hub = int(np.argmax(np.bincount(own, held[code]) / n))  # the set with the most usual shingles
+    in_hub = np.isin(v, sets[hub])[code]
+    near = np.bincount(own[in_hub], minlength=len(n))  # intersection with the hub
+    extra = n - near
+    # which of the hub's shingles each has, as bits; its other shingles as lists of the members that have them
+    width = -(-n[hub] // 64) * 8
+    of_hub = np.zeros((len(n), width), np.uint8)
+    place = np.searchsorted(sets[hub], flat[in_hub])
+    np.bitwise_or.at(of_hub, (own[in_hub], place // 8), (1 << place % 8).astype(np.uint8))
+    of_hub = of_hub.view(np.uint64)
+    more = ~in_hub & (held[code] > 1)
+    by = np.argsort(code[more], kind="stable")
+    members, codes = own[more][by], code[more][by]
+    begin = np.searchsorted(codes, code[more])
+    end = np.searchsorted(codes, code[more], "right")
+    own_more = np.searchsorted(own[more], np.arange(len(n) + 1))
+    a, b = [], []
+    two = side.min() != side.max() if len(side) else False
+    for x in range(len(n)):
+        y = np.arange(x + 1, len(n))
+        y = y[label[y] != label[x]]
+        y = y[side[y] != side[x]] if two else y
+        need = least_common(n[x], n[y])
+        sure = near[x] + near[y] - n[hub] >= need
+        open_ = ~sure & (np.minimum(near[x], near[y]) + np.minimum(extra[x], extra[y]) >= need)
+        z = y[open_]
+        if len(z):
+            common = np.bitwise_count(of_hub[z] & of_hub[x]).sum(1, dtype=np.int64)
+            lists = slice(own_more[x], own_more[x + 1])
+            i, _ = _ranges(begin[lists], (end - begin)[lists])
+            common += np.bincount(members[i], minlength=len(n))[z]
+            sure[open_] = common >= need[open_]
+        linked = y[sure]
+        if len(linked):
+            labels, first = np.unique(label[linked], return_index=True)
+            a += [sid[x]] * len(labels)
+            b += sid[linked[first]].tolist()
+            label[np.isin(label, labels)] = label[x]
+    return _pairs_of(values, np.array(a, np.int64), np.array(b, np.int64))
+
+
+def fetched(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid, data (its shingles) for each sid of `wanted`, from the texts that stand for them alone."""
+    of = small(stored(nodes.join(wanted, "sid", "left_semi").select(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")), "wanted"))
+    some = texts.join(of, F.col("text_hash").eqNullSafe(F.col("of_hash")) & F.col("id").eqNullSafe(F.col("of_id")), "left_semi")
+    sets = some.select("text").mapInArrow(fetch, "sid binary, data binary")
+    return stored(sets.groupBy("sid").agg(F.first("data").alias("data")), "sets")
+
+
+def verified(sets: DataFrame, candidates: DataFrame) -> DataFrame:
     """Those of candidates (a, b) that link, each compared in full."""
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    few = wanted.limit(FILTER_IDS + 1).count() <= FILTER_IDS
-    ids = np.sort(np.array([r.sid for r in wanted.collect()], np.int64)) if few else None  # 8 MB at most
-    sets = texts.mapInArrow(fetching(ids), "sid long, data binary")
-    if not few:
-        sets = sets.join(wanted, "sid", "left_semi")
-    sets = stored(sets.groupBy("sid").agg(F.first("data").alias("data")), "sets")
     one = sets.select(F.col("sid").alias("a"), F.col("data").alias("x"))
     two = sets.select(F.col("sid").alias("b"), F.col("data").alias("y"))
-    return candidates.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(comparing, "a long, b long")
+    return candidates.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(comparing, "a binary, b binary")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+
+
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the root of their sid, itself where it has no link."""
+    return rows.join(small(roots.select(F.col("node").alias("sid"), "root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def hub_pairs(nodes: DataFrame) -> DataFrame:
+    """Each set with a common least hash, and two hubs of its group: the one whose least hashes are those of most sets, and
+    any one."""
+    keyed = nodes.select("sid", "n", F.explode("keys").alias("key"))
+    groups = small(stored(keyed.groupBy("key").agg(F.count("*").alias("m")).where(f"m >= {GROUP}"), "groups"))
+    keyed = stored(keyed.join(groups, "key"), "keyed")
+    usual = keyed.groupBy("sid").agg(F.sum("m").alias("usual"))
+    order = F.xxhash64("key", "sid").alias("h")
+    hub = [F.max(F.struct("usual", order, "sid", "n")).alias("x"), F.min(F.struct(order, "sid", "n")).alias("y")]
+    hubs = keyed.join(usual, "sid").groupBy("key").agg(*hub)
+    hubs = stored(hubs.select("key", F.explode(F.array(F.struct("x.sid", "x.n"), F.struct("y.sid", "y.n"))).alias("hub")), "hubs")
+    near = keyed.join(small(hubs), "key").where(f"hub.sid <> sid AND {PARTS} * least(n, hub.n) >= {SHARE} * greatest(n, hub.n)")
+    return stored(near.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct(), "near")
+
+
+def common_shingles(texts: DataFrame, buckets: int) -> Broadcast:
+    """Sorted keys of common shingles and the classes of their frequency, MOST_COMMON of them at most."""
+    counts = texts.mapInArrow(counting(buckets), "bucket int, c0 binary").groupBy("bucket").applyInArrow(frequent, "key long, n long")
+    found = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).toPandas()
+    keys, classes = found["key"].to_numpy(np.int64).view(np.uint64), np.floor(2 * np.log2(found["n"].to_numpy(np.float64))).astype(np.uint8)
+    order = np.argsort(keys)
+    return texts.sparkSession.sparkContext.broadcast((keys[order], classes[order]))
+
+
+def lists_of(texts: DataFrame, buckets: int, common: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """Lists of LONG sets at most (token, sid, n, at), and the members of families of longer ones (family, sid, n)."""
+    index = texts.mapInArrow(indexing(buckets, common), "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
+    rows = stored(index.groupBy("bucket").applyInArrow(shared, "token long, sid binary, n int, at int, common boolean"), "index")
+    held = stored(rows.where("common").groupBy("token").agg(F.count("*").alias("m"), F.min("sid").alias("family")).where("m > 1"), "long-lists")
+    by_list = rows.where("common").join(small(held), "token")
+    short = rows.where("NOT common").unionByName(by_list.where(f"m <= {LONG}").select(*rows.columns)).drop("common")
+    return short, by_list.where(f"m > {LONG}").select("family", "sid", "n").distinct()
+
+
+def family_links(members: DataFrame, roots: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links of families (family, sid, n). One of more than FAMILY_BYTES is dealt into parts, and each two parts are a task."""
+    members = stored(rooted(members, roots), "members")
+    size = members.groupBy("family").agg(F.ceil(8 * F.sum("n") / FAMILY_BYTES).cast("int").alias("parts"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    size = small(stored(size.where("lo <> hi").select("family", "parts"), "families"))
+    dealt = members.join(size, "family").withColumn("side", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "sid", "root")
+    dealt = stored(dealt, "dealt")
+    full = dealt.join(sets(dealt.select("sid").distinct()), "sid").select("family", "i", "j", "sid", "root", "side", "data")
+    return full.groupBy("family", "i", "j").applyInArrow(derived, "a binary, b binary")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,64 +445,70 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), whole(text_col).cast("binary").alias("text"))
-    texts = rows.select("text")
-    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    counts = texts.mapInArrow(counting(buckets), "bucket int, c0 binary, c1 binary").groupBy("bucket").applyInArrow(frequent, "token long, n long")
-    common = np.sort(np.array([r.token for r in counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
-    about = stored(rows.mapInArrow(describing(common), "id long, text_hash long, sid long, n long, share long, keys array<long>, bits binary"), "about")
-    firsts = [F.first(c).alias(c) for c in ("n", "share", "keys", "bits")]
-    nodes = stored(about.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), *firsts), "nodes")
-
-    # 1. hub links: to the member of a group with the largest share of common shingles, and to any one
-    keyed = nodes.select("sid", "n", "share", F.explode("keys").alias("key"))
-    order = F.xxhash64("key", "sid").alias("h")
-    hub = [F.max(F.struct("share", order, "sid", "n")).alias("x"), F.min(F.struct(order, "sid", "n")).alias("y")]
-    hubs = keyed.groupBy("key").agg(F.count("*").alias("m"), *hub).where(f"m >= {GROUP}")
-    hubs = hubs.select("key", F.explode(F.array(F.struct("x.sid", "x.n"), F.struct("y.sid", "y.n"))).alias("hub"))
-    near = keyed.join(small(stored(hubs, "hubs")), "key").where(f"hub.sid <> sid AND {PARTS} * least(n, hub.n) >= {SHARE} * greatest(n, hub.n)")
-    near = stored(near.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct(), "near")
-    links = stored(verified(texts, near), "hub-links")
+    about = stored(rows.mapInArrow(described, "id long, text_hash long, sid binary, n long, keys array<long>, bits binary"), "about")
+
+    # nodes, and the texts that stand for them
+    firsts = [F.first(c).alias(c) for c in ("n", "keys", "bits")]
+    each = about.where("sid IS NOT NULL").groupBy("sid", "id", "text_hash").agg(F.count("*").alias("m"), *firsts)
+    nodes = each.groupBy("sid").agg(F.min("id").alias("least"), F.min(F.struct("text_hash", "id")).alias("rep"), *firsts)
+    nodes = stored(nodes.select("sid", "least", "rep.id", "rep.text_hash", "n", "keys", "bits"), "nodes")
+    texts = standing(rows, about, nodes)
+
+    near = hub_pairs(nodes)
+    links = stored(verified(fetched(texts, nodes, ends(near)), near), "hub-links")
     roots = stored(components(links), "roots")
 
-    # 2. index
-    index = texts.mapInArrow(indexing(buckets, common), "bucket int, c0 binary, c1 binary, c2 binary, c3 binary").groupBy("bucket").applyInArrow(shared, "token long, sid long, n int, at int")
-    index = stored(index, "index")
-
-    # 3. lists, 4. pairs
-    lists = index.join(small(nodes.select("sid", "bits")), "sid")
-    lists = lists.join(small(roots.select(F.col("node").alias("sid"), "root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    parts = max(12, -(-index.count() // LIST_ROWS))
-    found = lists.groupBy(F.pmod(F.xxhash64("token"), F.lit(parts)).alias("bucket")).applyInArrow(pairs, "a long, b long, n_a long, n_b long, shared long")
-    found = found.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    rest = f"greatest(({SHARE} * n_a + {PARTS - 1}) div {PARTS}, ({SHARE} * n_b + {PARTS - 1}) div {PARTS}) - 1"
-    need = f"({SHARE} * (n_a + n_b) + {PARTS + SHARE - 1}) div {PARTS + SHARE}"
-    candidates = stored(found.where(f"shared + {rest} >= {need}").select("a", "b"), "candidates")
-    links = links.unionByName(stored(verified(texts, candidates), "pair-links"))
+    short, members = lists_of(texts, buckets, common_shingles(texts, buckets))
+    lists = stored(rooted(short, roots), "lists").join(small(nodes.select("sid", "bits")), "sid")
+    parts = max(12, -(-short.count() // LIST_ROWS))
+    found = lists.groupBy(F.pmod(F.xxhash64("token"), F.lit(parts)).alias("bucket")).applyInArrow(pairs, "a binary, b binary")
+    candidates = stored(found.distinct(), "candidates")
+    more = stored(verified(fetched(texts, nodes, ends(candidates)), candidates), "pair-links")
+    links = links.unionByName(more)
+    more = stored(family_links(members, roots, lambda wanted: fetched(texts, nodes, wanted)), "family-links")
+    links = links.unionByName(more)
 
     roots = stored(components(links), "roots")
-    whole_nodes = nodes.select("sid", "id").join(small(roots.select(F.col("node").alias("sid"), "root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    whole_nodes = stored(whole_nodes, "rooted")
-    least = stored(whole_nodes.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("m")).where("m > 1").drop("m"), "least")
-    named = stored(whole_nodes.join(small(least), "root", "left").select("sid", "root", F.coalesce("component", "id").alias("component")), "named")
+    named = stored(rooted(nodes.select("sid", "least"), roots), "rooted")
+    least = stored(named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("m")).where("m > 1").drop("m"), "least")
+    named = stored(named.join(small(least), "root", "left").select("sid", "root", F.coalesce("component", "least").alias("component")), "named")
     out = about.select("id", "text_hash", "sid", "n").join(named, "sid", "left")
     return out.select("id", "text_hash", "sid", "n", "root", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
+def standing(rows: DataFrame, about: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (id, text_hash, text) that stand for a node, one for each."""
+    each = about.groupBy("id", "text_hash", "sid").agg(F.count("*").alias("m"))
+    rep = nodes.select("sid", F.col("id").alias("rep_id"), F.col("text_hash").alias("rep_hash"))
+    each = each.join(rep, "sid", "left")
+    is_rep = F.coalesce(F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")), F.lit(False))
+    off = stored(each.select(F.col("id").alias("off_id"), F.col("text_hash").alias("off_hash"), (is_rep & (F.col("m") > 1)).alias("again"), is_rep.alias("is_rep")).where("NOT is_rep OR again").drop("is_rep"), "off")
+    same = F.col("text_hash").eqNullSafe(F.col("off_hash")) & F.col("id").eqNullSafe(F.col("off_id"))
+    once = rows.join(small(off.select("off_id", "off_hash")), same, "left_anti")
+    again = rows.join(small(off.where("again")), same, "left_semi").dropDuplicates(["id", "text_hash"])
+    return once if off.where("again").isEmpty() else once.unionByName(again)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near duplicates: of each component the row of least id stays (null last, then by its text's hash),
-    once if it is repeated. Rows without a word all stay."""
+    once if it is repeated. Rows without a word all stay. Other columns stay as they are, whatever their names."""
     rows = stored(linked(docs, id_col, text_col).where("root IS NOT NULL").select("id", "text_hash", "root"), "linked")
     first = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("text_hash"))
     best = rows.groupBy("root").agg(F.min(first).alias("best"), F.count("*").alias("m")).where("m > 1").drop("m")
     held = rows.join(small(stored(best, "best")), "root")
-    stays = F.col("id").eqNullSafe(F.col("best.id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash"))
-    held = stored(held.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first(stays).alias("_stays"), F.count("*").alias("_m")).where("NOT _stays OR _m > 1"), "held")
-    out = docs.join(small(held), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(text_col).eqNullSafe(F.col("_hash")), "left")
-    many = out.where("_stays").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
-    return out.where("_stays IS NULL").select(*docs.columns).unionByName(many)
+    is_best = F.col("id").eqNullSafe(F.col("best.id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash"))
+    its_id, its_hash, stays, m = unused(docs.columns, "id", "hash", "stays", "m")
+    held = held.groupBy(F.col("id").alias(its_id), F.col("text_hash").alias(its_hash)).agg(F.first(is_best).alias(stays), F.count("*").alias(m))
+    held = stored(held.where(f"NOT `{stays}` OR `{m}` > 1"), "held")
+    out = docs.join(small(held), F.col(id_col).cast("long").eqNullSafe(F.col(its_id)) & F.xxhash64(text_col).eqNullSafe(F.col(its_hash)), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    many = out.where(F.col(stays)).dropDuplicates([its_id, its_hash]).select(*columns)
+    return out.where(F.col(stays).isNull()).select(*columns).unionByName(many)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
     out = linked(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import html_extract, licenses, media, mixing, ngram_join, packing, token_files, warc
+from tessera.llm import _common, html_extract, licenses, media, mixing, ngram_join, packing, token_files, warc
 from tessera.llm._common import new_path
 from tessera.llm.graph import components
 
@@ -99,6 +100,55 @@ def test_ngram_join_is_brute_force(spark, sf):
     assert got == Counter(brute_components(rows))
 
 
+SMALL = {"BROADCAST_ROWS": 0, "LONG": 2, "COMMON": 2, "FAMILY_BYTES": 4000, "GROUP": 3, "SLICE_BYTES": 2000, "HELD": 500, "LIST_ROWS": 50, "BLOCK": 2, "BLOCKS": 16, "MOST_COMMON": 40}
+
+
+@pytest.mark.parametrize("names", [["BROADCAST_ROWS"], ["LONG", "COMMON"], ["LONG", "COMMON", "FAMILY_BYTES", "GROUP"], ["MOST_COMMON", "LONG"], list(SMALL)])
+def test_ngram_join_does_not_depend_on_sizes(spark, monkeypatch, names):
+    rows = near_copies(5, 60) + near_copies(6, 30, 300)[:30] + ODD
+    for name in names:
+        monkeypatch.setattr(_common if name == "BROADCAST_ROWS" else ngram_join, name, SMALL[name])
+    got = Counter((r.id, r.n, r.component) for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(brute_components(rows))
+
+
+def test_ngram_join_families_give_forests():
+    r = random.Random(3)
+    base = sorted(r.sample(range(1 << 40), 200))
+    sets = []
+    for k in range(60):
+        s = set(r.sample(base, 200 - k // 2)) | set(r.sample(range(1 << 40, 1 << 41), k // 2))
+        sets.append(np.array(sorted(s | set(range(k % 5))), np.uint64))
+    links = {(i, j) for i in range(60) for j in range(i) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - c)}
+    assert 100 < len(links) < 60 * 59 // 2
+    ids = [bytes([k]) * 16 for k in range(60)]
+    for sides in ([0] * 60, [k % 2 for k in range(60)]):
+        table = pa.table({"sid": ids, "root": [ids[min(k, 57)] for k in range(60)], "side": sides, "data": [s.tobytes() for s in sets]})
+        out = [(a[0], b[0]) for a, b in zip(*ngram_join.derived(table).to_pydict().values(), strict=True)]
+        assert all((max(p), min(p)) in links for p in out)
+        own = {(i, j) for i, j in links if sides[i] != sides[j] or max(sides) == 0}
+
+        def classes(pairs):
+            root = list(range(60))
+            for i, j in [*pairs, (57, 58), (58, 59)]:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+            return root
+
+        assert classes(out) == classes(own)
+        assert len(out) <= 57
+
+
+def test_ngram_join_stays_with_clashing_names(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (None, "x y"), (3, None)]
+    names = ["id", "_id", "_hash", "hash", "stays", "m", "root", "best", "text_hash", "sid", "n"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    left = ngram_join.one_of_each(df)
+    assert left.columns == ["doc_id", "text", *names]
+    assert sorted((str(r.doc_id), r.text, *r[2:]) for r in left.collect()) == sorted((str(d), t, *names) for d, t in rows if d != 2)
+    assert ngram_join.one_of_each(df.limit(0)).count() == 0
+
+
 def test_ngram_join_of_an_empty_table(spark):
     assert ngram_join.linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
