@@ -6,7 +6,8 @@ first shingle that two linked sets share lies in a prefix of both, so that few o
  1. Hub links. Sets with a common least hash are a group; each is compared with two hubs of its group, not with each other.
  2. Index. The prefixes' shingles give lists of (position, size). Lists are cut into blocks by size and position; two
     blocks are skipped if even their best pair has too little left after the list's shingle, and so are pairs of one
-    component. Bitmaps of the sets bound what a pair can share; what passes is compared in full.
+    component. Bitmaps of the sets, short ones and then longer ones, bound what a pair can share; what passes is compared in
+    full.
  3. Long lists make no pairs. Lists with the same first set are one family, whose answers are derived within a task: a
     hub's intersection with each member is counted, and then any two members' from how they differ from the hub. The
     triangle inequality settles most of them at once. A family gives no more links than it has members; one too large for
@@ -44,8 +45,8 @@ BUCKET_BYTES, FAMILY_BYTES = 16 << 20, 8 << 20
 BLOCK, BLOCKS = 8, 1 << 15
 #: Rows of lists that a task compares, about.
 LIST_ROWS = 200_000
-#: Classes of the bitmaps.
-BITS = 512
+#: Classes of the short bitmaps, and of the longer ones for each shingle, at least.
+BITS, MORE_BITS = 512, 4
 #: Rows that a task in Python gets at once.
 ROWS = 500
 #: What a task holds at once: bytes of text, and shingles to be dealt out.
@@ -98,20 +99,31 @@ def least_hashes(s: np.ndarray) -> list[int]:
     return s[at[there]].view(np.int64).tolist()
 
 
-def parities(s: np.ndarray) -> bytes:
-    """For each of BITS classes of shingles, whether the set has an odd number of them. Two sets' bitmaps differ in no more
-    bits than the sets have shingles of their own."""
-    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+def parities(s: np.ndarray, classes: int) -> bytes:
+    """For each class of shingles, whether the set has an odd number of them. Two sets' bitmaps differ in no more bits than
+    the sets have shingles of their own. classes: a power of two; a bitmap's halves by exclusive or are that of half as many."""
+    odd = np.bincount((s % np.uint64(classes)).astype(np.int64), minlength=classes).astype(np.uint8) & 1
+    return np.packbits(odd).tobytes()
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two bitmaps of 64-bit words differ, the longer folded to the length of the other."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text_hash, sid, n, least hashes and bitmap of each row."""
+    """id, text_hash, sid, n, least hashes and bitmaps of each row."""
     for batch in _slices(batches):
         sets = _sets(batch)
         sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.binary())
         keys = pa.array([least_hashes(s) for s in sets], pa.list_(pa.int64()))
-        bits = pa.array([parities(s) if len(s) else None for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], sid, pa.array([len(s) for s in sets], pa.int64()), keys, bits], ["id", "text_hash", "sid", "n", "keys", "bits"])
+        bits = pa.array([parities(s, BITS) if len(s) else None for s in sets], pa.binary())
+        more = pa.array([parities(s, max(64, 1 << (MORE_BITS * len(s) - 1).bit_length())) if len(s) else None for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], sid, pa.array([len(s) for s in sets], pa.int64()), keys, bits, more], ["id", "text_hash", "sid", "n", "keys", "bits", "more_bits"])
 
 
 def _blobs(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -252,10 +264,9 @@ def pairs(part: pa.Table) -> pa.Table:
     be similar."""
     values, (sid, root) = _numbers(part.column("sid"), part.column("root"))
     token, n, at = (part.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "at"))
-    bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(token), BITS // 64)
     size_class = np.floor(np.log(np.maximum(n, 1)) / np.log(PARTS / SHARE))
     order = np.lexsort((at, size_class, token))
-    token, sid, n, at, root, bits = token[order], sid[order], n[order], at[order], root[order], bits[order]
+    token, sid, n, at, root = token[order], sid[order], n[order], at[order], root[order]
     rest = n - at  # what a pair can share if this is its first
     lists = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
     size = np.diff(np.append(lists, len(token)))
@@ -281,10 +292,7 @@ def pairs(part: pa.Table) -> pa.Table:
         wide = (end - begin)[y]
         c, of_pair = _ranges(np.zeros(len(x), int), (end - begin)[x] * wide)
         i, j = begin[x][of_pair] + c // wide[of_pair], begin[y][of_pair] + c % wide[of_pair]
-        need = least_common(n[i], n[j])
-        ok = (i < j) & (root[i] != root[j]) & (np.minimum(rest[i], rest[j]) >= need)
-        i, j, need = i[ok], j[ok], need[ok]
-        ok = 2 * need + np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
+        ok = (i < j) & (root[i] != root[j]) & (np.minimum(rest[i], rest[j]) >= least_common(n[i], n[j]))
         i, j = sid[i[ok]], sid[j[ok]]
         found.append(np.unique(np.minimum(i, j) * len(values) + np.maximum(i, j)))
     code = np.unique(np.concatenate(found))
@@ -297,7 +305,17 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["sid", "data"])
 
 
+def bounding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, sizes, bitmaps) that could link by their bitmaps."""
+    for batch in batches:
+        n, m = (batch.column(k).to_numpy() for k in (2, 3))
+        own = np.array([apart(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+        ok = 2 * least_common(n, m) + own <= n + m
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, sets) that link."""
     for batch in batches:
         ok = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -306,7 +324,7 @@ def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both.sort(kind="stable")  # of two sorted runs
             common = np.count_nonzero(both[1:] == both[:-1])
             ok.append(PARTS * common >= SHARE * (len(s) + len(t) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def derived(part: pa.Table) -> pa.Table:
@@ -363,19 +381,22 @@ def fetched(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, data (its shingles) for each sid of `wanted`, from the texts that stand for them alone."""
     of = small(stored(nodes.join(wanted, "sid", "left_semi").select(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")), "wanted"))
     some = texts.join(of, F.col("text_hash").eqNullSafe(F.col("of_hash")) & F.col("id").eqNullSafe(F.col("of_id")), "left_semi")
-    sets = some.select("text").mapInArrow(fetch, "sid binary, data binary")
-    return stored(sets.groupBy("sid").agg(F.first("data").alias("data")), "sets")
+    return stored(some.select("text").mapInArrow(fetch, "sid binary, data binary"), "sets")
 
 
-def verified(sets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Those of candidates (a, b) that link, each compared in full."""
-    one = sets.select(F.col("sid").alias("a"), F.col("data").alias("x"))
-    two = sets.select(F.col("sid").alias("b"), F.col("data").alias("y"))
-    return candidates.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(comparing, "a binary, b binary")
+def beside(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, and each of the columns of rows (sid) for a and for b."""
+    one = rows.select(F.col("sid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = rows.select(F.col("sid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", *[f"{c}_{x}" for c in columns for x in "ab"])
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link, each compared in full if its bitmaps allow it."""
+    for bits in ("bits", "more_bits"):
+        pairs = stored(beside(pairs, nodes, ["n", bits]).mapInArrow(bounding, "a binary, b binary"), bits)
+    sets = fetched(texts, nodes, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    return stored(beside(pairs, sets, ["data"]).mapInArrow(comparing, "a binary, b binary"), "compared")
 
 
 def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -447,48 +468,44 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), whole(text_col).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    about = stored(rows.mapInArrow(described, "id long, text_hash long, sid binary, n long, keys array<long>, bits binary"), "about")
-
-    # nodes, and the texts that stand for them
-    firsts = [F.first(c).alias(c) for c in ("n", "keys", "bits")]
-    each = about.where("sid IS NOT NULL").groupBy("sid", "id", "text_hash").agg(F.count("*").alias("m"), *firsts)
-    nodes = each.groupBy("sid").agg(F.min("id").alias("least"), F.min(F.struct("text_hash", "id")).alias("rep"), *firsts)
-    nodes = stored(nodes.select("sid", "least", "rep.id", "rep.text_hash", "n", "keys", "bits"), "nodes")
-    texts = standing(rows, about, nodes)
+    about = stored(rows.mapInArrow(described, "id long, text_hash long, sid binary, n long, keys array<long>, bits binary, more_bits binary"), "about")
+    off = not_standing(about)
+    texts, nodes = standing(rows, off), standing(about.where("sid IS NOT NULL"), off)
 
-    near = hub_pairs(nodes)
-    links = stored(verified(fetched(texts, nodes, ends(near)), near), "hub-links")
+    links = verified(hub_pairs(nodes), texts, nodes)
     roots = stored(components(links), "roots")
 
     short, members = lists_of(texts, buckets, common_shingles(texts, buckets))
-    lists = stored(rooted(short, roots), "lists").join(small(nodes.select("sid", "bits")), "sid")
+    lists = rooted(short, roots)
     parts = max(12, -(-short.count() // LIST_ROWS))
     found = lists.groupBy(F.pmod(F.xxhash64("token"), F.lit(parts)).alias("bucket")).applyInArrow(pairs, "a binary, b binary")
-    candidates = stored(found.distinct(), "candidates")
-    more = stored(verified(fetched(texts, nodes, ends(candidates)), candidates), "pair-links")
-    links = links.unionByName(more)
-    more = stored(family_links(members, roots, lambda wanted: fetched(texts, nodes, wanted)), "family-links")
-    links = links.unionByName(more)
+    links = links.unionByName(verified(stored(found.distinct(), "candidates"), texts, nodes))
+    links = links.unionByName(stored(family_links(members, roots, lambda wanted: fetched(texts, nodes, wanted)), "family-links"))
 
     roots = stored(components(links), "roots")
-    named = stored(rooted(nodes.select("sid", "least"), roots), "rooted")
-    least = stored(named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("m")).where("m > 1").drop("m"), "least")
+    named = stored(rooted(about.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least"), F.count("*").alias("m")), roots), "rooted")
+    least = stored(named.groupBy("root").agg(F.min("least").alias("component"), F.sum("m").alias("m")).where("m > 1").drop("m"), "least")
     named = stored(named.join(small(least), "root", "left").select("sid", "root", F.coalesce("component", "least").alias("component")), "named")
     out = about.select("id", "text_hash", "sid", "n").join(named, "sid", "left")
     return out.select("id", "text_hash", "sid", "n", "root", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
-def standing(rows: DataFrame, about: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows (id, text_hash, text) that stand for a node, one for each."""
-    each = about.groupBy("id", "text_hash", "sid").agg(F.count("*").alias("m"))
-    rep = nodes.select("sid", F.col("id").alias("rep_id"), F.col("text_hash").alias("rep_hash"))
+def not_standing(about: DataFrame) -> DataFrame:
+    """off_id, off_hash of rows that do not stand for their set; `again`: one of several equal rows does."""
+    each = about.groupBy("sid", "id", "text_hash").agg(F.count("*").alias("m"))
+    rep = each.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("text_hash", "id")).alias("rep"))
     each = each.join(rep, "sid", "left")
-    is_rep = F.coalesce(F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")), F.lit(False))
-    off = stored(each.select(F.col("id").alias("off_id"), F.col("text_hash").alias("off_hash"), (is_rep & (F.col("m") > 1)).alias("again"), is_rep.alias("is_rep")).where("NOT is_rep OR again").drop("is_rep"), "off")
+    is_rep = F.coalesce(F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("text_hash") == F.col("rep.text_hash")), F.lit(False))
+    off = each.select(F.col("id").alias("off_id"), F.col("text_hash").alias("off_hash"), (is_rep & (F.col("m") > 1)).alias("again"), is_rep.alias("is_rep"))
+    return stored(off.where("NOT is_rep OR again").drop("is_rep"), "off")
+
+
+def standing(rows: DataFrame, off: DataFrame) -> DataFrame:
+    """The rows (id, text_hash, others) that stand for a set, one for each."""
     same = F.col("text_hash").eqNullSafe(F.col("off_hash")) & F.col("id").eqNullSafe(F.col("off_id"))
     once = rows.join(small(off.select("off_id", "off_hash")), same, "left_anti")
-    again = rows.join(small(off.where("again")), same, "left_semi").dropDuplicates(["id", "text_hash"])
-    return once if off.where("again").isEmpty() else once.unionByName(again)
+    again = off.where("again")
+    return once if again.isEmpty() else once.unionByName(rows.join(small(again), same, "left_semi").dropDuplicates(["id", "text_hash"]))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,6 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,13 @@ HEAD, PAYLOAD = struct.Struct("<QI"), struct.Struct("<BqI")
 FILE_BYTES = 24 << 20
 #: Pieces whose ids a worker keeps, from task to task; the frequent ones come first, and later ones are encoded each time.
 CACHE = 600_000
+#: Characters of text, and pieces, that are encoded at once.
+AT_ONCE, JOINED = 1 << 20, 500
 
-#: A word with the spaces and line ends before it. The pre-tokenizer always cuts between a non-space and one of the two,
-#: if no other white space is near; a text with other white space is encoded at once.
-PIECE, OTHER_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[^\S \n]")
+#: Pieces of a text: a word of ASCII letters before a blank or a stop, else all up to the next blank, with the spaces and line
+#: ends before it. The pre-tokenizer cuts wherever a piece ends, if no other white space is near; a text with other white
+#: space, or with a special token, is encoded at once.
+PIECE, OTHER_SPACE = re.compile(r"[ \n]*[A-Za-z]+(?=[ \n.,;:!?]|\Z)|[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[^\S \n]")
 
 
 def masked(data: bytes) -> int:
@@ -79,46 +83,52 @@ def ids_of(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class Encoder:
-    """ids of whole texts. Words repeat, so the ids of each piece are kept; they come from the tokenizers library."""
+    """ids of whole texts, with end_id after each. Pieces repeat, so their ids are kept; they come from the tokenizers library,
+    which takes the strings of special tokens for those tokens."""
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True  # in a text, their strings are ordinary text
         vocab = self.own.get_vocab()
         self.kind = "<u4" if max(*vocab.values(), end_id or 0) >= 65536 else "<u2"
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a token's letters stand for one byte each
         for token, i in vocab.items():
             self.bytes[i] = len(token)
+        special = [re.escape(t.content) for t in self.own.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([OTHER_SPACE.pattern, *special]))
         self.cache: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-
-    def _new(self, pieces: list[str]) -> dict[str, bytes]:
-        """All pieces as one text; a piece's ids end where its bytes do."""
-        ids = self._ids("".join(pieces))
-        at = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
-        data, ends = ids.tobytes(), (at * ids.itemsize).tolist()
-        return {p: data[s:e] for p, s, e in zip(pieces, [0, *ends], ends, strict=False)}
-
-    def __call__(self, text: str) -> bytes:
-        if OTHER_SPACE.search(text):
-            return self._ids(text).tobytes() + self.end
-        pieces, cache = PIECE.findall(text), self.cache
-        try:
-            return b"".join([cache[p] for p in pieces]) + self.end
-        except KeyError:
-            first, last = pieces[:1], pieces[-1:]  # one without a space before it, or of nothing but spaces, is encoded alone
-            alone = {p for p in first + last if p.isspace() or p[0] not in " \n"}
-            new = [p for p in dict.fromkeys(pieces) if p not in cache and p not in alone]
-            found = (self._new(new) if new else {}) | {p: self._ids(p).tobytes() for p in alone if p not in cache}
-            if len(cache) < CACHE:
-                cache |= found
-            return b"".join([found[p] if p in found else cache[p] for p in pieces]) + self.end
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: set[str]) -> dict[str, bytes]:
+        """Pieces that begin with a blank before a word are encoded many at a time; a piece's ids end where its bytes do."""
+        joined = [p for p in pieces if p[0] in " \n" and not p.isspace()]
+        alone = [p for p in pieces if p[0] not in " \n" or p.isspace()]
+        found = {p: x.tobytes() for p, x in zip(alone, self._ids(alone), strict=True)}
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            ids = self._ids(["".join(part)])[0]
+            upto = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
+            data, ends = ids.tobytes(), (upto * ids.itemsize).tolist()
+            found |= {p: data[s:e] for p, s, e in zip(part, [0, *ends], ends, strict=False)}
+        return found
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        odd = [bool(self.whole.search(t)) for t in texts]
+        at_once = iter(self._ids([t for t, x in zip(texts, odd, strict=True) if x]))
+        pieces = [None if x else PIECE.findall(t) for t, x in zip(texts, odd, strict=True)]
+        new = self._new(set(chain.from_iterable(p for p in pieces if p)).difference(self.cache))
+        room = CACHE - len(self.cache)
+        self.cache |= new
+        of = self.cache.__getitem__
+        out = [(next(at_once).tobytes() if p is None else b"".join(map(of, p))) + self.end for p in pieces]
+        for p in list(new)[max(room, 0) :]:
+            del self.cache[p]
+        return out
 
 
 _KEPT: dict[tuple, Encoder] = {}
@@ -145,15 +155,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, end_id)
+        wide = encode.kind == "<u4"
+
+        def framed(rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
+            ids = encode([text for _, text in rows])
+            return pa.RecordBatch.from_arrays([pa.array([frame(packed(d, x, wide)) for (d, _), x in zip(rows, ids, strict=True)], pa.binary())], ["record"])
+
         for batch in batches:
-            out, held = [], 0
+            rows, held = [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                out.append(frame(packed(doc_id.as_py(), encode(text.as_py()), encode.kind == "<u4")))
-                held += len(out[-1])
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                rows.append((doc_id.as_py(), text.as_py()))
+                held += len(rows[-1][1])
+                if held > AT_ONCE:
+                    yield framed(rows)
+                    rows, held = [], 0
+            yield framed(rows)
 
     order = ["id", F.xxhash64("text")]
     (

@@ -264,8 +264,8 @@ def test_token_files(spark, sf, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    odd = [None, "", " ", "\n", "a  b", "a \n b\n\n", "x\ty z", "<|endoftext|>", "it's 𝄞 1234 !!", "a" * 5000, "b  c " * 3000, "  lead", "日本 語"]
+    assert own.encode("hi <|endoftext|> yo", add_special_tokens=False).ids == [5303, 220, 50256, 27406]
+    odd = [None, "", " ", "\n", "a  b", "a \n b\n\n", "x\ty z", "<|endoftext|>", "hi <|endoftext|> yo", "it's,\",x.y;z\". Ed. (a.b) don't! a1.b2, é,è. \n\n.a  ,b", "a.", ".", "Mr.'s x,'s", "a,\n\nb:c ;d", "it's 𝄞 1234 !!", "a" * 5000, "b  c " * 3000, "  lead", "日本 語"]
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(-i, t) for i, t in enumerate(odd)] + [(None, "null id"), (3, "same id")]
     out = new_path(spark, "test-tokens")
     token_files.write_tokens(spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, id int"), out, path, file_bytes=50_000)
