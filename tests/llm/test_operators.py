@@ -449,6 +449,35 @@ def test_licenses_without_keywords_and_over_line_ends(spark):
     assert all(k > 1000 for k in found)
 
 
+def test_licenses_of_equal_and_null_ids(spark):
+    ordinary = "The thand oner is andthe reer thaning of the ou and in the only this re."
+    planted = ["Released under the MIT terms.", "Apache 2.0", "available under the BSD 3-Clause terms", "Distributed under GNU GPL version 3 terms", "Creative Commons Attribution 4.0 International License"]
+    want = ["MIT", "Apache-2.0", "BSD", "GPL", "CC-BY"]
+    rows = [(i, f"{ordinary} {i}\n" * 3) for i in range(200)] + [(k % 2 or None, f"{ordinary}\n{t}\n{ordinary}") for k, t in enumerate(planted)] + [(7, planted[0]), (7, planted[0]), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)).withColumn("words_of", F.lit(2)).withColumn("text_of", F.lit("x"))
+    out = licenses.notices(df)
+    assert out.columns == [*df.columns, "notices"]
+    got = Counter((r.doc_id, r.text, x.line, x.family) for r in out.collect() for x in r.notices)
+    assert got == Counter([(k % 2 or None, f"{ordinary}\n{t}\n{ordinary}", 1, want[k]) for k, t in enumerate(planted)] + 2 * [(7, planted[0], 0, "MIT")])
+    assert licenses.notices(df.limit(0)).count() == 0
+
+
+def test_license_bound_drops_no_window(spark):
+    """All windows scored one by one, by the model's own weights, give what the scan gives."""
+    r = random.Random(6)
+    pool = sorted({w for ts in licenses.TEMPLATES.values() for t in ts for w in re.sub(r"[^A-Za-z0-9.+-]+", " ", t).split()})
+    lines = [" ".join(r.choice(pool) for _ in range(r.randint(1, 40))) for _ in range(300)] + [t for ts in licenses.TEMPLATES.values() for t in ts]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i : i + 2])) for i in range(0, len(lines), 2)], "doc_id long, text string")
+    ordinary = spark.createDataFrame([(f"only plain words in row {i}".split(), i % 2) for i in range(200)], "w array<string>, part int")
+    model = licenses.Model(spark, ordinary)
+    text, some = model.found("text"), model.possible(licenses.words("text"))
+    got = {r.doc_id: (r.possible, r.found) for r in docs.select("doc_id", F.expr(some).alias("possible"), F.expr(text).alias("found")).collect()}
+    model.need = -1e9
+    for r in docs.select("doc_id", F.expr(model.found("text")).alias("found")).collect():
+        assert got[r.doc_id][1] == r.found
+        assert got[r.doc_id][0] or not r.found
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
