@@ -9,7 +9,7 @@ blocks are dealt to the shards by these counts, disjoint, and each shard is shuf
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -21,11 +21,8 @@ MOST = 3
 SHARDS = 64
 #: Words in a block; larger where there would be more than MAX_BLOCKS of them, so that the tables of blocks stay small.
 BLOCK_WORDS, MAX_BLOCKS = 65_536, 1_000_000
-
-
-def _random(*cols: Column | str | int) -> Column:
-    """A number in [0, 1) from a hash."""
-    return (F.xxhash64(*[F.lit(c) if isinstance(c, int) else c for c in cols]).bitwiseAND((1 << 53) - 1) / float(1 << 53)).cast("double")
+#: Columns of the mix.
+OWN = ("size", "source_size", "target", "taken", "draws")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -86,13 +83,20 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
 
     Null texts and ids are as good as any: a null text has size 0, a null source is a source of its own and comes last.
     Repeated rows are rows of their own. All-empty sources have target 0 and are taken in no pass. An empty table gives an
-    empty table. Columns that are not asked for are not read. Rows are dealt by source and block, so that a source with a
-    third of all rows is spread like any other. Reruns agree, whatever the partitions: everything random is a hash.
+    empty table. Columns that are not asked for are not read; of those asked for, size, source_size, target, taken and draws
+    are the mix's own, all others may have any name. Rows are dealt by source and block, so that a source with a third of all
+    rows is spread like any other, and so are null ids, equal ids and equal rows. Reruns agree, whatever the partitions:
+    everything random is a hash. Only equal rows that fill a block alone are told apart by their place in the table.
     """
-    keep = [c for c in columns if c not in ("size", "source_size", "target", "taken", "draws", "rest", "passes", "block", "before", "source_no", "n_blocks", "shards", "_source", "_name", "_at", "_text_hash", "_upto", "_times")]
-    rows = docs.select(*keep, F.col("source").alias("_source"), n_words().alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("_at"), F.xxhash64("text").alias("_text_hash"))
+    keep = [c for c in columns if c.lower() not in OWN]
+    held = F.struct(*([F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")])).alias("_keep")
+    rows = docs.select(held, F.col("source").alias("_source"), n_words().alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_at"), F.xxhash64("text").alias("_text_hash"))
     rows = stored(rows, "sizes")
-    spark = docs.sparkSession
+    many = rows.groupBy("_at", "_text_hash").agg(F.sum("size").alias("_n"), F.count("*").alias("_m")).where(f"_n > {block_words} AND _m > 1")
+    many = stored(many.select("_at", "_text_hash", F.lit(True).alias("_many")), "equal-rows")
+    if not many.isEmpty():
+        own = F.when(F.col("_many"), F.xxhash64("_at", F.monotonically_increasing_id())).otherwise(F.col("_at"))
+        rows = stored(rows.join(small(many), ["_at", "_text_hash"], "left").withColumn("_at", own).drop("_many"), "sizes")
     sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, most)
     total = F.sum("source_size").over(W.partitionBy())
@@ -131,9 +135,11 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     times = F.least(times, F.coalesce(F.size("shards"), F.lit(0)), F.lit(most))
     draws = F.expr("transform(slice(shards, 1, _times), x -> named_struct('shard', x.shard, 'place', xxhash64(_at, _text_hash, x.pass)))")
     rows = rows.withColumn("_times", times).withColumn("draws", F.when(F.col("_times") > 0, draws))
-    return rows.select(*keep, "size", "source_size", "target", (F.col("_times") * F.col("size")).cast("long").alias("taken"), "draws")
+    return rows.select(*[F.col(f"_keep.`{c}`").alias(c) for c in keep], "size", "source_size", "target", (F.col("_times") * F.col("size")).cast("long").alias("taken"), "draws")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and the words that the mix takes of it. Null texts have size 0; null and
+    repeated ids are rows like any other."""
     out = mixed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.transform("draws", lambda x: x["shard"]), ",").alias("shards"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import table, whole
+from tessera.llm._common import table, unused, whole
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: kind: (what a text must contain to be searched at all, pattern). The first four are the base kinds.
@@ -104,14 +104,15 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     A null or empty text has no span. Rows are judged one by one: nulls elsewhere, repeated rows and other columns stay
     as they are, but a column named pii is replaced.
     """
-    out = docs.withColumn("_text", whole(text))
-    t = F.col("_text")
-    out = out.withColumn("_found", F.struct(*[matches(t, k).alias(k) for k in PATTERNS]))
+    own, found = unused([*docs.columns, "pii"], "text_of", "found")
+    out = docs.withColumn(own, whole(text))
+    t = F.col(own)
+    out = out.withColumn(found, F.struct(*[matches(t, k).alias(k) for k in PATTERNS]))
 
     def kept(kind: str) -> Column:
-        return F.filter(F.col(f"_found.{kind}"), lambda x: confirmed(kind, x["m"]) & (F.lit(True) if kind in BASE else scored(t, kind, x) >= LEAST))
+        return F.filter(F.col(f"{found}.{kind}"), lambda x: confirmed(kind, x["m"]) & (F.lit(True) if kind in BASE else scored(t, kind, x) >= LEAST))
 
-    return out.withColumn("pii", F.struct(*[kept(k).alias(k) for k in PATTERNS])).drop("_text", "_found")
+    return out.withColumn("pii", F.struct(*[kept(k).alias(k) for k in PATTERNS])).drop(own, found)
 
 
 def listed(kinds: tuple[str, ...], column: str = "pii") -> Column:
@@ -125,25 +126,29 @@ def listed(kinds: tuple[str, ...], column: str = "pii") -> Column:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets. Overlapping spans become one, named after
-    the first of them. Texts without spans, null and empty ones among them, stay as they are."""
-    found = spans(docs, text)
+    the first of them. Texts without spans, null and empty ones among them, stay as they are, and so do other columns."""
+    (held,) = unused(docs.columns, "held")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    found = spans(docs.select(F.struct(*columns).alias(held), F.col(f"`{text}`").alias("text")))
 
     def of(kind: str) -> Column:
         return F.transform(F.col(f"pii.{kind}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("m")))
 
-    found = found.withColumn("_all", F.array_sort(F.concat(*map(of, PATTERNS))))
-    t = F.col(text)
+    found = found.withColumn("all", F.array_sort(F.concat(*map(of, PATTERNS))))
+    t = F.col("text")
 
     def step(acc: Column, x: Column) -> Column:
         fresh = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), x["m"]).alias("out"))
         longer = F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
         return F.when(x["s"] >= acc["at"], fresh).otherwise(longer)
 
-    new = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.lit(2**31 - 1))))
-    return found.withColumn(text, F.when(F.size("_all") > 0, new).otherwise(t)).drop("_all", "pii")
+    new = F.aggregate("all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.lit(2**31 - 1))))
+    found = found.withColumn("new", F.when(F.size("all") > 0, new).otherwise(t))
+    return found.select(*[F.col("new").alias(c) if c == text else F.col(f"{held}.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of every document; null and empty texts have none, null and repeated ids are rows like any other."""
     found = spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import BLANK, WORD, stored, table, whole
+from tessera.llm._common import BLANK, WORD, stored, table, unused, whole
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -26,29 +26,30 @@ def features(docs: DataFrame) -> DataFrame:
     by sorting their hashes, not pair by pair.
     """
     text = whole()
-    out = docs.withColumn("_w", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    out = out.withColumn("_n", F.size("_w").cast("long"))
-    out = out.withColumn("_h", F.when(F.col("_n") >= WINDOW, F.expr(f"transform(sequence(1, cast(_n AS int) - {WINDOW - 1}), i -> xxhash64(slice(_w, i, {WINDOW})))")).otherwise(F.expr("array()").cast("array<bigint>")))
-    out = out.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
-    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
-    out = out.withColumn("_s", F.when(repeats, F.expr("array_sort(transform(_h, (h, i) -> struct(h, i)))")))
-    at = F.expr("array_sort(transform(filter(_s, (x, j) -> (j > 0 AND x.h = get(_s, j - 1).h) OR (j < size(_s) - 1 AND x.h = get(_s, j + 1).h)), x -> x.i))")
-    out = out.withColumn("_at", F.when(repeats, at))
-    covered = F.expr(f"aggregate(_at, struct(0 AS e, 0L AS c), (a, i) -> struct(i + {WINDOW} AS e, a.c + i + {WINDOW} - greatest(i, a.e) AS c), a -> a.c)")
+    w, n, h, lines, pairs, at = unused(docs.columns, "w", "n", "h", "lines", "pairs", "at")
+    out = docs.withColumn(w, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    out = out.withColumn(n, F.size(w).cast("long"))
+    out = out.withColumn(h, F.when(F.col(n) >= WINDOW, F.expr(f"transform(sequence(1, cast({n} AS int) - {WINDOW - 1}), i -> xxhash64(slice({w}, i, {WINDOW})))")).otherwise(F.expr("array()").cast("array<bigint>")))
+    out = out.withColumn(lines, F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
+    repeats = F.size(F.array_distinct(h)) < F.size(h)
+    out = out.withColumn(pairs, F.when(repeats, F.expr(f"array_sort(transform({h}, (h, i) -> struct(h, i)))")))
+    twice = F.expr(f"array_sort(transform(filter({pairs}, (x, j) -> (j > 0 AND x.h = get({pairs}, j - 1).h) OR (j < size({pairs}) - 1 AND x.h = get({pairs}, j + 1).h)), x -> x.i))")
+    out = out.withColumn(at, F.when(repeats, twice))
+    covered = F.expr(f"aggregate({at}, struct(0 AS e, 0L AS c), (a, i) -> struct(i + {WINDOW} AS e, a.c + i + {WINDOW} - greatest(i, a.e) AS c), a -> a.c)")
     q = F.struct(
-        F.col("_n").alias("n_words"),
+        F.col(n).alias("n_words"),
         F.length(F.regexp_replace(text, BLANK, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(repeats, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.array_intersect("_w", F.array(*map(F.lit, COMMON)))).cast("long").alias("n_common"),
-        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
-        F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?:;)\"'…][\x20\x09-\x0D]*$"))).cast("long").alias("n_ended"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.size(F.array_intersect(w, F.array(*map(F.lit, COMMON)))).cast("long").alias("n_common"),
+        F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+        F.size(F.filter(lines, lambda x: x.rlike(r"[.!?:;)\"'…][\x20\x09-\x0D]*$"))).cast("long").alias("n_ended"),
         F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
     )
-    return out.withColumn("q", q).drop("_w", "_n", "_h", "_lines", "_s", "_at")
+    return out.withColumn("q", q).drop(w, n, h, lines, pairs, at)
 
 
 def base_failed(q: str = "q") -> Column:
@@ -119,5 +120,7 @@ def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of every document, whether the base rules fail it, and whether it is kept. A null or empty text has counts of
+    0 and fails; null and repeated ids are rows like any other."""
     out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     return out.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed", "kept", "posterior")

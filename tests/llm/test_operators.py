@@ -170,7 +170,10 @@ def test_mixing(spark):
     r = random.Random(2)
     rows = [(i, " ".join("w" * r.randint(1, 3) for _ in range(r.randint(1, 60))), "en", "hot" if i % 3 == 0 else f"s{i % 7}", 1) for i in range(3000)]
     rows += [(9001, None, None, "empty", 1), (9002, "a b c", None, None, 1), (9003, "a b c", None, None, 1), (9003, "a b c", None, None, 1), (None, "x y", None, "tiny", 1)]
-    df = spark.createDataFrame(rows, DOC).withColumn("draws", F.lit("clash"))
+    df = spark.createDataFrame(rows, DOC).withColumn("draws", F.lit("clash")).withColumn("block", F.lit("own")).withColumn("_at", F.lit(1))
+    asked = mixing.mixed(df, block_words=500, shards=8, columns=("block", "_at", "draws", "doc_id"))
+    assert asked.columns == ["block", "_at", "doc_id", "size", "source_size", "target", "taken", "draws"]
+    assert {r.block for r in asked.collect()} == {"own"}
     out = mixing.mixed(df, block_words=500, shards=8).cache()
     got = out.collect()
     assert len(got) == len(rows)
@@ -209,6 +212,16 @@ def test_mixing(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_mixing_of_null_ids_and_equal_rows(spark):
+    rows = [(None, "a b c d e f g", None, "nulls", 1)] * 900 + [(None, f"x y {i}", None, "more", 1) for i in range(900)] + [(5, "one two", None, "few", 1)] * 3
+    got = mixing.mixed(spark.createDataFrame(rows, DOC), block_words=50, shards=4, columns=("source",)).collect()
+    assert len(got) == len(rows)
+    for s in ("nulls", "more", "few"):
+        own = [x for x in got if x.source == s]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 7
+        assert all(x.taken <= 3 * x.size for x in own)
+
+
 def test_splitting_tree(spark):
     blocks = spark.createDataFrame([(0, 100), (1, 7), (2, 0), (3, 33)], "source_no int, n long")
     rows = mixing.shard_quotas(blocks, 6, 3).collect()
@@ -251,11 +264,46 @@ def test_packing(spark):
 
 def test_best_fit_takes_the_tightest_compatible_bin():
     bins = packing.Bins(10, 1)
-    assert bins.put(7, 0, -1) == (0, 0)
-    assert bins.put(8, 1, 5) == (1, 0)
-    assert bins.put(2, 2, 5) == (0, 7)  # bin 1 is tighter but holds the cluster
-    assert bins.put(2, 1, -1) == (2, 0)  # bin 1 holds the source
-    assert bins.put(1, 3, -1) == (0, 9)
+    assert bins.put(7, 0, 0) == (0, 0)
+    assert bins.put(8, 1, 1 << 5) == (1, 0)
+    assert bins.put(2, 2, 1 << 5) == (0, 7)  # bin 1 is tighter but holds the cluster
+    assert bins.put(2, 1, 0) == (2, 0)  # bin 1 holds the source
+    assert bins.put(1, 3, 0) == (0, 9)
+
+
+def test_packing_is_plain_best_fit(spark):
+    """Against a search through all bins, in the order of sizes; the same bins from any partitions."""
+    r = random.Random(9)
+    rows = [(i, r.randint(1, 400), f"s{i % 3}", [r.randrange(40)] if i % 2 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, n long, source string, clusters array<long>").withColumn("text", F.lit("x"))
+    pack = lambda df: {(x.doc_id, x.piece): (x.bin, x.place) for x in packing.packed(df, 300, 2, size=F.col("n"), clusters=F.col("clusters")).collect()}
+    got = pack(df)
+    order = {x.doc_id: k for k, x in enumerate(df.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").collect())}
+    bins = []
+    for d, n, s, c in sorted((x for x in rows if x[1] % 300), key=lambda x: (-(x[1] % 300), order[x[0]])):
+        n %= 300
+        fit = [b for b in bins if b["room"] >= n and b["sources"][s] < 2 and not b["clusters"] & set(c or ())]
+        best = min(fit, key=lambda b: (b["room"], b["k"]), default=None)
+        if best is None:
+            best = {"room": 300, "k": len(bins), "sources": Counter(), "clusters": set()}
+            bins.append(best)
+        assert got[d, rows[d][1] // 300] == (f"0-{best['k']}", 300 - best["room"])
+        best["room"] -= n
+        best["sources"][s] += 1
+        best["clusters"] |= set(c or ())
+    assert pack(df.repartition(7)) == got
+    assert 0.85 < sum(x[1] % 300 for x in rows) / (300 * len(bins))
+
+
+def test_packing_of_equal_rows_and_near_copies(spark):
+    rows = [(None, "same words in every row", "s")] * 300 + [(i, " ".join(f"w{j}" for j in range(60)) + f" and {i}", "t") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = packing.packed(df, capacity=200, per_source=9, window=50).collect()
+    assert len(got) == len(rows)
+    same = Counter(x.bin for x in got if x.doc_id is None)
+    assert max(same.values()) == 1
+    near = Counter(x.bin for x in got if x.doc_id is not None)
+    assert max(near.values()) <= 2
 
 
 def test_token_files(spark, sf, tmp_path):
@@ -478,6 +526,27 @@ def test_license_bound_drops_no_window(spark):
         assert got[r.doc_id][0] or not r.found
 
 
+def test_pipeline_of_odd_rows(spark):
+    import corpus_pipeline
+
+    good = "The cat sat on the mat. It was warm and the sun shone over all of the old garden. "
+    rows = [(1, good * 1 + "Write to me@x.org today.", None, "s", 1), (1, good * 1 + "Write to me@x.org today.", None, "s", 1), (None, "Now and then a bird sang in one of the tall trees near the house by the sea.", "en", None, 1), (2, None, None, None, None), (3, "", "en", "s", 0)]
+    extra = ["_draw", "size", "q", "kept", "pii", "_n", "_text", "held", "draws"]
+    docs = spark.createDataFrame(rows, DOC).select("*", *[F.lit(c).alias(c) for c in extra])
+    for df in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, None)
+            assert out.columns == docs.columns
+            path = new_path(spark, "test-stage")
+            out.write.parquet(path)
+            df = spark.read.parquet(path)
+            assert all(r[c] == c for r in df.collect() for c in extra)
+        last = corpus_pipeline.STAGES[-1][1](spark, df, None)
+        assert last.columns == ["doc_id", "piece", "first", "n", "bin", "place"]
+        assert last.count() == df.count()
+    assert "me@x.org" not in str(df.collect())
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import pii, quality
 
@@ -121,3 +122,12 @@ def test_queries(spark, sf):
         want = base_spans(text[r.doc_id])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(v) for v in want.values()]
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, v in want.items() for s, e in v).encode()).hexdigest()
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_n", "_w", "_h", "_lines", "_s", "_at", "w", "n", "h", "lines", "pairs", "at", "_text", "_found", "_all", "all", "new", "held", "text_of", "found"]
+    df = spark.createDataFrame([(1, "mail me@x.org"), (None, None)], "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in names])
+    for out in (quality.judged(df), pii.spans(df), pii.redacted(df)):
+        assert all(r[n] == n for r in out.collect() for n in names)
+        assert set(df.columns) <= set(out.columns)
+    assert [r.text for r in pii.redacted(df).orderBy(F.desc("doc_id")).collect()] == ["mail [EMAIL]", None]
