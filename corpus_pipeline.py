@@ -1,4 +1,8 @@
-"""From documents to packed training sequences, stage by stage. Each stage is written as Parquet and read again."""
+"""From documents to packed training sequences, stage by stage. Each stage is written as Parquet and read again.
+
+Null and empty texts have no word, so that the first stage drops them. Repeated rows are near duplicates of each other; null ids
+and nulls in other columns stay as they are. All stages but the last keep every column, whatever its name, and an empty table
+goes through all of them."""
 
 from __future__ import annotations
 
@@ -11,7 +15,8 @@ from tessera.llm._common import new_path, table, until_exit
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.judged(docs).where("kept").select(*docs.columns)
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return quality.judged(rows).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +26,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data give way to their kind in brackets; n_chars follows."""
-    out = pii.redacted(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document."""
-    return mixing.mixed(docs, columns=tuple(docs.columns)).select(*docs.columns, F.explode("draws").alias("_draw")).select(*docs.columns)
+    rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return mixing.mixed(rows, columns=("row",)).select("row", F.explode("draws").alias("draw")).select("row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
