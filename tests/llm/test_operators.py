@@ -518,12 +518,18 @@ def test_license_bound_drops_no_window(spark):
     docs = spark.createDataFrame([(i, "\n".join(lines[i : i + 2])) for i in range(0, len(lines), 2)], "doc_id long, text string")
     ordinary = spark.createDataFrame([(f"only plain words in row {i}".split(), i % 2) for i in range(200)], "w array<string>, part int")
     model = licenses.Model(spark, ordinary)
-    text, some = model.found("text"), model.possible(licenses.words("text"))
-    got = {r.doc_id: (r.possible, r.found) for r in docs.select("doc_id", F.expr(some).alias("possible"), F.expr(text).alias("found")).collect()}
+    docs = docs.withColumn("w", F.expr(licenses.words("text")))
+
+    def found():
+        rows = docs.withColumn("at", F.expr(model.likely("w"))).withColumn("found", F.expr(model.found("text", "w", "at")))
+        return {r.doc_id: (len(r.at), r.found) for r in rows.select("doc_id", "at", "found").collect()}
+
+    got = found()
     model.need = -1e9
-    for r in docs.select("doc_id", F.expr(model.found("text")).alias("found")).collect():
-        assert got[r.doc_id][1] == r.found
-        assert got[r.doc_id][0] or not r.found
+    for d, (_, every) in found().items():
+        assert got[d][1] == every
+        assert got[d][0] or not every
+    assert any(x for _, x in got.values()) and not all(n for n, _ in got.values())
 
 
 def test_pipeline_of_odd_rows(spark):
