@@ -515,8 +515,9 @@ def test_license_bound_drops_no_window(spark):
     r = random.Random(6)
     pool = sorted({w for ts in licenses.TEMPLATES.values() for t in ts for w in re.sub(r"[^A-Za-z0-9.+-]+", " ", t).split()})
     lines = [" ".join(r.choice(pool) for _ in range(r.randint(1, 40))) for _ in range(300)] + [t for ts in licenses.TEMPLATES.values() for t in ts]
+    lines += [f"only plain words stand here {i}" for i in range(100)]
     docs = spark.createDataFrame([(i, "\n".join(lines[i : i + 2])) for i in range(0, len(lines), 2)], "doc_id long, text string")
-    ordinary = spark.createDataFrame([(f"only plain words in row {i}".split(), i % 2) for i in range(200)], "w array<string>, part int")
+    ordinary = spark.createDataFrame([(f"only plain words in row {i}".split() if i > 200 else [w.lower() for w in r.choices(pool, k=12)], i % 2) for i in range(4000)], "w array<string>, part int")
     model = licenses.Model(spark, ordinary)
     docs = docs.withColumn("w", F.expr(licenses.words("text")))
 
