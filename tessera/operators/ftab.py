@@ -17,7 +17,8 @@ def kmer_table(docs: DataFrame, seq: str, k: int) -> DataFrame:
 
 
 def ftab(docs: DataFrame, seq: str, k: int = K_DNA) -> DataFrame:
-    """kmer, docs (array, ascending): the documents that hold each k-mer."""
+    """kmer, docs (array, ascending): the documents that hold each k-mer. A collection has fewer than 65,535 documents, so
+    that an array stays below 0.3 MB; documents are made distinct before they are gathered."""
     found = kmers(docs.select("doc_id", seq), seq, k).select("kmer", "doc_id").distinct()
     return found.groupBy("kmer").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
 

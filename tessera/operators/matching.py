@@ -10,24 +10,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.plans.common import kmers, listed, small, stored
+from tessera.plans.common import kmers, listed, small, stored, substrings
 
 SEED = 12
 
 
-def contained(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern id, doc id) of each pattern that a document's text holds. docs: doc_id, text; patterns: read_id, seq.
+def contained(docs: DataFrame, patterns: DataFrame, k: int = SEED) -> DataFrame:
+    """(read_id, doc_id) of each pattern that a document's text holds. docs: doc_id, text; patterns: read_id, seq.
 
-    Few patterns go to every task and each text is searched once for each; many are found by the seed join, whose islands
-    over a whole pattern are its occurrences. Empty patterns and null texts match nothing.
+    A pattern's seeds lie side by side, the last one at its end, so that it occurs where a document has all of them at one
+    distance: an equi-join and a count. Patterns shorter than a seed are looked up by their length. Empty patterns and null
+    texts match nothing; equal patterns are looked up once.
     """
-    patterns = patterns.where("seq <> ''")
-    if patterns.limit(1001).count() <= 1000:
-        return docs.join(F.broadcast(patterns), F.contains("text", "seq")).select("read_id", "doc_id")
-    k = patterns.agg(F.min(F.length("seq"))).first()[0]
-    k = min(k, SEED)
-    found = islands(docs, patterns, k)
-    return found.join(patterns, "read_id").where("s = 0 AND e = length(seq) - 1").select("read_id", "doc_id").distinct()
+    patterns = stored(patterns.where("seq <> ''").select("read_id", "seq"), "patterns")
+    once = patterns.groupBy("seq").agg(F.min("read_id").alias("first"))
+    at = F.array_distinct(F.concat(F.sequence(F.lit(0), F.length("seq") - k, F.lit(k)), F.array(F.length("seq") - k)))
+    seeds = once.where(F.length("seq") >= k).withColumn("at", at).select("first", F.size("at").alias("n"), F.explode("at").alias("p"), "seq")
+    seeds = stored(seeds.select("first", "n", "p", F.expr(f"substring(seq, p + 1, {k})").alias("kmer")), "seeds")
+    hits = kmers(docs.select("doc_id", "text"), "text", k, "q").join(small(seeds), "kmer")
+    found = hits.groupBy("first", "doc_id", "n", (F.col("q") - F.col("p")).alias("diag")).agg(F.count("*").alias("m")).where("m = n").select("first", "doc_id")
+    short = stored(once.where(F.length("seq") < k), "short-patterns")
+    for n in sorted(r.n for r in short.select(F.length("seq").alias("n")).distinct().collect()):  # fewer lengths than k
+        own = short.where(F.length("seq") == n).select("first", F.col("seq").alias("kmer"))
+        found = found.unionByName(kmers(docs.select("doc_id", "text"), "text", n, "q").join(small(own), "kmer").select("first", "doc_id"))
+    named = patterns.join(small(stored(once, "once")), "seq").select("read_id", "first")
+    return found.distinct().join(small(stored(named, "names")), "first").select("read_id", "doc_id")
 
 
 def islands(docs: DataFrame, reads: DataFrame, k: int = SEED) -> DataFrame:
@@ -44,23 +51,16 @@ def islands(docs: DataFrame, reads: DataFrame, k: int = SEED) -> DataFrame:
 
 
 def short_matches(docs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
-    """lmer, doc_id for each string of fewer than k characters that a read and a document share."""
-    out = None
-    for n in range(1, k):
-        own = stored(kmers(reads.select("seq"), "seq", n, "p", "lmer").select("lmer").distinct(), "short")
-        found = kmers(docs.select("doc_id", "text"), "text", n, "q", "lmer").join(small(own), "lmer", "left_semi").select("lmer", "doc_id").distinct()
-        out = found if out is None else out.unionByName(found)
-    return out
+    """lmer, doc_id for each string of fewer than k characters that a read and a document share. Texts are read once."""
+    own = stored(substrings(reads.select("seq"), "seq", k - 1).select("lmer").distinct(), "short")
+    return substrings(docs.select("doc_id", "text"), "text", k - 1).join(small(own), "lmer", "left_semi").select("lmer", "doc_id").distinct()
 
 
 def statistics(found: DataFrame, reads: DataFrame, k: int, short: DataFrame | None = None) -> DataFrame:
     """read_id, e, s: the longest match that ends at e begins at s. found: islands."""
     ends = found.select("read_id", "s", F.explode(F.sequence(F.col("s") + k - 1, F.col("e"))).alias("e"))
     if short is not None:
-        at = None
-        for n in range(1, k):
-            own = kmers(reads.select("read_id", "seq"), "seq", n, "s", "lmer").withColumn("e", F.col("s") + n - 1)
-            at = own if at is None else at.unionByName(own)
+        at = substrings(reads.select("read_id", "seq"), "seq", k - 1, "s").withColumn("e", F.col("s") + F.length("lmer") - 1)
         ends = ends.unionByName(at.join(short.select("lmer").distinct(), "lmer", "left_semi").select("read_id", "s", "e"))
     return ends.groupBy("read_id", "e").agg(F.min("s").alias("s"))
 
@@ -91,7 +91,8 @@ def listing(docs: DataFrame, reads: DataFrame, k: int = SEED, exact: bool = Fals
     found = stored(islands(docs, own, k), "islands")
     short = stored(short_matches(docs, own, k), "short-matches") if exact and k > 1 else None
     cut = stored(factors(statistics(found, own, k, short), own), "factors")
-    inside = cut.where("hit").join(found.select("read_id", "doc_id", F.col("s").alias("i_s"), F.col("e").alias("i_e")), "read_id").where("i_s <= s AND e <= i_e")
+    # no island that ends at e or after it begins before s, so that those around a factor begin with it
+    inside = cut.where("hit").join(found.select("read_id", "doc_id", "s", F.col("e").alias("i_e")), ["read_id", "s"]).where("e <= i_e")
     holders = inside.select("read_id", "ord", "doc_id")
     if short is not None:
         strings = cut.where(f"hit AND e - s + 1 < {k}").join(own, "read_id").select("read_id", "ord", F.expr("substring(seq, s + 1, e - s + 1)").alias("lmer"))

@@ -15,15 +15,23 @@ def votes(rows: DataFrame) -> DataFrame:
     return each.groupBy("read_id", "doc_id").agg(F.sum("n").alias("weight"))
 
 
-def range_votes(rows: DataFrame, documents: DataFrame) -> DataFrame:
+def range_votes(rows: DataFrame, n_docs: int, k: int | None = None) -> DataFrame:
     """read_id, doc_id, weight: each match shares its length among all documents from the first to the last that it lists.
-    documents: doc_id, dense from 0. Ranges become differences at their two ends, so that no row is made for each id in
-    between but for ids that exist."""
+    Documents are 0 ... n_docs - 1.
+
+    A read's matches cut the documents into stretches of equal weight, no more than twice its matches, and a weight is
+    counted once for each. With k, a stretch gives a row for its first k documents only: the heaviest k are among them.
+    Without it, all its documents have one.
+    """
     spans = rows.where(F.size("docs") > 0).select("read_id", F.array_min("docs").alias("lo"), F.array_max("docs").alias("hi"), (F.col("e") - F.col("s") + 1).alias("n"))
     spans = spans.withColumn("share", F.col("n") / (F.col("hi") - F.col("lo") + 1)).groupBy("read_id", "lo", "hi").agg(F.sum("share").alias("share"))
-    each = spans.select("read_id", F.explode(F.sequence("lo", "hi")).alias("doc_id"), "share")
-    out = each.groupBy("read_id", "doc_id").agg(F.round(F.sum("share"), 3).alias("weight"))
-    return out.join(documents.select("doc_id"), "doc_id", "left_semi")
+    own = spans.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "share"))).alias("x"))
+    own = own.withColumn("at", F.expr("array_sort(array_distinct(concat(transform(x, y -> y.lo), transform(x, y -> y.hi + 1))))"))
+    own = own.select("read_id", "x", F.explode(F.expr("zip_with(at, slice(at, 2, size(at)), (a, b) -> struct(a, b))")).alias("p")).where("p.b IS NOT NULL")
+    weight = F.round(F.expr("aggregate(filter(x, y -> y.lo <= p.a AND p.a <= y.hi), 0D, (a, y) -> a + y.share)"), 3)
+    own = own.select("read_id", F.col("p.a").alias("lo"), F.least(F.col("p.b"), F.lit(n_docs)).alias("end"), weight.alias("weight")).where("weight > 0 AND lo < end")
+    end = F.col("end") if k is None else F.least("end", F.col("lo") + k)
+    return own.select("read_id", F.explode(F.sequence(F.col("lo"), end - 1)).alias("doc_id"), "weight")
 
 
 def with_silent(weights: DataFrame, reads: DataFrame, documents: DataFrame) -> DataFrame:

@@ -17,9 +17,12 @@ BUCKET_ROWS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new one where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset and all runs on one machine, as in tests, a new one; on a
+    cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,6 +69,17 @@ def kmers(df: DataFrame, seq: str, k: int, pos: str = "pos", kmer: str = "kmer")
     return chunks.select(*rest, F.explode(each).alias("_k")).select(*rest, f"_k.{pos}", f"_k.{kmer}")
 
 
+def substrings(df: DataFrame, seq: str, most: int, pos: str = "pos", lmer: str = "lmer") -> DataFrame:
+    """A row for each substring of 1 to `most` characters of column seq, which goes. Texts are cut into chunks first."""
+    starts = F.expr(f"CASE WHEN length({seq}) > 0 THEN sequence(0, length({seq}) - 1, {CHUNK}) ELSE cast(array() AS array<int>) END")
+    cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col(seq), i + 1, F.lit(CHUNK + most - 1)).alias("part")))
+    rest = [c for c in df.columns if c != seq]
+    chunks = spread(df).select(*rest, F.explode(cut).alias("_c")).select(*rest, "_c.at", "_c.part")
+    each = F.expr(f"""flatten(transform(sequence(1, least({CHUNK}, length(part))), i ->
+        transform(sequence(1, least({most}, length(part) - i + 1)), n -> named_struct('{pos}', at + i - 1, '{lmer}', substring(part, i, n)))))""")
+    return chunks.select(*rest, F.explode(each).alias("_k")).select(*rest, f"_k.{pos}", f"_k.{lmer}")
+
+
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """df with `name`, its global row number from 0. Rows are range partitioned, numbered within each partition, and the
     partitions' sizes added up: no task sees all rows. The partitioned rows are stored first, so that all steps see the

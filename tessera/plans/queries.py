@@ -236,7 +236,8 @@ def vote_top3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vote_lca(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = V.top(V.range_votes(_listed_parts(spark, sf), benchmark(spark, sf)))
+    n = benchmark(spark, sf).agg(F.max("doc_id")).first()[0] + 1
+    ranked = V.top(V.range_votes(_listed_parts(spark, sf), n, V.TOP))
     return plain(ranked.select(F.col("read_id").alias("p_partkey"), "rnk", "doc_id", "weight"))
 
 

@@ -132,8 +132,13 @@ def test_votes(spark):
     top = {(r.read_id, r.rnk): (r.doc_id, r.weight) for r in V.top(V.votes(rows)).collect()}
     assert top == {(1, 1): (2, 7), (1, 2): (0, 4), (3, 1): (1, 6)}
     docs = spark.range(3).withColumnRenamed("id", "doc_id")
-    lca = {(r.read_id, r.doc_id): r.weight for r in V.range_votes(rows, docs).collect()}
+    lca = {(r.read_id, r.doc_id): r.weight for r in V.range_votes(rows, 3).collect()}
     assert lca == {(1, 0): 1.333, (1, 1): 1.333, (1, 2): 4.333, (3, 1): 6.0}
+    wide = spark.createDataFrame([(1, 0, 0, 9, [0, 999_999]), (1, 1, 0, 4, [500_000, 999_999]), (1, 2, 0, 1, [7])], "read_id long, ord int, s int, e int, docs array<long>")
+    few = {r.doc_id: r.weight for r in V.range_votes(wide, 1_000_000, 2).collect()}
+    assert set(few) == set() or set(few) == {7}  # shares below 0.0005 round to nothing
+    every = V.range_votes(wide.withColumn("e", F.col("e") * 10_000), 1_000_000, 2)
+    assert sorted(r.doc_id for r in every.collect()) == [0, 1, 7, 8, 9, 500_000, 500_001]
     silent = V.with_silent(V.votes(rows), rows.select("read_id").distinct(), docs)
     assert silent.count() == 9
     labels = spark.createDataFrame([(0, "a"), (1, "b"), (2, "b")], "doc_id long, label string")
@@ -190,3 +195,7 @@ def test_stream_of_reads(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(tuple(r) for r in spark.sql("select * from votes").collect()) == [(7, 0, 3), (7, 1, 3)]
+    query = R.answered(R.read_stream(spark, str(tmp_path / "in")), ftab(docs, "seq", 4), str(tmp_path / "out"), str(tmp_path / "log"), 4)
+    query.processAllAvailable()
+    query.stop()
+    assert sorted((r.read_id, r.doc_id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(7, 0, 3), (7, 1, 3)]
