@@ -42,7 +42,6 @@ class BuildOptions:
     k: int = 4
     w: int = 11
     ftab: bool = True
-    max_length: int = I.MAX_LENGTH
 
     def __post_init__(self) -> None:
         if self.taxcomp and self.topk:
@@ -73,13 +72,13 @@ def build(spark: SparkSession, file_list: str, out: str, options: BuildOptions |
         raise ValueError(f"fewer than {MAX_DOCS} documents are supported")
     if (options.taxcomp or options.topk) and options.columns > n_docs:
         raise ValueError("there are fewer documents than columns")
-    I.suffixes(own, options.max_length).write.parquet(f"{out}/suffixes")
+    I.suffixes(own).write.parquet(f"{out}/suffixes")
     sa = spark.read.parquet(f"{out}/suffixes")
     I.with_runs(sa).write.parquet(f"{out}/flagged")
     flagged = spark.read.parquet(f"{out}/flagged")
     I.runs(flagged).write.parquet(f"{out}/runs")
     I.f_column(sa).write.parquet(f"{out}/first")
-    lens = I.profiles(own, flagged, n_docs, options.max_length)
+    lens = I.profiles(flagged, n_docs)
     if options.taxcomp:
         lens = lens.select("run_id", "ch", "side", P.tax_left(F.col("lens")).alias("left"), P.tax_right(F.col("lens")).alias("right"))
     elif options.topk:

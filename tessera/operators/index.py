@@ -2,6 +2,10 @@
 
 A collection is rows of seq_id, doc_id (dense, from 0), seq. Each sequence ends with its own end mark, which sorts before
 every character; equal suffixes sort by sequence. Matches do not cross sequences.
+
+Suffixes are sorted by prefix doubling, at any length and in linear space: ranks by the first HEAD characters, then by pairs of
+ranks for twice as many, until no rank splits. A suffix keeps its ranks at all lengths. Two suffixes have the same
+characters as far as their ranks agree, so that a common prefix takes a join for each doubling, not for each character.
 """
 
 from __future__ import annotations
@@ -10,19 +14,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.plans.common import numbered, running_sum, stored
+from tessera.plans.common import BUCKET_ROWS, CHUNK, numbered, running_sum, small, spread, stored
 
-#: Longest suffix that is sorted as text and longest match that profiles tell apart.
-MAX_LENGTH = 400
+#: Characters of a suffix that are compared as text.
+HEAD = 16
 END = "$"
 
 
-def suffixes(sequences: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """row, seq_id, doc_id, pos, suffix, ch (the character before, or the end mark) in suffix order, numbered without one
-    task for all. Suffixes are cut at max_length, so that space is linear."""
-    each = sequences.where("seq IS NOT NULL").select("seq_id", "doc_id", "seq", F.explode(F.expr("sequence(0, length(seq))")).alias("pos"))
-    each = each.select("seq_id", "doc_id", "pos", F.expr(f"substring(seq, pos + 1, {max_length})").alias("suffix"), F.expr(f"CASE WHEN pos = 0 THEN '{END}' ELSE substring(seq, pos, 1) END").alias("ch"))
-    return numbered(each, "row", "suffix", "seq_id", "pos")
+def _starts(sequences: DataFrame) -> DataFrame:
+    """seq_id, doc_id, pos, rest (characters from pos on), suffix (its first HEAD characters), ch (the character before, or the end
+    mark). Sequences are cut into chunks first: a substring of a long text is found by walking to it."""
+    rows = spread(sequences.where("seq IS NOT NULL").select("seq_id", "doc_id", "seq"))
+    cut = F.transform(F.expr(f"sequence(0, length(seq), {CHUNK})"), lambda i: F.struct(i.alias("at"), F.when(i == 0, F.concat(F.lit(END), F.substring("seq", 1, CHUNK + HEAD))).otherwise(F.substring(F.col("seq"), i, F.lit(CHUNK + HEAD + 1))).alias("part")))
+    chunks = rows.select("seq_id", "doc_id", F.length("seq").alias("n"), F.explode(cut).alias("c")).select("seq_id", "doc_id", "n", "c.at", "c.part")
+    each = chunks.select("*", F.explode(F.expr(f"sequence(0, least({CHUNK - 1}, n - at))")).alias("i"))
+    return each.select("seq_id", "doc_id", (F.col("at") + F.col("i")).alias("pos"), (F.col("n") - F.col("at") - F.col("i")).alias("rest"), F.expr(f"substring(part, i + 2, {HEAD})").alias("suffix"), F.expr("substring(part, i + 1, 1)").alias("ch"))
+
+
+def _ranked(rows: DataFrame, *key: str) -> tuple[DataFrame, int]:
+    """rows with `rank`, the dense rank of the key, and how many there are."""
+    keys = stored(numbered(rows.select(*key).distinct(), "rank", *key), "keys")
+    return rows.join(small(keys), list(key)), keys.count()
+
+
+def suffixes(sequences: DataFrame) -> DataFrame:
+    """row, seq_id, doc_id, pos, rest, suffix (its first HEAD characters), ch and ranks (by HEAD characters, twice as many, and so
+    on) in suffix order, numbered without one task for all."""
+    rows, n = _ranked(_starts(sequences), "suffix")
+    rows = stored(rows.withColumn("ranks", F.array("rank")), "ranks")
+    longest = rows.agg(F.max("rest")).first()[0] or 0
+    width = HEAD
+    while width < longest:
+        later = rows.select("seq_id", (F.col("pos") - width).alias("pos"), F.col("rank").alias("next"))
+        both = rows.join(later, ["seq_id", "pos"], "left").withColumn("next", F.coalesce("next", F.lit(-1))).withColumnRenamed("rank", "own")
+        before = n
+        both, n = _ranked(both, "own", "next")
+        if n == before:
+            break
+        rows = stored(both.withColumn("ranks", F.concat("ranks", F.array("rank"))).drop("own", "next"), "ranks")
+        width *= 2
+    return numbered(rows, "row", "rank", "seq_id", "pos").select("row", "seq_id", "doc_id", "pos", "rest", "suffix", "ch", "ranks")
+
+
+def common_prefixes(pairs: DataFrame, sa: DataFrame) -> DataFrame:
+    """pairs with `lcp`, the length of the longest common prefix of the suffixes (seq_a, pos_a) and (seq_b, pos_b) of sa."""
+    levels = sa.select(F.max(F.size("ranks"))).first()[0] or 0
+    out = pairs.withColumn("lcp", F.lit(0))
+    for k in reversed(range(-1, levels)):
+        for x in "ab":
+            own = sa.select(F.col("seq_id").alias(f"seq_{x}"), F.col("pos").alias(f"at_{x}"), F.expr(f"ranks[{k}]" if k >= 0 else "suffix").alias(f"key_{x}"), F.col("rest").alias(f"rest_{x}"))
+            out = out.withColumn(f"at_{x}", F.col(f"pos_{x}") + F.col("lcp")).join(own, [f"seq_{x}", f"at_{x}"])
+        if k >= 0:
+            step = F.when(F.col("key_a") == F.col("key_b"), F.least(F.lit(HEAD << k), "rest_a")).otherwise(0)
+        else:
+            step = common_prefix(F.col("key_a"), F.col("key_b"))
+        out = out.withColumn("lcp", F.col("lcp") + step).drop("at_a", "at_b", "key_a", "key_b", "rest_a", "rest_b")
+        out = stored(out, "common-prefixes")
+    return out
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -35,8 +83,10 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def with_lcp(sa: DataFrame) -> DataFrame:
     """sa with lcp, the common prefix with the row before, by an equi-join on row numbers."""
-    before = sa.select((F.col("row") + 1).alias("row"), F.col("suffix").alias("prev"))
-    return sa.join(before, "row", "left").withColumn("lcp", F.coalesce(common_prefix(F.col("suffix"), F.col("prev")), F.lit(0))).drop("prev")
+    own = sa.select("row", F.col("seq_id").alias("seq_a"), F.col("pos").alias("pos_a"))
+    before = sa.select((F.col("row") + 1).alias("row"), F.col("seq_id").alias("seq_b"), F.col("pos").alias("pos_b"))
+    found = common_prefixes(own.join(before, "row"), sa).select("row", "lcp")
+    return sa.join(found, "row", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
 
 
 def with_runs(sa: DataFrame) -> DataFrame:
@@ -50,8 +100,18 @@ def with_runs(sa: DataFrame) -> DataFrame:
 
 def runs(flagged: DataFrame) -> DataFrame:
     """run_id, ch, len, ch_rank (ordinal among the runs of its character)."""
-    own = flagged.groupBy("run_id").agg(F.first("ch").alias("ch"), F.count("*").alias("len"))
-    return own.withColumn("ch_rank", F.row_number().over(W.partitionBy("ch").orderBy("run_id")) - 1)
+    own = stored(flagged.groupBy("run_id").agg(F.first("ch").alias("ch"), F.count("*").alias("len")), "runs")
+    return _ordinals(own, "ch_rank", "run_id")
+
+
+def _ordinals(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """rows with `name`, how many rows of the same ch come before by `order` (numbers without gaps): counted within buckets, and
+    the buckets' counts added up, so that a frequent character is no task's alone."""
+    rows = rows.withColumn("_b", F.floor(F.col(order) / BUCKET_ROWS))
+    counts = rows.groupBy("ch", "_b").agg(F.count("*").alias("_n"))
+    before = counts.select("ch", "_b", (F.sum("_n").over(W.partitionBy("ch").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    within = rows.withColumn("_k", F.row_number().over(W.partitionBy("ch", "_b").orderBy(order)) - 1)
+    return within.join(before, ["ch", "_b"]).withColumn(name, F.col("_before") + F.col("_k")).drop("_b", "_k", "_before")
 
 
 def run_counts(own: DataFrame) -> DataFrame:
@@ -66,24 +126,43 @@ def f_column(sa: DataFrame) -> DataFrame:
 
 def lf_mapping(sa: DataFrame) -> DataFrame:
     """row, ch, lf: the row of the suffix one character longer, first[ch] + rank(row, ch)."""
-    own = sa.select("row", "ch").withColumn("rank", F.row_number().over(W.partitionBy("ch").orderBy("row")) - 1)
+    own = _ordinals(sa.select("row", "ch"), "rank", "row")
     return own.join(F.broadcast(f_column(sa)), "ch").select("row", "ch", "rank", (F.col("first") + F.col("rank")).alias("lf"))  # a row for each character
 
 
-def profiles(sequences: DataFrame, flagged: DataFrame, n_docs: int, max_length: int = MAX_LENGTH) -> DataFrame:
+def nearest(targets: DataFrame, sa: DataFrame, n_docs: int) -> DataFrame:
+    """row, doc_id, before, after: for each row of targets and each document, the document's nearest rows of sa at or before it, and
+    at or after it. Within buckets of rows by a window, and over buckets by their first and last rows."""
+    bucket = F.floor(F.col("row") / BUCKET_ROWS).alias("b")
+    marks = sa.where("rest > 0").select("row", bucket, F.col("doc_id").cast("int").alias("doc_id"))
+    grid = targets.select("row", bucket, F.explode(F.sequence(F.lit(0), F.lit(n_docs - 1))).alias("doc_id"))
+    every = marks.withColumn("val", F.col("row")).withColumn("ask", F.lit(0)).unionByName(grid.withColumn("val", F.lit(None).cast("long")).withColumn("ask", F.lit(1)))
+    within = W.partitionBy("b", "doc_id").orderBy("row", "ask")
+    own = every.withColumn("before", F.last("val", True).over(within.rowsBetween(W.unboundedPreceding, 0)))
+    # at the same row a mark comes before what asks for it, and is both
+    own = own.withColumn("after", F.when(F.col("before") == F.col("row"), F.col("row")).otherwise(F.first("val", True).over(within.rowsBetween(0, W.unboundedFollowing))))
+    own = own.where("ask = 1").select("row", "b", "doc_id", "before", "after")
+    ends = marks.groupBy("b", "doc_id").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
+    ends = ends.join(grid.select("b", "doc_id").distinct(), ["b", "doc_id"], "full")
+    over = W.partitionBy("doc_id").orderBy("b")
+    ends = ends.select("b", "doc_id", F.last("hi", True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("hi"), F.first("lo", True).over(over.rowsBetween(1, W.unboundedFollowing)).alias("lo"))
+    return own.join(ends, ["b", "doc_id"], "left").select("row", "doc_id", F.coalesce("before", "hi").alias("before"), F.coalesce("after", "lo").alias("after"))
+
+
+def profiles(flagged: DataFrame, n_docs: int) -> DataFrame:
     """run_id, ch, side (S or E), lens: for each run's first and last row, the longest match with each document of the
     suffix one character longer. Own document: that suffix whole.
 
-    Substrings of each document up to max_length are joined with the boundary suffixes' prefixes: an equi-join, and no
-    task sees more than a prefix's documents.
+    The longest match with a document is that with its nearest suffix in order, on one side or the other.
     """
-    ends = flagged.where(f"(is_start OR is_end) AND ch <> '{END}'").withColumn("longer", F.concat("ch", "suffix"))
+    ends = flagged.where(f"(is_start OR is_end) AND ch <> '{END}'")
     side = F.explode(F.filter(F.array(F.when(F.col("is_start"), "S"), F.when(F.col("is_end"), "E")), lambda x: x.isNotNull()))
-    ends = stored(ends.select("run_id", "ch", "longer", side.alias("side")), "boundaries")
-    texts = ends.select("longer").distinct()
-    prefixes = texts.select("longer", F.explode(F.expr(f"sequence(1, least(length(longer), {max_length}))")).alias("n")).withColumn("sub", F.expr("substring(longer, 1, n)"))
-    subs = flagged.where("suffix <> ''").select("doc_id", F.explode(F.expr(f"transform(sequence(1, least(length(suffix), {max_length})), n -> substring(suffix, 1, n))")).alias("sub")).distinct()
-    best = prefixes.join(subs, "sub").groupBy("longer", "doc_id").agg(F.max("n").alias("len"))
-    lens = best.groupBy("longer").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "len"))).alias("m"))
-    lens = lens.select("longer", F.expr(f"transform(sequence(0, {n_docs - 1}), j -> coalesce(m[j], 0))").alias("lens"))
-    return ends.join(lens, "longer").select("run_id", "ch", "side", "lens")
+    places = flagged.select("seq_id", (F.col("pos") + 1).alias("pos"), F.col("row").alias("longer"))
+    ends = stored(ends.select("run_id", "ch", "seq_id", "pos", side.alias("side")).join(places, ["seq_id", "pos"]), "boundaries")
+    asked = ends.select(F.col("longer").alias("row"), F.col("seq_id").alias("seq_a"), (F.col("pos") - 1).alias("pos_a")).distinct()
+    near = stored(nearest(asked.select("row"), flagged, n_docs), "nearest")
+    pairs = near.select("row", "doc_id", F.explode(F.array_distinct(F.array("before", "after"))).alias("other")).where("other IS NOT NULL")
+    pairs = pairs.join(asked, "row").join(flagged.select(F.col("row").alias("other"), F.col("seq_id").alias("seq_b"), F.col("pos").alias("pos_b")), "other")
+    best = common_prefixes(pairs, flagged).groupBy("row", "doc_id").agg(F.max("lcp").alias("len"))
+    lens = near.select("row", "doc_id").join(best, ["row", "doc_id"], "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("len", F.lit(0)).alias("len")))).alias("x"))
+    return ends.join(lens.select(F.col("row").alias("longer"), F.expr("x.len").alias("lens")), "longer").select("run_id", "ch", "side", "lens")

@@ -191,7 +191,7 @@ def lf_mapping(spark: SparkSession, sf: str) -> DataFrame:
 def _profiles(spark: SparkSession, sf: str) -> DataFrame:
     own = collection(spark, sf)
     n = own.agg(F.max("doc_id")).first()[0] + 1
-    return I.profiles(own, _flagged(spark, sf), n)
+    return I.profiles(_flagged(spark, sf), n)
 
 
 def _of_profiles(**columns: Callable) -> Callable[[SparkSession, str], DataFrame]:

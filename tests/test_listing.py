@@ -101,7 +101,7 @@ def test_index_tables(spark, sequences):
         docs.setdefault(d, []).append(s)
     byrow = {r.row: r for r in flagged.collect()}
     ends = {(r.run_id, "S"): r for r in byrow.values() if r.is_start} | {(r.run_id, "E"): r for r in byrow.values() if r.is_end}
-    for r in I.profiles(df, flagged, 5).collect():
+    for r in I.profiles(flagged, 5).collect():
         longer = r.ch + ends[r.run_id, r.side].suffix
         want = [max((n for n in range(len(longer) + 1) if any(longer[:n] in s for s in docs[d])), default=0) for d in range(5)]
         assert list(r.lens) == want
