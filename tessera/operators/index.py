@@ -149,20 +149,25 @@ def nearest(targets: DataFrame, sa: DataFrame, n_docs: int) -> DataFrame:
     return own.join(ends, ["b", "doc_id"], "left").select("row", "doc_id", F.coalesce("before", "hi").alias("before"), F.coalesce("after", "lo").alias("after"))
 
 
-def profiles(flagged: DataFrame, n_docs: int) -> DataFrame:
-    """run_id, ch, side (S or E), lens: for each run's first and last row, the longest match with each document of the
-    suffix one character longer. Own document: that suffix whole.
+def lengths(asked: DataFrame, sa: DataFrame, n_docs: int) -> DataFrame:
+    """row, lens: the longest match of each asked suffix (row, seq_a, pos_a) of sa with each document.
 
     The longest match with a document is that with its nearest suffix in order, on one side or the other.
     """
+    near = stored(nearest(asked.select("row"), sa, n_docs), "nearest")
+    pairs = near.select("row", "doc_id", F.explode(F.array_distinct(F.array("before", "after"))).alias("other")).where("other IS NOT NULL")
+    pairs = pairs.join(asked, "row").join(sa.select(F.col("row").alias("other"), F.col("seq_id").alias("seq_b"), F.col("pos").alias("pos_b")), "other")
+    best = common_prefixes(pairs, sa).groupBy("row", "doc_id").agg(F.max("lcp").alias("len"))
+    lens = near.select("row", "doc_id").join(best, ["row", "doc_id"], "left").groupBy("row")
+    return lens.agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("len", F.lit(0)).alias("len")))).alias("x")).select("row", F.expr("x.len").alias("lens"))
+
+
+def profiles(flagged: DataFrame, n_docs: int) -> DataFrame:
+    """run_id, ch, side (S or E), lens: for each run's first and last row, the longest match with each document of the
+    suffix one character longer. Own document: that suffix whole."""
     ends = flagged.where(f"(is_start OR is_end) AND ch <> '{END}'")
     side = F.explode(F.filter(F.array(F.when(F.col("is_start"), "S"), F.when(F.col("is_end"), "E")), lambda x: x.isNotNull()))
     places = flagged.select("seq_id", (F.col("pos") + 1).alias("pos"), F.col("row").alias("longer"))
     ends = stored(ends.select("run_id", "ch", "seq_id", "pos", side.alias("side")).join(places, ["seq_id", "pos"]), "boundaries")
     asked = ends.select(F.col("longer").alias("row"), F.col("seq_id").alias("seq_a"), (F.col("pos") - 1).alias("pos_a")).distinct()
-    near = stored(nearest(asked.select("row"), flagged, n_docs), "nearest")
-    pairs = near.select("row", "doc_id", F.explode(F.array_distinct(F.array("before", "after"))).alias("other")).where("other IS NOT NULL")
-    pairs = pairs.join(asked, "row").join(flagged.select(F.col("row").alias("other"), F.col("seq_id").alias("seq_b"), F.col("pos").alias("pos_b")), "other")
-    best = common_prefixes(pairs, flagged).groupBy("row", "doc_id").agg(F.max("lcp").alias("len"))
-    lens = near.select("row", "doc_id").join(best, ["row", "doc_id"], "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("len", F.lit(0)).alias("len")))).alias("x"))
-    return ends.join(lens.select(F.col("row").alias("longer"), F.expr("x.len").alias("lens")), "longer").select("run_id", "ch", "side", "lens")
+    return ends.join(lengths(asked, flagged, n_docs).withColumnRenamed("row", "longer"), "longer").select("run_id", "ch", "side", "lens")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.index import lengths
 from tessera.plans.common import kmers, listed, small, stored, substrings
 
 SEED = 12
@@ -78,6 +79,16 @@ def factors(stats: DataFrame, reads: DataFrame) -> DataFrame:
     return dense.select("read_id", F.posexplode(F.expr(fold)).alias("ord", "f")).select("read_id", "ord", "f.s", "f.e", "f.hit")
 
 
+def matched(docs: DataFrame, reads: DataFrame, k: int, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """reads, equal reads once (seq, first), islands, factors, and short strings (with exact, and k above 1)."""
+    reads = stored(reads.select("read_id", F.coalesce("seq", F.lit("")).alias("seq")), "reads")
+    once = stored(reads.where("seq <> ''").groupBy("seq").agg(F.min("read_id").alias("first")), "once")
+    own = once.select(F.col("first").alias("read_id"), "seq")
+    found = stored(islands(docs, own, k), "islands")
+    short = stored(short_matches(docs, own, k), "short-matches") if exact and k > 1 else None
+    return reads, once, found, stored(factors(statistics(found, own, k, short), own), "factors"), short
+
+
 def listing(docs: DataFrame, reads: DataFrame, k: int = SEED, exact: bool = False, classes: DataFrame | None = None) -> DataFrame:
     """read_id, ord, s, e, docs (array, ascending) for each factor of each read.
 
@@ -85,12 +96,8 @@ def listing(docs: DataFrame, reads: DataFrame, k: int = SEED, exact: bool = Fals
     (the default at scale); with it, shorter ones are found by tables of short strings. classes: doc_id, class - then docs
     lists classes. Equal reads are matched once. Null and empty reads have no factor.
     """
-    reads = stored(reads.select("read_id", F.coalesce("seq", F.lit("")).alias("seq")), "reads")
-    once = stored(reads.where("seq <> ''").groupBy("seq").agg(F.min("read_id").alias("first")), "once")
+    reads, once, found, cut, short = matched(docs, reads, k, exact)
     own = once.select(F.col("first").alias("read_id"), "seq")
-    found = stored(islands(docs, own, k), "islands")
-    short = stored(short_matches(docs, own, k), "short-matches") if exact and k > 1 else None
-    cut = stored(factors(statistics(found, own, k, short), own), "factors")
     # no island that ends at e or after it begins before s, so that those around a factor begin with it
     inside = cut.where("hit").join(found.select("read_id", "doc_id", "s", F.col("e").alias("i_e")), ["read_id", "s"]).where("e <= i_e")
     holders = inside.select("read_id", "ord", "doc_id")
@@ -102,8 +109,30 @@ def listing(docs: DataFrame, reads: DataFrame, k: int = SEED, exact: bool = Fals
     sets = holders.groupBy("read_id", "ord").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
     none = F.array().cast(f"array<{dict(holders.dtypes)['doc_id']}>")
     out = cut.join(sets, ["read_id", "ord"], "left").withColumn("docs", F.coalesce("docs", none))
+    return _for_all(out, reads, once).select("read_id", "ord", "s", "e", "docs")
+
+
+def _for_all(out: DataFrame, reads: DataFrame, once: DataFrame) -> DataFrame:
+    """Rows of equal reads once, for each of them."""
     named = reads.join(once, "seq").select("read_id", F.col("first"))
-    return named.join(out.withColumnRenamed("read_id", "first"), "first").select("read_id", "ord", "s", "e", "docs")
+    return named.join(out.withColumnRenamed("read_id", "first"), "first").drop("first")
+
+
+def profiled_listing(sequences: DataFrame, sa: DataFrame, n_docs: int, reads: DataFrame, k: int = SEED) -> DataFrame:
+    """read_id, ord, s, e, lens for each factor of each read: the match lengths, with each document, of the first suffix in
+    order that begins with the factor; null where a factor matches nothing. Matches shorter than k count as none.
+
+    sequences: seq_id, doc_id, seq; sa: their sorted suffixes. A factor's places are where its islands begin, so that the
+    first suffix is a join by place and a minimum. What the taxonomic and the top-k listings of reads are made of.
+    """
+    docs = sequences.select(F.col("seq_id").alias("doc_id"), F.col("seq").alias("text"))
+    reads, once, found, cut, _ = matched(docs, reads, k, False)
+    inside = cut.where("hit").join(found.select("read_id", F.col("doc_id").alias("seq_id"), "s", F.col("e").alias("i_e"), (F.col("s") + F.col("diag")).alias("pos")), ["read_id", "s"]).where("e <= i_e")
+    first = inside.join(sa.select("seq_id", "pos", "row"), ["seq_id", "pos"]).groupBy("read_id", "ord").agg(F.min("row").alias("row"))
+    first = stored(first, "first-suffixes")
+    asked = sa.select("row", F.col("seq_id").alias("seq_a"), F.col("pos").alias("pos_a")).join(small(stored(first.select("row").distinct(), "asked")), "row")
+    lens = first.join(lengths(asked, sa, n_docs), "row").select("read_id", "ord", "lens")
+    return _for_all(cut.join(lens, ["read_id", "ord"], "left"), reads, once).select("read_id", "ord", "s", "e", "lens")
 
 
 def as_text(rows: DataFrame) -> DataFrame:

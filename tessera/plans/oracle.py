@@ -51,6 +51,19 @@ def _exact(column: str) -> tuple[str, ...]:
 
 
 PARTS = _exact("p_name")
+# part names in benchmark passages by factors of 5 characters at least; of each the first suffix that begins with it
+FIRST = (
+    "reads as (select row_number() over (order by q) r, q from (select distinct p_name q from part where p_name <> ''))",
+    "sub as (select r, s, e, substr(q, s + 1, e - s + 1) f from reads, unnest(range(0, length(q))) as a(s), unnest(range(0, length(q))) as b(e) where e - s >= 4)",
+    "held as (select distinct f from (select distinct f from sub) x join benchmark b on contains(b.text, f))",
+    "ms as (select r, e, min(s) s from sub where f in (select f from held) group by r, e)",
+    *_fold("reads"),
+    "hits as (select r, ord, substr(q, s + 1, e - s + 1) f from fac join reads using (r) where hit)",
+    "suf as (select substr(text, p + 1) sfx from benchmark, unnest(range(0, length(text))) as a(p))",
+    "firsts as (select f, min(sfx) sfx from (select distinct f from hits) h join suf on starts_with(sfx, f) group by f)",
+    "lens as (select f, item_id d, (select coalesce(max(n), 0) from range(1, length(sfx) + 1) t(n) where contains(text, substr(sfx, 1, n))) len from firsts, benchmark)",
+    "rec as (select *, length(f) need, coalesce(max(len) over (partition by f order by d rows between unbounded preceding and 1 preceding), 0) lm, coalesce(max(len) over (partition by f order by d rows between 1 following and unbounded following), 0) rm, row_number() over (partition by f order by len desc, d) k from lens)",
+)
 VOTES = "votes as (select id, d, cast(sum(e - s + 1) as bigint) w from (select id, s, e, unnest(ds) d from lst) group by id, d)"
 TOP = "best as (select id, d, w, row_number() over (partition by id order by w desc, d) rnk from votes)"
 TAXA = "taxa as (select item_id, r_name || ';' || n_name || ';' path from benchmark join nation on n_nationkey = item_id % 25 join region on r_regionkey = n_regionkey)"
@@ -120,6 +133,15 @@ def _agg(value: str, order: str, where: str, name: str) -> str:
     return f"coalesce(string_agg({value}, ',' order by {order}) filter (where {where}), '') as {name}"
 
 
+def _reads_listing(order: str, where: str) -> str:
+    return _with(
+        *FIRST,
+        f"sets as (select f, {_agg('d', order, where, 'docs')} from rec group by f)",
+        then="select p_partkey, cast(fac.ord as bigint) ord, fac.s, fac.e, coalesce(docs, '') docs from part join reads on q = p_name join fac using (r) left join hits using (r, ord) left join sets using (f)",
+        recursive=True,
+    )
+
+
 PAIR = "d || ':' || len"
 ORACLE: dict[str, str] = {
     "doc_listing_contains": f"select item_id, string_agg(doc_id, ',' order by doc_id) docs, count(*) n_docs from ({LISTED}) group by item_id",
@@ -134,6 +156,8 @@ ORACLE: dict[str, str] = {
     "maximal_match_listing": _with(*PARTS, then="select id p_partkey, cast(ord as bigint) ord, s, e, array_to_string(ds, ',') docs from lst", recursive=True),
     "seeded_match_listing": _with(*SEEDED, then="select fac.r item_id, cast(fac.ord as bigint) ord, fac.s, fac.e, coalesce(string_agg(d, ',' order by d), '') docs from fac left join inside using (r, ord) group by all", recursive=True),
     "class_match_listing": _with(*SEEDED, "named as (select distinct r, ord, lang from inside join documents on doc_id = d)", then="select fac.r item_id, cast(fac.ord as bigint) ord, fac.s, fac.e, coalesce(string_agg(lang, ',' order by lang), '') classes from fac left join named using (r, ord) group by all", recursive=True),
+    "run_tax_listing": _reads_listing("d", "len >= need and (len > lm or len > rm)"),
+    "run_topk_listing": _reads_listing("k", "k <= 7 and len >= need"),
     "minimizer_digest_lex": _digest("v", "codes.m", "", "q"),
     "minimizer_digest_hash": _digest("h", "codes.m", "", "q"),
     "minimizer_digest_alphabet": _digest("h", "case when codes.v <= 2 then codes.v + 3 else codes.v end", ",", "null"),

@@ -101,6 +101,19 @@ def class_match_listing(spark: SparkSession, sf: str) -> DataFrame:
     return plain(rows.select(F.col("read_id").alias("item_id"), "ord", "s", "e", F.array_join("docs", ",").alias("classes")))
 
 
+def _reads_listing(of: Callable[[Column, Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    """Part names against benchmark passages, factors of five characters at least."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        own = benchmark(spark, sf).select(F.col("doc_id").alias("seq_id"), F.col("doc_id").cast("int").alias("doc_id"), F.col("text").alias("seq"))
+        n = own.agg(F.max("doc_id")).first()[0] + 1
+        rows = M.profiled_listing(own, stored(I.suffixes(own), "suffixes"), n, parts(spark, sf), k=5)
+        found = of(F.col("lens"), F.col("e") - F.col("s") + 1)
+        return plain(rows.select(F.col("read_id").alias("p_partkey"), "ord", "s", "e", F.coalesce(_text(found), F.lit("")).alias("docs")))
+
+    return query
+
+
 # k-mers
 
 
@@ -317,6 +330,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "maximal_match_listing": maximal_match_listing,
     "seeded_match_listing": seeded_match_listing,
     "class_match_listing": class_match_listing,
+    "run_tax_listing": _reads_listing(lambda lens, n: P.tax_listing(P.tax_left(lens), P.tax_right(lens), n)),
+    "run_topk_listing": _reads_listing(lambda lens, n: P.topk_listing(P.top_k(lens), n)),
     "minimizer_digest_lex": minimizer_digest_lex,
     "minimizer_digest_hash": minimizer_digest_hash,
     "minimizer_digest_alphabet": minimizer_digest_alphabet,
