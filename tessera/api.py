@@ -6,6 +6,7 @@ import os
 import tarfile
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +17,14 @@ from tessera.operators import matching as M
 from tessera.operators import profiles as P
 from tessera.operators import taxonomy as X
 from tessera.operators import voting as V
+from tessera.plans.common import stored
 from tessera.sources import sinks
 from tessera.sources.listings import mates, parse_lines, read_listings
-from tessera.sources.sequences import read_collection, read_file_list
+from tessera.sources.sequences import read_collection, read_doc_taxa, read_file_list, read_taxonomy
 
 MAX_DOCS = 65_535
+#: Tables of every index; ftab may be one more.
+TABLES = ["sequences", "flagged", "runs", "first", "profiles"]
 
 
 def check_minimizer_options(k: int, w: int, alphabet: bool = False) -> None:
@@ -63,7 +67,8 @@ def sequences(spark: SparkSession, file_list: str, options: BuildOptions) -> Dat
 
 
 def build(spark: SparkSession, file_list: str, out: str, options: BuildOptions | None = None) -> None:
-    """Write the tables of an index under `out`: sequences, suffixes, runs, first column, profiles, k-mers, options."""
+    """Write the tables of an index under `out`: sequences, suffixes with their runs, runs, first column, profiles, k-mers,
+    options."""
     options = options or BuildOptions()
     sequences(spark, file_list, options).write.parquet(f"{out}/sequences")
     own = spark.read.parquet(f"{out}/sequences")
@@ -72,8 +77,7 @@ def build(spark: SparkSession, file_list: str, out: str, options: BuildOptions |
         raise ValueError(f"fewer than {MAX_DOCS} documents are supported")
     if (options.taxcomp or options.topk) and options.columns > n_docs:
         raise ValueError("there are fewer documents than columns")
-    I.suffixes(own).write.parquet(f"{out}/suffixes")
-    sa = spark.read.parquet(f"{out}/suffixes")
+    sa = stored(I.suffixes(own), "suffixes")
     I.with_runs(sa).write.parquet(f"{out}/flagged")
     flagged = spark.read.parquet(f"{out}/flagged")
     I.runs(flagged).write.parquet(f"{out}/runs")
@@ -86,28 +90,46 @@ def build(spark: SparkSession, file_list: str, out: str, options: BuildOptions |
     lens.write.partitionBy("side").parquet(f"{out}/profiles")
     if options.ftab:
         T.ftab(own, "seq").write.parquet(f"{out}/ftab")
-    about = asdict(options) | {"n_docs": n_docs, "n_suffixes": sa.count(), "n_profiles": spark.read.parquet(f"{out}/profiles").count()}
+    about = asdict(options) | {"n_docs": n_docs} | {f"n_{t}": spark.read.parquet(f"{out}/{t}").count() for t in TABLES + ["ftab"] * options.ftab}
     spark.createDataFrame([about]).write.parquet(f"{out}/about")
 
 
 def about(spark: SparkSession, index: str) -> dict:
-    """The options and sizes of an index; ValueError if a table has another count than at its building."""
+    """The options and sizes of an index; ValueError if a table is missing or has another count than at its building."""
     own = spark.read.parquet(f"{index}/about").first().asDict()
-    for name, n in (("suffixes", "n_suffixes"), ("profiles", "n_profiles")):
-        if (found := spark.read.parquet(f"{index}/{name}").count()) != own[n]:
-            raise ValueError(f"{name} has {found} rows, not {own[n]}")
+    for name in TABLES + ["ftab"] * own["ftab"]:
+        try:
+            found = spark.read.parquet(f"{index}/{name}").count()
+        except AnalysisException as e:
+            raise ValueError(f"{name} is missing") from e
+        if found != own[f"n_{name}"]:
+            raise ValueError(f"{name} has {found} rows, not {own[f'n_{name}']}")
     return own
 
 
-def run(spark: SparkSession, index: str, reads: DataFrame, out: str | None = None, seed: int = M.SEED, exact: bool = False) -> DataFrame:
-    """Listing of reads (read_id, name, seq) against an index, written as text too if `out` is given."""
+def run(spark: SparkSession, index: str, reads: DataFrame, out: str | None = None, seed: int = M.SEED, exact: bool = False, max_length: int | None = None) -> DataFrame:
+    """Listing of reads (read_id, name, seq) against an index, written as text too if `out` is given.
+
+    An index with taxonomic or top-k compression lists what its profiles keep: of the first suffix in the index's order
+    that begins with a factor, the documents of the records, or of the k longest matches, that hold the factor. max_length: lengths
+    are clipped there, as for reads of at most so many characters. With taxcomp and topk, factors shorter than seed match nothing.
+    """
     options = about(spark, index)
     seq = F.upper("seq")
     if options["minimizers"]:
         seq = S.digest(seq, options["k"], options["w"])
     own = spark.read.parquet(f"{index}/sequences")
-    docs = own.select(F.col("seq_id").alias("doc_id"), F.col("seq").alias("text"))
-    rows = M.listing(docs, reads.select("read_id", seq.alias("seq")), seed, exact, own.select(F.col("seq_id").alias("doc_id"), F.col("doc_id").alias("class")))
+    named = reads.select("read_id", seq.alias("seq"))
+    if options["taxcomp"] or options["topk"]:
+        rows = M.profiled_listing(own, spark.read.parquet(f"{index}/flagged"), options["n_docs"], named, seed)
+        lens = F.col("lens") if max_length is None else P.clip(F.col("lens"), max_length)
+        n = F.col("e") - F.col("s") + 1
+        n = n if max_length is None else F.least(n, F.lit(max_length))
+        docs = P.tax_listing(P.tax_left(lens), P.tax_right(lens), n) if options["taxcomp"] else P.topk_listing(P.top_k(lens, options["columns"]), n)
+        rows = rows.select("read_id", "ord", "s", "e", F.coalesce(docs, F.array().cast("array<int>")).alias("docs"))
+    else:
+        docs = own.select(F.col("seq_id").alias("doc_id"), F.col("seq").alias("text"))
+        rows = M.listing(docs, named, seed, exact, own.select(F.col("seq_id").alias("doc_id"), F.col("doc_id").alias("class")))
     if out:
         sinks.write_listings(rows, reads, out)
     return rows
@@ -117,8 +139,6 @@ def info(spark: SparkSession, index: str, out: str | None = None, n: int = 0) ->
     """Options and sizes of an index; its first n profiles as lines if `out` is given (all if n is 0)."""
     own = about(spark, index)
     if out:
-        if own["taxcomp"] or own["topk"]:
-            raise ValueError("only full profiles can be written as lengths")
         sinks.write_profiles(spark.read.parquet(f"{index}/profiles"), out, n)
     return own
 
@@ -140,6 +160,15 @@ def analyze(spark: SparkSession, mate_1: str, mate_2: str | None, labels: DataFr
     return ranked
 
 
+def analyze_taxa(spark: SparkSession, mate_1: str, mate_2: str | None, doc_taxa: str, taxonomy: str, out: str, abundance: bool = False) -> DataFrame:
+    """The same by taxa, from files: documents with their taxa, and the taxonomy, which must know each of them."""
+    taxa = read_doc_taxa(spark, doc_taxa)
+    unknown = taxa.join(read_taxonomy(spark, taxonomy).select("path"), "path", "left_anti").limit(1).collect()
+    if unknown:
+        raise ValueError(f"{unknown[0].path} is not in the taxonomy")
+    return analyze(spark, mate_1, mate_2, taxa.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").alias("label")), out, abundance)
+
+
 def ranked_taxa(taxa: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Ranks of the ancestors of taxa (path)."""
     return X.ranks(taxa, taxonomy)

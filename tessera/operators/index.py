@@ -65,7 +65,9 @@ def common_prefixes(pairs: DataFrame, sa: DataFrame) -> DataFrame:
             own = sa.select(F.col("seq_id").alias(f"seq_{x}"), F.col("pos").alias(f"at_{x}"), F.expr(f"ranks[{k}]" if k >= 0 else "suffix").alias(f"key_{x}"), F.col("rest").alias(f"rest_{x}"))
             out = out.withColumn(f"at_{x}", F.col(f"pos_{x}") + F.col("lcp")).join(own, [f"seq_{x}", f"at_{x}"])
         if k >= 0:
-            step = F.when(F.col("key_a") == F.col("key_b"), F.least(F.lit(HEAD << k), "rest_a")).otherwise(0)
+            # no longer rank splits the last ones: suffixes that share one are equal
+            agreed = F.least(F.lit(HEAD << k), "rest_a") if k < levels - 1 else F.col("rest_a")
+            step = F.when(F.col("key_a") == F.col("key_b"), agreed).otherwise(0)
         else:
             step = common_prefix(F.col("key_a"), F.col("key_b"))
         out = out.withColumn("lcp", F.col("lcp") + step).drop("at_a", "at_b", "key_a", "key_b", "rest_a", "rest_b")

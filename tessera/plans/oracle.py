@@ -51,10 +51,10 @@ def _exact(column: str) -> tuple[str, ...]:
 
 
 PARTS = _exact("p_name")
-# part names in benchmark passages by factors of 5 characters at least; of each the first suffix that begins with it
+# part names in benchmark passages by factors of 3 characters at least; of each the first suffix that begins with it
 FIRST = (
     "reads as (select row_number() over (order by q) r, q from (select distinct p_name q from part where p_name <> ''))",
-    "sub as (select r, s, e, substr(q, s + 1, e - s + 1) f from reads, unnest(range(0, length(q))) as a(s), unnest(range(0, length(q))) as b(e) where e - s >= 4)",
+    "sub as (select r, s, e, substr(q, s + 1, e - s + 1) f from reads, unnest(range(0, length(q))) as a(s), unnest(range(0, length(q))) as b(e) where e - s >= 2)",
     "held as (select distinct f from (select distinct f from sub) x join benchmark b on contains(b.text, f))",
     "ms as (select r, e, min(s) s from sub where f in (select f from held) group by r, e)",
     *_fold("reads"),

@@ -102,12 +102,12 @@ def class_match_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reads_listing(of: Callable[[Column, Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    """Part names against benchmark passages, factors of five characters at least."""
+    """Part names against benchmark passages, factors of three characters at least."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         own = benchmark(spark, sf).select(F.col("doc_id").alias("seq_id"), F.col("doc_id").cast("int").alias("doc_id"), F.col("text").alias("seq"))
         n = own.agg(F.max("doc_id")).first()[0] + 1
-        rows = M.profiled_listing(own, stored(I.suffixes(own), "suffixes"), n, parts(spark, sf), k=5)
+        rows = M.profiled_listing(own, stored(I.suffixes(own), "suffixes"), n, parts(spark, sf), k=3)
         found = of(F.col("lens"), F.col("e") - F.col("s") + 1)
         return plain(rows.select(F.col("read_id").alias("p_partkey"), "ord", "s", "e", F.coalesce(_text(found), F.lit("")).alias("docs")))
 

@@ -24,7 +24,12 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mates(one: DataFrame, two: DataFrame, check_names: bool = True) -> DataFrame:
-    """stem, line_1, line_2: reads of two files whose names agree but for the last character."""
+    """stem, line_1, line_2: reads of two files whose names agree but for the last character. With check_names, a read whose
+    mate is missing is an error when the rows are read; without, names agree by their number, and such reads are left out."""
     key = F.expr("substring(name, 1, length(name) - 1)") if check_names else F.regexp_extract("name", r"_(\d+)", 1)
-    a = one.select(key.alias("stem"), F.col("line").alias("line_1"))
-    return a.join(two.select(key.alias("stem"), F.col("line").alias("line_2")), "stem")
+    a, b = one.select(key.alias("stem"), F.col("line").alias("line_1")), two.select(key.alias("stem"), F.col("line").alias("line_2"))
+    if not check_names:
+        return a.join(b, "stem")
+    missing = F.raise_error(F.concat(F.lit("no mate for the read "), F.coalesce("stem", F.lit(""))))
+    both = a.join(b, "stem", "full")
+    return both.select("stem", *[F.when(F.col("line_1").isNull() | F.col("line_2").isNull(), missing).otherwise(F.col(c)).alias(c) for c in ("line_1", "line_2")])

@@ -5,25 +5,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.plans.common import small, stored
+
 SEQUENCE = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "comment", "seq", "qual")])
 EXTENSIONS = (".fa", ".fasta", ".fna")
 
 
-def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """name, comment, seq, qual (null) of each record. A record starts at a `>` that begins a line, so that large files are
+def read_fasta(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
+    """name, comment, seq, qual (null) of each record, and its file if asked for. A record starts at a `>` that begins a line, so that large files are
     split; gzip files are read as they are. Blank lines and carriage returns go."""
-    rows = spark.read.option("lineSep", "\n>").text(path).where("trim(value) <> ''")
+    rows = spark.read.option("lineSep", "\n>").text(path)
+    rows = rows.select("value", F.regexp_replace(F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("file")).where("trim(value) <> ''")
     record = F.regexp_replace(F.regexp_replace("value", "^[\\s]*>?", ""), "\r", "")
     two = F.split(record, "\n", 2)
     head = F.trim(F.get(two, F.lit(0)))
     parts = F.split(head, r"[\s]+", 2)
     comment = F.get(parts, F.lit(1))
     seq = F.regexp_replace(F.coalesce(F.get(two, F.lit(1)), F.lit("")), r"\s", "")
-    return rows.select(F.get(parts, F.lit(0)).alias("name"), F.when(comment != "", comment).alias("comment"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"))
+    return rows.select(F.get(parts, F.lit(0)).alias("name"), F.when(comment != "", comment).alias("comment"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"), *(["file"] if with_file else []))
 
 
 def fastq_records(text: str) -> Iterator[tuple[str, str | None, str, str | None]]:
@@ -44,8 +48,10 @@ def fastq_records(text: str) -> Iterator[tuple[str, str | None, str, str | None]
         if i < len(lines) and lines[i][:1] == "+":
             i += 1
             held: list[str] = []
-            while i < len(lines) and sum(map(len, held)) < len(own):
+            have = 0
+            while i < len(lines) and have < len(own):
                 held.append(lines[i])
+                have += len(lines[i])
                 i += 1
             qual = "".join(held)
             if len(qual) != len(own):
@@ -93,12 +99,21 @@ def check_ids(ids: list[int]) -> None:
 
 
 def read_collection(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
-    """seq_id, doc_id, name, seq of all sequences of a file list."""
-    out = None
-    for path, doc_id in files:
-        own = read_fasta(spark, path).select(F.lit(doc_id).alias("doc_id"), "name", "seq")
-        out = own if out is None else out.unionByName(own)
-    return out.withColumn("seq_id", F.monotonically_increasing_id())
+    """seq_id, doc_id, name, seq of all sequences of a file list, by one plan for all files. The rows are stored, so that their
+    seq_ids stay the same; ValueError if a file is missing."""
+    paths = [p for p, _ in files]
+    try:
+        rows = read_fasta(spark, paths, with_file=True)
+    except AnalysisException as e:
+        raise ValueError(f"a file of the list is missing: {e}") from e
+    names = spark.createDataFrame([(_plain(p), d) for p, d in files], "file string, doc_id int")  # a row for each line of the list
+    rows = rows.join(small(names), "file").withColumn("seq_id", F.monotonically_increasing_id())
+    return stored(rows.select("seq_id", "doc_id", "name", "seq"), "collection")
+
+
+def _plain(path: str) -> str:
+    """A path without a scheme for local files, as the rows of a file have it."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith(("/", "file:")) else path
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:

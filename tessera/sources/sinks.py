@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.matching import as_text
@@ -26,8 +26,16 @@ def write_abundance(counts: DataFrame, path: str) -> None:
     counts.orderBy(F.desc("n"), "taxon").select("taxon", "n").write.csv(path, sep="\t")
 
 
-def write_profiles(profiles: DataFrame, path: str, n: int = 0, lens: Column | None = None) -> None:
-    """The first n profiles (all if n is 0) as lines of comma-separated lengths, in order of runs."""
+def write_profiles(profiles: DataFrame, path: str, n: int = 0) -> None:
+    """The first n profiles (all if n is 0) as lines, in order of runs: the lengths of full profiles; the character and then
+    document and length of each stored pair of top-k profiles, and of taxonomic ones those from the left, `;`, those from the right."""
     rows = profiles.orderBy("run_id", F.desc("side"))
     rows = rows.limit(n) if n > 0 else rows
-    rows.select(F.array_join(F.transform(lens if lens is not None else F.col("lens"), lambda x: x.cast("string")), ",").alias("value")).write.text(path)
+    pairs = lambda c: F.array_join(F.flatten(F.transform(F.col(c), lambda p: F.array(p["doc"].cast("string"), p["len"].cast("string")))), ",")
+    if "lens" in profiles.columns:
+        line = F.array_join(F.transform("lens", lambda x: x.cast("string")), ",")
+    elif "top" in profiles.columns:
+        line = F.concat_ws(",", "ch", pairs("top"))
+    else:
+        line = F.concat(F.col("ch"), F.lit(","), pairs("left"), F.lit(";"), pairs("right"))
+    rows.select(line.alias("value")).write.text(path)

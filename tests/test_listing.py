@@ -199,3 +199,109 @@ def test_stream_of_reads(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.read_id, r.doc_id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(7, 0, 3), (7, 1, 3)]
+
+
+def test_long_repeats_are_ordered_whole(spark):
+    r = random.Random(5)
+    core = "".join(r.choice("ACGT") for _ in range(900))
+    seqs = [core, core[:700] + "T" + core[700:], core[5:], "AC" * 200, "AC" * 150 + "A", "", core[100:400]]
+    df = spark.createDataFrame([(i, i % 4, s) for i, s in enumerate(seqs)], "seq_id long, doc_id int, seq string")
+    sa = I.suffixes(df).cache()
+    rows = sa.orderBy("row").collect()
+    want = sorted((s[p:], i, p) for i, s in enumerate(seqs) for p in range(len(s) + 1))
+    assert [(x.seq_id, x.pos, x.rest) for x in rows] == [(i, p, len(t)) for t, i, p in want]
+    assert [x.ch for x in rows] == [seqs[i][p - 1] if p else "$" for _, i, p in want]
+    common = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    lcp = {x.row: x.lcp for x in I.with_lcp(sa).collect()}
+    assert all(lcp[k + 1] == common(want[k][0], want[k + 1][0]) for k in range(len(want) - 1))
+    flagged = I.with_runs(sa).cache()
+    where = {(x.run_id, side): x for x in flagged.collect() for side in "SE" if (x.is_start if side == "S" else x.is_end)}
+    held = {}
+    for i, s in enumerate(seqs):
+        held.setdefault(i % 4, []).append(s)
+    for x in I.profiles(flagged, 4).collect()[:60]:
+        at = where[x.run_id, x.side]
+        longer = seqs[at.seq_id][at.pos - 1 :]
+        assert list(x.lens) == [max((common(longer, s[p:]) for s in held[d] for p in range(len(s))), default=0) for d in range(4)]
+
+
+def test_windows_over_buckets_of_rows(spark, monkeypatch):
+    from tessera.plans import common as C
+
+    df = spark.createDataFrame([(i, i % 3, s) for i, s in enumerate(["ACGTACGT", "CGTACG", "TTACGG", "ACG", "GGGG"])], "seq_id long, doc_id int, seq string")
+    key = lambda df: sorted(map(str, df.collect()))
+    sa = I.suffixes(df).cache()
+    flagged = I.with_runs(sa).cache()
+    want = [key(x) for x in (I.lf_mapping(sa), I.runs(flagged), I.profiles(flagged, 3))]
+    for module in (C, I):
+        monkeypatch.setattr(module, "BUCKET_ROWS", 4)
+    assert [key(x) for x in (I.lf_mapping(sa), I.runs(I.with_runs(sa)), I.profiles(flagged, 3))] == want
+
+
+def test_profiled_listing_is_brute_force(spark, collection):
+    docs, reads = collection
+    rows = [(i, i, t) for i, t in docs.items()]
+    df = spark.createDataFrame(rows, "seq_id long, doc_id int, seq string")
+    q = spark.createDataFrame(list(reads.items()), "read_id long, seq string")
+    out = M.profiled_listing(df, I.suffixes(df).cache(), 12, q, 1)
+    suffixes = sorted((t[p:], i, p) for i, t in docs.items() for p in range(len(t)))
+    seen = {}
+    for x in out.orderBy("read_id", "ord").collect():
+        f = reads[x.read_id][x.s : x.e + 1]
+        seen.setdefault(x.read_id, []).append((x.s, x.e, [d for d, n in enumerate(x.lens or []) if n >= len(f)]))
+        if x.lens:
+            first = next(t for t, _, _ in suffixes if t.startswith(f))
+            if len(first) < 80:
+                assert list(x.lens) == [max(n for n in range(len(first) + 1) if first[:n] in docs[d]) for d in range(12)]
+    assert seen == {i: brute(x, docs) for i, x in reads.items()}
+
+
+def test_compressed_indexes_and_files(spark, tmp_path):
+    import gzip
+
+    from tessera import api
+    from tessera.sources import sequences as Q
+    from tessera.sources.listings import mates
+
+    with gzip.open(tmp_path / "a.fa.gz", "wt") as f:
+        f.write(">x\nACGTACGTTGCA\n>x2\nGGATCC\n")
+    (tmp_path / "b +%41.fa").write_text(">y\nACGTACGTAAAA\n")
+    (tmp_path / "c.fa").write_text(">z\nACGTTGCACCCC\n")
+    b = tmp_path / "b.fa"
+    b.write_text((tmp_path / "b +%41.fa").read_text())
+    (tmp_path / "list.txt").write_text(f"{tmp_path}/a.fa.gz 1\n{b} 2\n{tmp_path}/c.fa 3\n")
+    got = Q.read_collection(spark, [(f"{tmp_path}/a.fa.gz", 0), (f"{tmp_path}/b +%41.fa", 1), (f"file:{tmp_path}/c.fa", 2)])
+    assert sorted((r.doc_id, r.name, r.seq) for r in got.collect()) == [(0, "x", "ACGTACGTTGCA"), (0, "x2", "GGATCC"), (1, "y", "ACGTACGTAAAA"), (2, "z", "ACGTTGCACCCC")]
+    with pytest.raises(ValueError, match="missing"):
+        Q.read_collection(spark, [(f"{tmp_path}/none.fa", 0)])
+    reads = spark.createDataFrame([(1, "r_1", "acgtacgt"), (2, "r_2", "acgttgca")], "read_id long, name string, seq string")
+    for kind, want in (("taxcomp", {1: [0, 1], 2: [0, 2]}), ("topk", {1: [0, 1], 2: [0, 2]})):
+        index = str(tmp_path / kind)
+        api.build(spark, str(tmp_path / "list.txt"), index, api.BuildOptions(columns=2, **{kind: True}))
+        rows = api.run(spark, index, reads, seed=4)
+        assert {r.read_id: sorted(r.docs) for r in rows.collect()} == want
+        assert {r.read_id: sorted(r.docs) for r in api.run(spark, index, reads, seed=4, max_length=5).collect()} != {}
+        api.info(spark, index, str(tmp_path / f"{kind}-lines"), 3)
+        assert spark.read.text(str(tmp_path / f"{kind}-lines")).count() == 3
+    digests = str(tmp_path / "digests")
+    api.build(spark, str(tmp_path / "list.txt"), digests, api.BuildOptions(minimizers=True, k=2, w=4, ftab=False))
+    assert api.info(spark, digests, str(tmp_path / "full-lines"))["n_docs"] == 3
+    spark.read.parquet(f"{digests}/runs").limit(1).write.mode("overwrite").parquet(f"{digests}/profiles")
+    with pytest.raises(ValueError, match="profiles"):
+        api.about(spark, digests)
+
+    (tmp_path / "taxa.txt").write_text("1 Bacteria;Firm icutes;\n2 Bacteria;Other;\n")
+    (tmp_path / "tree.txt").write_text("Bacteria; 2 domain\nBacteria;Firm icutes; 3 phylum\nBacteria;Other; 4 phylum 138\n")
+    (tmp_path / "labels.txt").write_text("one\ntwo\n")
+    assert sorted(tuple(r) for r in Q.read_taxonomy(spark, str(tmp_path / "tree.txt")).collect()) == [("Bacteria;", 2, "domain"), ("Bacteria;Firm icutes;", 3, "phylum"), ("Bacteria;Other;", 4, "phylum")]
+    assert sorted(tuple(r) for r in Q.read_labels(spark, str(tmp_path / "labels.txt")).collect()) == [(0, "one"), (1, "two")]
+    (tmp_path / "m1").write_text(">r_1/1\n[0,3] {0} \n>r_2/1\n[0,1] {1} \n")
+    (tmp_path / "m2").write_text(">r_1/2\n[0,3] {0,1} \n>r_2/2\n\n")
+    counts = api.analyze_taxa(spark, str(tmp_path / "m1"), str(tmp_path / "m2"), str(tmp_path / "taxa.txt"), str(tmp_path / "tree.txt"), str(tmp_path / "abundance"), abundance=True)
+    assert {r.taxon: r.n for r in counts.collect()} == {"Bacteria;Firm icutes;": 1, "Bacteria;Other;": 1}
+    (tmp_path / "short.txt").write_text("Bacteria; 2 domain\n")
+    with pytest.raises(ValueError, match="taxonomy"):
+        api.analyze_taxa(spark, str(tmp_path / "m1"), None, str(tmp_path / "taxa.txt"), str(tmp_path / "short.txt"), str(tmp_path / "no"))
+    one, two = spark.createDataFrame([("a1", "x"), ("b1", "y")], "name string, line string"), spark.createDataFrame([("a2", "z")], "name string, line string")
+    with pytest.raises(Exception, match="no mate"):
+        mates(one, two).collect()
