@@ -2,7 +2,9 @@
 
 A recording's frames become energies of the 12 pitch classes. Filters compare areas of that picture through its integral
 image; 16 of them give 2 bits each, packed into an integer for each frame. Recordings that hold the same passage share
-integers at a constant offset: a histogram of offsets proposes alignments, bit errors over the overlap confirm them.
+integers at a constant offset: a histogram of offsets proposes alignments, and the stretch of the overlap in which bit errors
+are few confirms them: the one with the greatest sum of what each frame's errors stay below BIT_ERRORS. What two
+recordings hold besides a shared passage does not count against it.
 """
 
 from __future__ import annotations
@@ -131,8 +133,10 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
 
 
 def alignments(prints: DataFrame, query: str) -> DataFrame:
-    """q, r (classes), offset, overlap, errors, votes: the best alignment of each class with a row of `query` to each other
-    class, if it is good enough. prints: class, fp, and the columns of query, from a stored table.
+    """q, r (classes), offset, start, overlap, errors, votes: the best alignment of each class with a row of `query` to each
+    other class, if it is good enough: start is where its stretch begins in q, overlap how many frames it has. prints:
+    class, fp, and the columns of query, from a stored table. Rows without a class, equal recordings of one class and an empty
+    table give no pair of their own.
 
     Equal fingerprints are one class, so that copies are aligned once. Only the queries' integers are broadcast, behind a
     count; beyond it the join shuffles.
@@ -146,10 +150,18 @@ def alignments(prints: DataFrame, query: str) -> DataFrame:
     queries = one.where("asks").select(F.col("class").alias("q"), F.col("fp").alias("q_fp"))
     found = votes.join(one.select(F.col("class").alias("r"), F.col("fp").alias("r_fp")), "r").join(queries, "q")
     lo, hi = "greatest(0, -offset)", "least(size(q_fp), size(r_fp) - offset)"
-    found = found.withColumn("overlap", F.expr(f"{hi} - {lo}"))
-    found = found.where(f"overlap >= {OVERLAP}").withColumn("errors", F.expr(f"aggregate(sequence({lo}, {hi} - 1), 0L, (a, i) -> a + bit_count(q_fp[i] ^ r_fp[i + offset]))"))
-    found = found.where(f"errors <= {BIT_ERRORS} * 32 * overlap")
-    best = F.max_by(F.struct("offset", "overlap", "errors", "votes"), F.struct("overlap", (-F.col("errors")).alias("e"), F.col("votes"), (-F.col("offset")).alias("o")))
+    left = f"({32 * BIT_ERRORS}D - x)"
+    grown = f"greatest(0D, a.sum + {left})"
+    better = f"a.sum + {left} > a.best"
+    fold = f"""aggregate(transform(CASE WHEN {lo} < {hi} THEN sequence({lo}, {hi} - 1) ELSE cast(array() AS array<int>) END, i -> bit_count(q_fp[i] ^ r_fp[i + offset])),
+        named_struct('k', {lo}, 'sum', 0D, 'from', {lo}, 'errors', 0L, 'best', 0D, 'start', {lo}, 'end', {lo}, 'own', 0L),
+        (a, x) -> named_struct('k', a.k + 1, 'sum', {grown}, 'from', CASE WHEN {grown} > 0 THEN a.from ELSE a.k + 1 END,
+            'errors', CASE WHEN {grown} > 0 THEN a.errors + x ELSE 0L END, 'best', greatest(a.best, {grown}),
+            'start', CASE WHEN {better} THEN a.from ELSE a.start END, 'end', CASE WHEN {better} THEN a.k + 1 ELSE a.end END,
+            'own', CASE WHEN {better} THEN a.errors + x ELSE a.own END))"""
+    found = found.withColumn("s", F.expr(fold)).select("q", "r", "offset", "votes", F.col("s.start").alias("start"), F.expr("s.end - s.start").alias("overlap"), F.col("s.own").alias("errors"))
+    found = found.where(f"overlap >= {OVERLAP}")
+    best = F.max_by(F.struct("offset", "start", "overlap", "errors", "votes"), F.struct("overlap", (-F.col("errors")).alias("e"), F.col("votes"), (-F.col("offset")).alias("o")))
     return found.groupBy("q", "r").agg(best.alias("b")).select("q", "r", "b.*")
 
 

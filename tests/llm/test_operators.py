@@ -471,6 +471,23 @@ def test_media(spark):
     assert len(media.samples_of(b"RIFFxxxxWAVEjunk")) == 0 and len(media.samples_of(None)) == 0
 
 
+def test_media_finds_a_passage_within_other_sounds(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(5))
+    passage = [word() for _ in range(40)]
+    around = lambda a, b: " ".join([word() for _ in range(a)] + passage + [word() for _ in range(b)])
+    rows = [(100, 0, around(70, 20)), (1, 0, around(10, 90)), (2, 0, around(0, 0)), (2, 1, around(0, 0))] + [(i, 0, " ".join(word() for _ in range(90))) for i in range(3, 20)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("audio", F.lit("clash")).withColumn("class", F.lit(1))
+    spoken = turns.select("conv_id", "turn", "text").mapInArrow(media.spoken, "conv_id long, turn long, audio binary")
+    prints = media.fingerprints(spoken).cache()
+    name = {x["class"]: x.conv_id for x in prints.collect()}
+    got = {name[x.r]: (x.offset, x.start, x.overlap) for x in media.alignments(prints, "conv_id = 100").collect()}
+    assert set(got) == {1, 2}
+    assert got[1][0] == -60 and got[2][0] == -70
+    assert all(abs(start - 70) <= media.WIDEST and 30 - media.WIDEST <= n <= 40 + media.WIDEST for _, start, n in got.values())
+    assert media.alignments(media.fingerprints(spoken.limit(0)), "conv_id = 100").count() == 0
+
+
 def test_licenses(spark):
     ordinary = "The thand oner is andthe reer thaning of the ou and in the only this re."
     rows = [(i, f"{ordinary} {i}\n" * 3) for i in range(300)]
