@@ -16,7 +16,7 @@ from tessera.llm._common import new_path, table, until_exit
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return quality.judged(rows).where("kept").select("row.*")
+    return quality.judged(rows, ["row"]).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
