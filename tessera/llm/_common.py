@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,3 +94,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def appended(df: DataFrame, value: Column, made: str, make: Callable[[pa.Array], list[pa.Array]], at_once: int = 4 << 20) -> DataFrame:
+    """df with the columns `made` (names and types, as in SQL) that make gives for an array of values, some rows at a time: as many as
+    hold about at_once bytes. Columns of df that have such a name go."""
+    new = T.StructType.fromDDL(made)
+    gone = {n.lower() for n in new.names}
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone]
+    rows = df.select(*keep, value.alias(unused(df.columns, "_value")[0]))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * at_once // max(batch.column(batch.num_columns - 1).nbytes, at_once))
+            for at in range(0, max(batch.num_rows, 1), step):
+                part = batch.slice(at, step)
+                *own, values = part.columns
+                yield pa.RecordBatch.from_arrays([*own, *make(values)], [*part.schema.names[:-1], *new.names])
+
+    return rows.mapInArrow(each, T.StructType([*rows.schema.fields[:-1], *new.fields]))
