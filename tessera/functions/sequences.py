@@ -143,3 +143,12 @@ def alphabet_digest(seq: Column, k: int = 4, w: int = 11, by_hash: bool = True)
     if k != 4:
         raise ValueError("the minimizer alphabet needs k = 4")
     return F.when(F.length(seq) >= w, F.transform(minimizers(seq, k, w, by_hash), symbol))
+
+
+#: A character for each 8-bit symbol: none is ASCII, an end mark or a letter with two cases that texts are compared by.
+SYMBOLS = "".join(chr(0x4E00 + i) for i in range(256))
+
+
+def spelled_symbols(values: Column) -> Column:
+    """A text with one character for each symbol, so that all that indexes texts indexes symbols."""
+    return F.array_join(F.transform(values, lambda v: F.substring(F.lit(SYMBOLS), v.cast("int") + 1, F.lit(1))), "")

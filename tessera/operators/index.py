@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.nearest import dense, nearest
+from tessera.operators.profiles import COLUMNS
 from tessera.plans.common import BUCKET_ROWS, CHUNK, numbered, running_sum, small, spread, stored
 
 #: Characters of a suffix that are compared as text.
@@ -57,10 +59,13 @@ def suffixes(sequences: DataFrame) -> DataFrame:
 
 
 def common_prefixes(pairs: DataFrame, sa: DataFrame) -> DataFrame:
-    """pairs with `lcp`, the length of the longest common prefix of the suffixes (seq_a, pos_a) and (seq_b, pos_b) of sa."""
+    """pairs with `lcp`, the length of the longest common prefix of the suffixes (seq_a, pos_a) and (seq_b, pos_b) of sa. If they have
+    an lcp, they are known to agree so far, and to differ within the characters that ranks above `level` stand for."""
     levels = sa.select(F.max(F.size("ranks"))).first()[0] or 0
-    out = pairs.withColumn("lcp", F.lit(0))
-    for k in reversed(range(-1, levels)):
+    known = "lcp" in pairs.columns
+    out = pairs if known else pairs.withColumn("lcp", F.lit(0))
+    most = levels - 1 if not known else (pairs.agg(F.max("level")).first()[0] if levels else None)
+    for k in reversed(range(-1, -1 if most is None else most + 1)):
         for x in "ab":
             own = sa.select(F.col("seq_id").alias(f"seq_{x}"), F.col("pos").alias(f"at_{x}"), F.expr(f"ranks[{k}]" if k >= 0 else "suffix").alias(f"key_{x}"), F.col("rest").alias(f"rest_{x}"))
             out = out.withColumn(f"at_{x}", F.col(f"pos_{x}") + F.col("lcp")).join(own, [f"seq_{x}", f"at_{x}"])
@@ -84,15 +89,26 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def with_lcp(sa: DataFrame) -> DataFrame:
-    """sa with lcp, the common prefix with the row before, by an equi-join on row numbers."""
-    own = sa.select("row", F.col("seq_id").alias("seq_a"), F.col("pos").alias("pos_a"))
-    before = sa.select((F.col("row") + 1).alias("row"), F.col("seq_id").alias("seq_b"), F.col("pos").alias("pos_b"))
-    found = common_prefixes(own.join(before, "row"), sa).select("row", "lcp")
-    return sa.join(found, "row", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+    """sa with lcp and lcp_next, the common prefixes with the row before and the next row, by an equi-join on row numbers.
+
+    Most neighbours part within their first HEAD characters, which rows hold; ranks tell how far the others agree at least, and only
+    for them the rest is looked up."""
+    side = lambda x, shift: sa.select((F.col("row") + shift).alias("row"), *[F.col(c).alias(f"{c}_{x}") for c in ("seq_id", "pos", "rest", "suffix", "ranks")])
+    same = F.expr("aggregate(zip_with(ranks_a, ranks_b, (x, y) -> x = y), 0, (a, e) -> a + CAST(e AS int))")
+    pairs = stored(side("a", 0).join(side("b", 1), "row").withColumn("same", same), "neighbours")
+    found = F.when(F.col("same") == 0, common_prefix(F.col("suffix_a"), F.col("suffix_b"))).when(F.col("same") == F.size("ranks_a"), F.col("rest_a"))
+    near = pairs.select("row", found.alias("lcp")).where("lcp IS NOT NULL")
+    least = F.least(F.lit(HEAD) * F.expr("CAST(shiftleft(1, same - 1) AS int)"), "rest_a", "rest_b")
+    deep = pairs.where("same > 0 AND same < size(ranks_a)").select("row", F.col("seq_id_a").alias("seq_a"), "pos_a", F.col("seq_id_b").alias("seq_b"), "pos_b", least.cast("int").alias("lcp"), (F.col("same") - 2).alias("level"))
+    lcp = near.unionByName(common_prefixes(deep, sa).select("row", "lcp"))
+    lcp = stored(lcp.select("row", F.col("lcp").cast("int").alias("lcp")), "common-prefixes")
+    both = sa.join(lcp, "row", "left").join(lcp.select((F.col("row") - 1).alias("row"), F.col("lcp").alias("lcp_next")), "row", "left")
+    return both.withColumn("lcp", F.coalesce("lcp", F.lit(0))).withColumn("lcp_next", F.coalesce("lcp_next", F.lit(0)))
 
 
 def with_runs(sa: DataFrame) -> DataFrame:
-    """sa with run_id and whether a row starts or ends its run of equal characters."""
+    """sa with run_id, whether a row starts or ends its run of equal characters, and the common prefixes with its neighbours."""
+    sa = stored(with_lcp(sa), "with-lcp")
     around = sa.select((F.col("row") + 1).alias("row"), F.col("ch").alias("prev")).join(sa.select("row", "ch"), "row", "full").select("row", "prev", F.col("ch").alias("own"))
     flags = around.where("own IS NOT NULL").withColumn("is_start", ~F.col("own").eqNullSafe(F.col("prev"))).select("row", "is_start")
     next_start = flags.select((F.col("row") - 1).alias("row"), F.col("is_start").alias("is_end"))
@@ -132,44 +148,27 @@ def lf_mapping(sa: DataFrame) -> DataFrame:
     return own.join(F.broadcast(f_column(sa)), "ch").select("row", "ch", "rank", (F.col("first") + F.col("rank")).alias("lf"))  # a row for each character
 
 
-def nearest(targets: DataFrame, sa: DataFrame, n_docs: int) -> DataFrame:
-    """row, doc_id, before, after: for each row of targets and each document, the document's nearest rows of sa at or before it, and
-    at or after it. Within buckets of rows by a window, and over buckets by their first and last rows."""
-    bucket = F.floor(F.col("row") / BUCKET_ROWS).alias("b")
-    marks = sa.where("rest > 0").select("row", bucket, F.col("doc_id").cast("int").alias("doc_id"))
-    grid = targets.select("row", bucket, F.explode(F.sequence(F.lit(0), F.lit(n_docs - 1))).alias("doc_id"))
-    every = marks.withColumn("val", F.col("row")).withColumn("ask", F.lit(0)).unionByName(grid.withColumn("val", F.lit(None).cast("long")).withColumn("ask", F.lit(1)))
-    within = W.partitionBy("b", "doc_id").orderBy("row", "ask")
-    own = every.withColumn("before", F.last("val", True).over(within.rowsBetween(W.unboundedPreceding, 0)))
-    # at the same row a mark comes before what asks for it, and is both
-    own = own.withColumn("after", F.when(F.col("before") == F.col("row"), F.col("row")).otherwise(F.first("val", True).over(within.rowsBetween(0, W.unboundedFollowing))))
-    own = own.where("ask = 1").select("row", "b", "doc_id", "before", "after")
-    ends = marks.groupBy("b", "doc_id").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
-    ends = ends.join(grid.select("b", "doc_id").distinct(), ["b", "doc_id"], "full")
-    over = W.partitionBy("doc_id").orderBy("b")
-    ends = ends.select("b", "doc_id", F.last("hi", True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("hi"), F.first("lo", True).over(over.rowsBetween(1, W.unboundedFollowing)).alias("lo"))
-    return own.join(ends, ["b", "doc_id"], "left").select("row", "doc_id", F.coalesce("before", "hi").alias("before"), F.coalesce("after", "lo").alias("after"))
+def lengths(asked: DataFrame, sa: DataFrame, n_docs: int) -> DataFrame:
+    """row, lens: the longest match of each asked row of sa (with lcp and lcp_next) with each document."""
+    return nearest(sa, asked).select("row", dense(F.col("lens"), n_docs).alias("lens"))
 
 
-def lengths(asked: DataFrame, sa: DataFrame, n_docs: int) -> DataFrame:
-    """row, lens: the longest match of each asked suffix (row, seq_a, pos_a) of sa with each document.
+def boundaries(flagged: DataFrame) -> DataFrame:
+    """run_id, ch, side (S or E), longer: of each run's first and last row, the row of the suffix one character longer."""
+    ends = flagged.where(f"(is_start OR is_end) AND ch <> '{END}'")
+    side = F.explode(F.filter(F.array(F.when(F.col("is_start"), "S"), F.when(F.col("is_end"), "E")), lambda x: x.isNotNull()))
+    places = flagged.select("seq_id", (F.col("pos") + 1).alias("pos"), F.col("row").alias("longer"))
+    return stored(ends.select("run_id", "ch", "seq_id", "pos", side.alias("side")).join(places, ["seq_id", "pos"]).select("run_id", "ch", "side", "longer"), "boundaries")
 
-    The longest match with a document is that with its nearest suffix in order, on one side or the other.
-    """
-    near = stored(nearest(asked.select("row"), sa, n_docs), "nearest")
-    pairs = near.select("row", "doc_id", F.explode(F.array_distinct(F.array("before", "after"))).alias("other")).where("other IS NOT NULL")
-    pairs = pairs.join(asked, "row").join(sa.select(F.col("row").alias("other"), F.col("seq_id").alias("seq_b"), F.col("pos").alias("pos_b")), "other")
-    best = common_prefixes(pairs, sa).groupBy("row", "doc_id").agg(F.max("lcp").alias("len"))
-    lens = near.select("row", "doc_id").join(best, ["row", "doc_id"], "left").groupBy("row")
-    return lens.agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("len", F.lit(0)).alias("len")))).alias("x")).select("row", F.expr("x.len").alias("lens"))
+
+def kept(flagged: DataFrame, kind: str, k: int = COLUMNS) -> DataFrame:
+    """run_id, ch, side and what `kind` keeps (see nearest.nearest) for each run's first and last row, of the suffix one character longer."""
+    ends = boundaries(flagged)
+    asked = ends.select(F.col("longer").alias("row")).distinct()
+    return ends.join(nearest(flagged, asked, kind, k).withColumnRenamed("row", "longer"), "longer").drop("longer")
 
 
 def profiles(flagged: DataFrame, n_docs: int) -> DataFrame:
     """run_id, ch, side (S or E), lens: for each run's first and last row, the longest match with each document of the
     suffix one character longer. Own document: that suffix whole."""
-    ends = flagged.where(f"(is_start OR is_end) AND ch <> '{END}'")
-    side = F.explode(F.filter(F.array(F.when(F.col("is_start"), "S"), F.when(F.col("is_end"), "E")), lambda x: x.isNotNull()))
-    places = flagged.select("seq_id", (F.col("pos") + 1).alias("pos"), F.col("row").alias("longer"))
-    ends = stored(ends.select("run_id", "ch", "seq_id", "pos", side.alias("side")).join(places, ["seq_id", "pos"]), "boundaries")
-    asked = ends.select(F.col("longer").alias("row"), F.col("seq_id").alias("seq_a"), (F.col("pos") - 1).alias("pos_a")).distinct()
-    return ends.join(lengths(asked, flagged, n_docs).withColumnRenamed("row", "longer"), "longer").select("run_id", "ch", "side", "lens")
+    return kept(flagged, "lens").withColumn("lens", dense(F.col("lens"), n_docs))

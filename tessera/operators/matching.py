@@ -1,7 +1,8 @@
 """Document listing: cut each read into maximal exact matches and list the documents that hold each.
 
-One plan serves all variants: an equi-join on seeds, gaps and islands along diagonals, matching statistics, a fold from the
-right end, and a containment join of factors with islands. Matches never cross a document's boundary.
+One plan serves all variants: an equi-join on seeds, gaps and islands along diagonals, places of reads among the collection's short
+strings for what is shorter than a seed, matching statistics, a fold from the right end, and a containment join of factors with
+islands. Matches never cross a document's boundary.
 """
 
 from __future__ import annotations
@@ -10,8 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.operators.index import lengths
-from tessera.plans.common import kmers, listed, small, stored, substrings
+from tessera.operators.index import common_prefix, with_lcp
+from tessera.operators.nearest import dense, nearest
+from tessera.operators.profiles import COLUMNS
+from tessera.operators.seeds import Seeds
+from tessera.operators.seeds import heads as seed_heads
+from tessera.plans.common import grams, kmers, listed, neighbours, small, stored, substrings
 
 SEED = 12
 
@@ -20,7 +25,7 @@ def contained(docs: DataFrame, patterns: DataFrame, k: int = SEED) -> DataFrame:
     """(read_id, doc_id) of each pattern that a document's text holds. docs: doc_id, text; patterns: read_id, seq.
 
     A pattern's seeds lie side by side, the last one at its end, so that it occurs where a document has all of them at one
-    distance: an equi-join and a count. Patterns shorter than a seed are looked up by their length. Empty patterns and null
+    distance: an equi-join and a count. Patterns shorter than a seed are looked up among the substrings of their lengths, in one pass. Empty patterns and null
     texts match nothing; equal patterns are looked up once.
     """
     patterns = stored(patterns.where("seq <> ''").select("read_id", "seq"), "patterns")
@@ -30,40 +35,64 @@ def contained(docs: DataFrame, patterns: DataFrame, k: int = SEED) -> DataFrame:
     seeds = stored(seeds.select("first", "n", "p", F.expr(f"substring(seq, p + 1, {k})").alias("kmer")), "seeds")
     hits = kmers(docs.select("doc_id", "text"), "text", k, "q").join(small(seeds), "kmer")
     found = hits.groupBy("first", "doc_id", "n", (F.col("q") - F.col("p")).alias("diag")).agg(F.count("*").alias("m")).where("m = n").select("first", "doc_id")
-    short = stored(once.where(F.length("seq") < k), "short-patterns")
-    for n in sorted(r.n for r in short.select(F.length("seq").alias("n")).distinct().collect()):  # fewer lengths than k
-        own = short.where(F.length("seq") == n).select("first", F.col("seq").alias("kmer"))
-        found = found.unionByName(kmers(docs.select("doc_id", "text"), "text", n, "q").join(small(own), "kmer").select("first", "doc_id"))
+    short = stored(once.where(F.length("seq") < k).select("first", F.col("seq").alias("lmer")), "short-patterns")
+    lengths = sorted(r.n for r in short.select(F.length("lmer").alias("n")).distinct().collect())  # fewer than k
+    if lengths:
+        found = found.unionByName(substrings(docs.select("doc_id", "text"), "text", lengths[-1], lengths=lengths).join(small(short), "lmer").select("first", "doc_id"))
     named = patterns.join(small(stored(once, "once")), "seq").select("read_id", "first")
     return found.distinct().join(small(stored(named, "names")), "first").select("read_id", "doc_id")
 
 
-def islands(docs: DataFrame, reads: DataFrame, k: int = SEED) -> DataFrame:
+def islands(docs: DataFrame | None, reads: DataFrame, k: int = SEED, stored_seeds: Seeds | None = None) -> DataFrame:
     """read_id, doc_id, diag, s, e: all maximal exact matches of at least k characters. Ends inclusive, from 0.
 
-    k-mers of documents that no read holds never reach a shuffle if the reads' k-mers are few enough to be broadcast.
+    k-mers of documents that no read holds never reach a shuffle if the reads' k-mers are few enough to be broadcast. With stored
+    seeds of k characters the documents themselves are not read.
     """
     probes = stored(kmers(reads.select("read_id", "seq"), "seq", k, "p"), "probes")
-    hits = kmers(docs.select("doc_id", "text"), "text", k, "q").join(small(probes), "kmer")
+    if stored_seeds is not None:
+        hits = stored_seeds.hits(probes)
+    else:
+        hits = kmers(docs.select("doc_id", "text"), "text", k, "q").join(small(probes), "kmer")
     hits = hits.select("read_id", "doc_id", (F.col("q") - F.col("p")).alias("diag"), "p")
     order = W.partitionBy("read_id", "doc_id", "diag").orderBy("p")
     hits = hits.withColumn("g", F.col("p") - F.row_number().over(order))
     return hits.groupBy("read_id", "doc_id", "diag", "g").agg(F.min("p").alias("s"), (F.max("p") + k - 1).alias("e")).drop("g")
 
 
-def short_matches(docs: DataFrame, reads: DataFrame, k: int) -> DataFrame:
-    """lmer, doc_id for each string of fewer than k characters that a read and a document share. Texts are read once."""
-    own = stored(substrings(reads.select("seq"), "seq", k - 1).select("lmer").distinct(), "short")
-    return substrings(docs.select("doc_id", "text"), "text", k - 1).join(small(own), "lmer", "left_semi").select("lmer", "doc_id").distinct()
+def starts(reads: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """read_id, s, e: the longest match of at most k characters that begins at each place of a read, where there is one. heads: gram
+    (see seeds.heads).
 
+    The places' own grams are put among the collection's in order: the longest match is the common prefix with the nearest one
+    on either side."""
+    at = stored(grams(reads.select("read_id", "seq"), "seq", k, "s", "gram"), "read-grams")
+    near = neighbours(at.select("gram").distinct(), heads.select("gram").distinct(), "gram")
+    n = F.greatest(*[F.coalesce(common_prefix(F.col("gram"), F.col(c)), F.lit(0)) for c in ("before", "after")])
+    return at.join(near.select("gram", n.alias("n")).where("n > 0"), "gram").select("read_id", "s", (F.col("s") + F.col("n") - 1).alias("e"))
 
-def statistics(found: DataFrame, reads: DataFrame, k: int, short: DataFrame | None = None) -> DataFrame:
-    """read_id, e, s: the longest match that ends at e begins at s. found: islands."""
-    ends = found.select("read_id", "s", F.explode(F.sequence(F.col("s") + k - 1, F.col("e"))).alias("e"))
-    if short is not None:
-        at = substrings(reads.select("read_id", "seq"), "seq", k - 1, "s").withColumn("e", F.col("s") + F.length("lmer") - 1)
-        ends = ends.unionByName(at.join(short.select("lmer").distinct(), "lmer", "left_semi").select("read_id", "s", "e"))
-    return ends.groupBy("read_id", "e").agg(F.min("s").alias("s"))
+
+def holders_of(strings: DataFrame, heads: DataFrame) -> DataFrame:
+    """lmer, doc_id for each string (lmer, not empty) of fewer characters than the grams of heads that a document holds: the documents
+    with a gram that begins with it."""
+    lengths = sorted(r.n for r in strings.select(F.length("lmer").alias("n")).distinct().collect())  # fewer than a seed's
+    if not lengths:
+        return strings.join(heads.select("doc_id"), F.lit(False))
+    begins = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("gram"))
+    each = heads.select("doc_id", F.explode(F.transform(begins, lambda n: F.substring(F.col("gram"), F.lit(1), n))).alias("lmer"))
+    return each.join(small(strings), "lmer").select("lmer", "doc_id").distinct()
+
+
+def statistics(found: DataFrame, k: int) -> DataFrame:
+    """read_id, e, s: the longest match of k characters at least that ends at e begins at s. found: matches (read_id, s, e), of each
+    start the longest among them.
+
+    Of all matches that begin at s the longest covers the ends of the others, and a start gives only the ends that no start before it
+    reaches, so that there is a row for each end and no more."""
+    longest = found.groupBy("read_id", "s").agg(F.max("e").alias("e"))
+    before = F.max("e").over(W.partitionBy("read_id").orderBy("s").rowsBetween(W.unboundedPreceding, -1))
+    new = longest.withColumn("from", F.greatest(F.col("s") + k - 1, F.coalesce(before + 1, F.lit(0)))).where("from <= e")
+    return new.select("read_id", "s", F.explode(F.sequence("from", "e")).alias("e"))
 
 
 def factors(stats: DataFrame, reads: DataFrame) -> DataFrame:
@@ -79,31 +108,37 @@ def factors(stats: DataFrame, reads: DataFrame) -> DataFrame:
     return dense.select("read_id", F.posexplode(F.expr(fold)).alias("ord", "f")).select("read_id", "ord", "f.s", "f.e", "f.hit")
 
 
-def matched(docs: DataFrame, reads: DataFrame, k: int, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:
-    """reads, equal reads once (seq, first), islands, factors, and short strings (with exact, and k above 1)."""
+def matched(docs: DataFrame | None, reads: DataFrame, k: int, exact: bool, stored_seeds: Seeds | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """reads, equal reads once (seq, first), islands, factors, and the collection's grams (with exact, and k above 1)."""
     reads = stored(reads.select("read_id", F.coalesce("seq", F.lit("")).alias("seq")), "reads")
     once = stored(reads.where("seq <> ''").groupBy("seq").agg(F.min("read_id").alias("first")), "once")
     own = once.select(F.col("first").alias("read_id"), "seq")
-    found = stored(islands(docs, own, k), "islands")
-    short = stored(short_matches(docs, own, k), "short-matches") if exact and k > 1 else None
-    return reads, once, found, stored(factors(statistics(found, own, k, short), own), "factors"), short
+    found = stored(islands(docs, own, k, stored_seeds), "islands")
+    if not exact or k == 1:
+        return reads, once, found, stored(factors(statistics(found, k), own), "factors"), None
+    heads = stored_seeds.heads if stored_seeds is not None else stored(seed_heads(docs, k), "heads")
+    matches = found.select("read_id", "s", "e").unionByName(starts(own, heads, k))
+    return reads, once, found, stored(factors(statistics(matches, 1), own), "factors"), heads
 
 
-def listing(docs: DataFrame, reads: DataFrame, k: int = SEED, exact: bool = False, classes: DataFrame | None = None) -> DataFrame:
+def listing(docs: DataFrame | None, reads: DataFrame, k: int = SEED, exact: bool = True, classes: DataFrame | None = None, stored_seeds: Seeds | None = None) -> DataFrame:
     """read_id, ord, s, e, docs (array, ascending) for each factor of each read.
 
-    docs: doc_id, text; reads: read_id, seq, with distinct read_ids. Without `exact`, matches shorter than k count as none
-    (the default at scale); with it, shorter ones are found by tables of short strings. classes: doc_id, class - then docs
-    lists classes. Equal reads are matched once. Null and empty reads have no factor.
+    docs: doc_id, text; reads: read_id, seq, with distinct read_ids. Matches of k characters and more are found by seeds. Shorter ones
+    are found among the collection's distinct strings of k characters, unless `exact` is false: then they count as none.
+    stored_seeds, of k characters too, stand for docs. classes: doc_id, class - then docs lists classes. Equal reads are matched
+    once. Null and empty reads have no factor.
     """
-    reads, once, found, cut, short = matched(docs, reads, k, exact)
+    reads, once, found, cut, heads = matched(docs, reads, k, exact, stored_seeds)
     own = once.select(F.col("first").alias("read_id"), "seq")
     # no island that ends at e or after it begins before s, so that those around a factor begin with it
     inside = cut.where("hit").join(found.select("read_id", "doc_id", "s", F.col("e").alias("i_e")), ["read_id", "s"]).where("e <= i_e")
     holders = inside.select("read_id", "ord", "doc_id")
-    if short is not None:
+    if heads is not None:
         strings = cut.where(f"hit AND e - s + 1 < {k}").join(own, "read_id").select("read_id", "ord", F.expr("substring(seq, s + 1, e - s + 1)").alias("lmer"))
-        holders = holders.unionByName(strings.join(short, "lmer").select("read_id", "ord", "doc_id"))
+        strings = stored(strings, "short-factors")
+        held = holders_of(stored(strings.select("lmer").distinct(), "short-strings"), heads)
+        holders = holders.unionByName(strings.join(held, "lmer").select("read_id", "ord", "doc_id"))
     if classes is not None:
         holders = holders.join(small(classes), "doc_id").select("read_id", "ord", F.col("class").alias("doc_id"))
     sets = holders.groupBy("read_id", "ord").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
@@ -118,21 +153,25 @@ def _for_all(out: DataFrame, reads: DataFrame, once: DataFrame) -> DataFrame:
     return named.join(out.withColumnRenamed("read_id", "first"), "first").drop("first")
 
 
-def profiled_listing(sequences: DataFrame, sa: DataFrame, n_docs: int, reads: DataFrame, k: int = SEED) -> DataFrame:
-    """read_id, ord, s, e, lens for each factor of each read: the match lengths, with each document, of the first suffix in
-    order that begins with the factor; null where a factor matches nothing. Matches shorter than k count as none.
+def profiled_listing(sequences: DataFrame, sa: DataFrame, n_docs: int, reads: DataFrame, k: int = SEED, kind: str = "lens", columns: int = COLUMNS, stored_seeds: Seeds | None = None) -> DataFrame:
+    """read_id, ord, s, e, and for each factor of each read what `kind` keeps (see nearest.nearest) of the first suffix in
+    order that begins with the factor; null where a factor matches nothing. Matches shorter than k count as none. Kind "lens" gives
+    a length for each document.
 
-    sequences: seq_id, doc_id, seq; sa: their sorted suffixes. A factor's places are where its islands begin, so that the
-    first suffix is a join by place and a minimum. What the taxonomic and the top-k listings of reads are made of.
+    sequences: seq_id, doc_id, seq; sa: their sorted suffixes with lcp and lcp_next. A factor's places are where its islands
+    begin, so that the first suffix is a join by place and a minimum. What the taxonomic and the top-k listings of reads are made of.
     """
-    docs = sequences.select(F.col("seq_id").alias("doc_id"), F.col("seq").alias("text"))
-    reads, once, found, cut, _ = matched(docs, reads, k, False)
+    docs = sequences.select(F.col("seq_id").alias("doc_id"), F.col("seq").alias("text")) if stored_seeds is None else None
+    sa = sa if "lcp" in sa.columns else stored(with_lcp(sa), "with-lcp")
+    reads, once, found, cut, _ = matched(docs, reads, k, False, stored_seeds)
     inside = cut.where("hit").join(found.select("read_id", F.col("doc_id").alias("seq_id"), "s", F.col("e").alias("i_e"), (F.col("s") + F.col("diag")).alias("pos")), ["read_id", "s"]).where("e <= i_e")
     first = inside.join(sa.select("seq_id", "pos", "row"), ["seq_id", "pos"]).groupBy("read_id", "ord").agg(F.min("row").alias("row"))
     first = stored(first, "first-suffixes")
-    asked = sa.select("row", F.col("seq_id").alias("seq_a"), F.col("pos").alias("pos_a")).join(small(stored(first.select("row").distinct(), "asked")), "row")
-    lens = first.join(lengths(asked, sa, n_docs), "row").select("read_id", "ord", "lens")
-    return _for_all(cut.join(lens, ["read_id", "ord"], "left"), reads, once).select("read_id", "ord", "s", "e", "lens")
+    kept = nearest(sa, stored(first.select("row").distinct(), "asked"), kind, columns)
+    if kind == "lens":
+        kept = kept.select("row", dense(F.col("lens"), n_docs).alias("lens"))
+    out = cut.join(first.join(kept, "row").drop("row"), ["read_id", "ord"], "left")
+    return _for_all(out, reads, once).select("read_id", "ord", "s", "e", *[c for c in kept.columns if c != "row"])
 
 
 def as_text(rows: DataFrame) -> DataFrame:

@@ -28,13 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(own.getParent())
+    files.deleteOnExit(own)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again; cuts the lineage. The table goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,14 +76,25 @@ def kmers(df: DataFrame, seq: str, k: int, pos: str = "pos", kmer: str = "kmer")
     return chunks.select(*rest, F.explode(each).alias("_k")).select(*rest, f"_k.{pos}", f"_k.{kmer}")
 
 
-def substrings(df: DataFrame, seq: str, most: int, pos: str = "pos", lmer: str = "lmer") -> DataFrame:
-    """A row for each substring of 1 to `most` characters of column seq, which goes. Texts are cut into chunks first."""
+def grams(df: DataFrame, seq: str, k: int, pos: str = "pos", gram: str = "gram") -> DataFrame:
+    """A row for each character of column seq, which goes, with the k characters from there on, fewer at the end."""
+    starts = F.expr(f"CASE WHEN length({seq}) > 0 THEN sequence(0, length({seq}) - 1, {CHUNK}) ELSE cast(array() AS array<int>) END")
+    cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col(seq), i + 1, F.lit(CHUNK + k - 1)).alias("part")))
+    rest = [c for c in df.columns if c != seq]
+    chunks = spread(df).select(*rest, F.explode(cut).alias("_c")).select(*rest, "_c.at", "_c.part")
+    each = F.transform(F.expr(f"sequence(1, least({CHUNK}, length(part)))"), lambda i: F.struct((F.col("at") + i - 1).alias(pos), F.substring(F.col("part"), i, F.lit(k)).alias(gram)))
+    return chunks.select(*rest, F.explode(each).alias("_k")).select(*rest, f"_k.{pos}", f"_k.{gram}")
+
+
+def substrings(df: DataFrame, seq: str, most: int, pos: str = "pos", lmer: str = "lmer", lengths: list[int] | None = None) -> DataFrame:
+    """A row for each substring of 1 to `most` characters of column seq, which goes; or only of the lengths given. Texts are cut
+    into chunks first."""
     starts = F.expr(f"CASE WHEN length({seq}) > 0 THEN sequence(0, length({seq}) - 1, {CHUNK}) ELSE cast(array() AS array<int>) END")
     cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col(seq), i + 1, F.lit(CHUNK + most - 1)).alias("part")))
     rest = [c for c in df.columns if c != seq]
     chunks = spread(df).select(*rest, F.explode(cut).alias("_c")).select(*rest, "_c.at", "_c.part")
     each = F.expr(f"""flatten(transform(sequence(1, least({CHUNK}, length(part))), i ->
-        transform(sequence(1, least({most}, length(part) - i + 1)), n -> named_struct('{pos}', at + i - 1, '{lmer}', substring(part, i, n)))))""")
+        transform({f"filter(array({', '.join(map(str, lengths))}), n -> n <= length(part) - i + 1)" if lengths else f"sequence(1, least({most}, length(part) - i + 1))"}, n -> named_struct('{pos}', at + i - 1, '{lmer}', substring(part, i, n)))))""")
     return chunks.select(*rest, F.explode(each).alias("_k")).select(*rest, f"_k.{pos}", f"_k.{lmer}")
 
 
@@ -91,6 +109,22 @@ def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_rn") - 1).drop("_part", "_rn", "_before")  # a row for each partition
 
 
+def neighbours(asked: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """key, before, after: for each key of asked the nearest key of held at or before it, and at or after it; null if none is. Both have
+    distinct keys. Ranges of keys are read side by side, and what lies beyond a range's ends comes from the others' ends."""
+    both = held.select(key, F.lit(True).alias("_held")).unionByName(asked.select(key, F.lit(False).alias("_held")))
+    both = both.groupBy(key).agg(F.max("_held").alias("_held"), F.min("_held").alias("_all_held"))
+    parts = stored(both.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "key-ranges")
+    own = F.when(F.col("_held"), F.col(key))
+    ends = parts.groupBy("_part").agg(F.min(own).alias("_lo"), F.max(own).alias("_hi"))
+    ends = ends.select("_part", F.last("_hi", True).over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_hi"), F.last("_lo", True).over(W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)).alias("_lo"))
+    # frames that grow row by row; one that begins at its row is read again for each
+    upto = lambda order: F.last(own, True).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    rows = parts.withColumn("before", upto(F.asc(key))).withColumn("after", upto(F.desc(key)))
+    out = rows.where("NOT _all_held").join(F.broadcast(ends), "_part")  # a row for each partition
+    return out.select(key, F.coalesce("before", "_hi").alias("before"), F.coalesce("after", "_lo").alias("after"))
+
+
 def running_sum(df: DataFrame, name: str, value: Column, row: str) -> DataFrame:
     """df with `name`, the sum of value over all rows up to this one, by the row numbers in column row."""
     own = df.withColumn("_b", F.floor(F.col(row) / BUCKET_ROWS)).withColumn("_v", value)
@@ -103,3 +137,21 @@ def running_sum(df: DataFrame, name: str, value: Column, row: str) -> DataFrame:
 def listed(ids: Column) -> Column:
     """Ids as text, ascending, joined by commas."""
     return F.array_join(F.transform(F.array_sort(ids), lambda x: x.cast("string")), ",")
+
+
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> None:
+    """df as a Parquet table under path in buckets by the keys, a sorted file for each."""
+    name = f"tessera_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int) -> DataFrame:
+    """The table that write_bucketed wrote: a join on its keys needs no shuffle of it. The catalog knows it only while it is resolved."""
+    name = f"tessera_{uuid.uuid4().hex}"
+    by, at = ", ".join(keys), path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{at}'")
+    df = spark.table(name)
+    df.schema  # resolved before the name goes  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")
+    return df

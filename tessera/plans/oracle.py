@@ -64,6 +64,20 @@ FIRST = (
     "lens as (select f, item_id d, (select coalesce(max(n), 0) from range(1, length(sfx) + 1) t(n) where contains(text, substr(sfx, 1, n))) len from firsts, benchmark)",
     "rec as (select *, length(f) need, coalesce(max(len) over (partition by f order by d rows between unbounded preceding and 1 preceding), 0) lm, coalesce(max(len) over (partition by f order by d rows between 1 following and unbounded following), 0) rm, row_number() over (partition by f order by len desc, d) k from lens)",
 )
+# reads (r, q) in docs (d, t), every factor: strings of at most 12 characters by the documents' own, longer ones by their first 12
+ANY = (
+    "sub as (select r, s, e, substr(q, s + 1, e - s + 1) f from reads, unnest(range(0, length(q))) as a(s), unnest(range(0, length(q))) as b(e) where s <= e)",
+    "dc as (select d, substr(t, o + 1, 211) t from docs, unnest(range(0, length(t), 200)) as c(o))",
+    "own as (select distinct f from sub where length(f) <= 12)",
+    "brief as (select distinct d, x.f from (select d, substr(t, p + 1, n) f from dc, unnest(range(0, length(t))) as a(p), unnest(range(1, 13)) as b(n) where p + n <= length(t) and p < 200) x join own using (f))",
+    "long as (select distinct x.d, sub.f from sub join brief x on x.f = substr(sub.f, 1, 12) join docs on docs.d = x.d where length(sub.f) > 12 and contains(docs.t, sub.f))",
+    "held as (select d, f from brief union all select d, f from long)",
+    "ms as (select r, e, min(s) s from sub where f in (select f from held) group by r, e)",
+    "pos as (select p.r, p.e, coalesce(m.s, p.e) s, p.q from (select r, q, unnest(range(0, length(q))) e from reads) p left join ms m on m.r = p.r and m.e = p.e)",
+    "fac as (select r, e, s, 0 ord, substr(q, s + 1, e - s + 1) f from pos where e = length(q) - 1 union all select pos.r, pos.e, pos.s, fac.ord + 1, substr(pos.q, pos.s + 1, pos.e - pos.s + 1) from fac join pos on pos.r = fac.r and pos.e = fac.s - 1)",
+)
+PART_READS = "reads as (select row_number() over (order by q) r, q from (select distinct p_name q from part where p_name <> ''))"
+DOCS = "docs as (select doc_id d, text t from documents)"
 VOTES = "votes as (select id, d, cast(sum(e - s + 1) as bigint) w from (select id, s, e, unnest(ds) d from lst) group by id, d)"
 TOP = "best as (select id, d, w, row_number() over (partition by id order by w desc, d) rnk from votes)"
 TAXA = "taxa as (select item_id, r_name || ';' || n_name || ';' path from benchmark join nation on n_nationkey = item_id % 25 join region on r_regionkey = n_regionkey)"
@@ -89,10 +103,10 @@ CODES = (
 )
 
 
-def _digest(order: str, unit: str, separator: str, short: str) -> str:
+def _digest(order: str, unit: str, separator: str, short: str, rows: str = "(select doc_id, text from documents)") -> str:
     return _with(
         *CODES,
-        f"s as (select doc_id, {DNA} q from documents)",
+        f"s as (select doc_id, {DNA} q from {rows})",
         f"km as (select doc_id, p, codes.v, codes.m, codes.{order} o from s, unnest(range(0, length(q) - 3)) as a(p) join codes on codes.m = substr(q, p + 1, 4) where length(q) >= 11)",
         "win as (select doc_id, p, min(o) over x o, count(*) over x n from km window x as (partition by doc_id order by p rows between 7 preceding and current row))",
         "kept as (select doc_id, p, o from (select *, lag(o) over (partition by doc_id order by p) was from win where n = 8) where was is null or was <> o)",
@@ -101,6 +115,11 @@ def _digest(order: str, unit: str, separator: str, short: str) -> str:
     )
 
 
+def _symbols(table: str, doc_id: str) -> str:
+    """A character for each symbol of the minimizer alphabet."""
+    return _digest("h", "chr(cast(19968 + case when codes.v <= 2 then codes.v + 3 else codes.v end as int))", "", "null", f"(select {doc_id} doc_id, text from {table})")
+
+
 # index of supplier names by nation
 SA = (
     "docs as (select s_nationkey, row_number() over (order by s_nationkey) - 1 d from (select distinct s_nationkey from supplier))",
@@ -155,6 +174,15 @@ ORACLE: dict[str, str] = {
     "matching_statistics": _with(*SEEDS, SEED_MS, then="select r item_id, e, e - s + 1 as len from ms"),
     "maximal_match_listing": _with(*PARTS, then="select id p_partkey, cast(ord as bigint) ord, s, e, array_to_string(ds, ',') docs from lst", recursive=True),
     "seeded_match_listing": _with(*SEEDED, then="select fac.r item_id, cast(fac.ord as bigint) ord, fac.s, fac.e, coalesce(string_agg(d, ',' order by d), '') docs from fac left join inside using (r, ord) group by all", recursive=True),
+    "indexed_match_listing": _with(*SEEDED, then="select fac.r item_id, cast(fac.ord as bigint) ord, fac.s, fac.e, coalesce(string_agg(d, ',' order by d), '') docs from fac left join inside using (r, ord) group by all", recursive=True),
+    "exact_match_listing": _with(PART_READS, DOCS, *ANY, then="select p_partkey, cast(ord as bigint) ord, s, e, count(d) n_docs, min(d) first_doc, max(d) last_doc from part join reads on q = p_name join fac using (r) left join held using (f) group by all", recursive=True),
+    "symbol_match_listing": _with(
+        f"docs as (select doc_id d, coalesce(digest, '') t from ({_symbols('documents', 'doc_id')}))",
+        f"reads as (select doc_id r, coalesce(digest, '') q from ({_symbols('benchmark', 'item_id')}))",
+        *ANY,
+        then="select r item_id, cast(ord as bigint) ord, s, e, count(d) n_docs, min(d) first_doc, max(d) last_doc from fac left join held using (f) group by all",
+        recursive=True,
+    ),
     "class_match_listing": _with(*SEEDED, "named as (select distinct r, ord, lang from inside join documents on doc_id = d)", then="select fac.r item_id, cast(fac.ord as bigint) ord, fac.s, fac.e, coalesce(string_agg(lang, ',' order by lang), '') classes from fac left join named using (r, ord) group by all", recursive=True),
     "run_tax_listing": _reads_listing("d", "len >= need and (len > lm or len > rm)"),
     "run_topk_listing": _reads_listing("k", "k <= 7 and len >= need"),

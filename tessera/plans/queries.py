@@ -13,9 +13,10 @@ from tessera.operators import ftab as T
 from tessera.operators import index as I
 from tessera.operators import matching as M
 from tessera.operators import profiles as P
+from tessera.operators import seeds
 from tessera.operators import taxonomy as X
 from tessera.operators import voting as V
-from tessera.plans.common import dna, listed, numbered, spread, stored, table
+from tessera.plans.common import dna, listed, new_path, numbered, spread, stored, table
 from tessera.sources.listings import parse_lines
 
 
@@ -81,7 +82,7 @@ def seed_islands(spark: SparkSession, sf: str) -> DataFrame:
 def matching_statistics(spark: SparkSession, sf: str) -> DataFrame:
     reads = passages(spark, sf)
     found = M.islands(documents(spark, sf), reads)
-    return plain(M.statistics(found, reads, M.SEED).select(F.col("read_id").alias("item_id"), "e", (F.col("e") - F.col("s") + 1).alias("len")))
+    return plain(M.statistics(found, M.SEED).select(F.col("read_id").alias("item_id"), "e", (F.col("e") - F.col("s") + 1).alias("len")))
 
 
 def maximal_match_listing(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,25 +92,46 @@ def maximal_match_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seeded_match_listing(spark: SparkSession, sf: str) -> DataFrame:
-    rows = M.listing(documents(spark, sf), passages(spark, sf))
+    rows = M.listing(documents(spark, sf), passages(spark, sf), exact=False)
     return plain(rows.select(F.col("read_id").alias("item_id"), "ord", "s", "e", listed(F.col("docs")).alias("docs")))
 
 
+def indexed_match_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stored seed index: the documents are read to build it, and not again."""
+    path = new_path(spark, "seed-index")
+    about = seeds.write(documents(spark, sf), path, M.SEED)
+    rows = M.listing(None, passages(spark, sf), exact=False, stored_seeds=seeds.read(spark, path, **about))
+    return plain(rows.select(F.col("read_id").alias("item_id"), "ord", "s", "e", listed(F.col("docs")).alias("docs")))
+
+
+def exact_match_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names against documents, every factor down to single characters."""
+    rows = M.listing(documents(spark, sf), parts(spark, sf))
+    return plain(rows.select(F.col("read_id").alias("p_partkey"), "ord", "s", "e", F.size("docs").alias("n_docs"), F.array_min("docs").alias("first_doc"), F.array_max("docs").alias("last_doc")))
+
+
+def symbol_match_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """DNA of benchmark passages against DNA of documents, both as symbols of the minimizer alphabet, every factor of them."""
+    spelled = F.coalesce(S.spelled_symbols(S.alphabet_digest(F.col("seq"))), F.lit(""))
+    rows = M.listing(_dna_documents(spark, sf).select("doc_id", spelled.alias("text")), _bench_dna(spark, sf, "read_id").select("read_id", spelled.alias("seq")), k=4)
+    return plain(rows.select(F.col("read_id").alias("item_id"), "ord", "s", "e", F.size("docs").alias("n_docs"), F.array_min("docs").alias("first_doc"), F.array_max("docs").alias("last_doc")))
+
+
 def class_match_listing(spark: SparkSession, sf: str) -> DataFrame:
     classes = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("class"))
-    rows = M.listing(documents(spark, sf), passages(spark, sf), classes=classes)
+    rows = M.listing(documents(spark, sf), passages(spark, sf), exact=False, classes=classes)
     return plain(rows.select(F.col("read_id").alias("item_id"), "ord", "s", "e", F.array_join("docs", ",").alias("classes")))
 
 
-def _reads_listing(of: Callable[[Column, Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    """Part names against benchmark passages, factors of three characters at least."""
+def _reads_listing(kind: str, of: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    """Part names against benchmark passages, factors of three characters at least; of records, never of full profiles."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         own = benchmark(spark, sf).select(F.col("doc_id").alias("seq_id"), F.col("doc_id").cast("int").alias("doc_id"), F.col("text").alias("seq"))
         n = own.agg(F.max("doc_id")).first()[0] + 1
-        rows = M.profiled_listing(own, stored(I.suffixes(own), "suffixes"), n, parts(spark, sf), k=3)
-        found = of(F.col("lens"), F.col("e") - F.col("s") + 1)
-        return plain(rows.select(F.col("read_id").alias("p_partkey"), "ord", "s", "e", F.coalesce(_text(found), F.lit("")).alias("docs")))
+        sa = stored(I.with_lcp(stored(I.suffixes(own), "suffixes")), "with-lcp")
+        rows = M.profiled_listing(own, sa, n, parts(spark, sf), k=3, kind=kind)
+        return plain(rows.select(F.col("read_id").alias("p_partkey"), "ord", "s", "e", F.coalesce(_text(of(F.col("e") - F.col("s") + 1)), F.lit("")).alias("docs")))
 
     return query
 
@@ -207,10 +229,10 @@ def _profiles(spark: SparkSession, sf: str) -> DataFrame:
     return I.profiles(_flagged(spark, sf), n)
 
 
-def _of_profiles(**columns: Callable) -> Callable[[SparkSession, str], DataFrame]:
+def _of_profiles(kind: str = "lens", **columns: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        own = _profiles(spark, sf)
-        return plain(own.select("run_id", "ch", "side", *[f(F.col("lens")).alias(n) for n, f in columns.items()]))
+        own = _profiles(spark, sf) if kind == "lens" else I.kept(_flagged(spark, sf), kind)
+        return plain(own.select("run_id", "ch", "side", *[f().alias(n) for n, f in columns.items()]))
 
     return query
 
@@ -226,14 +248,14 @@ def _pairs(values: Column, a: str, b: str) -> Column:
 LENGTH = 4
 
 PROFILE_QUERIES = {
-    "doc_profile": _of_profiles(lens=_text),
-    "profile_tax_compress": _of_profiles(left=lambda x: _pairs(P.tax_left(x), "doc", "len"), right=lambda x: _pairs(P.tax_right(x), "doc", "len")),
-    "profile_topk": _of_profiles(top=lambda x: _pairs(P.top_k(x), "doc", "len")),
-    "profile_clip": _of_profiles(lens=lambda x: _text(P.clip(x, 8))),
-    "profile_filter": _of_profiles(docs=lambda x: _text(P.at_least(x, LENGTH))),
-    "tax_listing": _of_profiles(docs=lambda x: _text(P.tax_listing(P.tax_left(x), P.tax_right(x), LENGTH))),
-    "tax_endpoints": _of_profiles(docs=lambda x: _text(P.endpoints(P.tax_left(x), P.tax_right(x), LENGTH))),
-    "topk_listing": _of_profiles(docs=lambda x: _text(P.topk_listing(P.top_k(x), LENGTH))),
+    "doc_profile": _of_profiles(lens=lambda: _text(F.col("lens"))),
+    "profile_tax_compress": _of_profiles("tax", left=lambda: _pairs(F.col("left"), "doc", "len"), right=lambda: _pairs(F.col("right"), "doc", "len")),
+    "profile_topk": _of_profiles("top", top=lambda: _pairs(F.col("top"), "doc", "len")),
+    "profile_clip": _of_profiles(lens=lambda: _text(P.clip(F.col("lens"), 8))),
+    "profile_filter": _of_profiles(docs=lambda: _text(P.at_least(F.col("lens"), LENGTH))),
+    "tax_listing": _of_profiles("tax", docs=lambda: _text(P.tax_listing(F.col("left"), F.col("right"), LENGTH))),
+    "tax_endpoints": _of_profiles("tax", docs=lambda: _text(P.endpoints(F.col("left"), F.col("right"), LENGTH))),
+    "topk_listing": _of_profiles("top", docs=lambda: _text(P.topk_listing(F.col("top"), LENGTH))),
 }
 
 # votes
@@ -329,9 +351,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "matching_statistics": matching_statistics,
     "maximal_match_listing": maximal_match_listing,
     "seeded_match_listing": seeded_match_listing,
+    "indexed_match_listing": indexed_match_listing,
+    "exact_match_listing": exact_match_listing,
+    "symbol_match_listing": symbol_match_listing,
     "class_match_listing": class_match_listing,
-    "run_tax_listing": _reads_listing(lambda lens, n: P.tax_listing(P.tax_left(lens), P.tax_right(lens), n)),
-    "run_topk_listing": _reads_listing(lambda lens, n: P.topk_listing(P.top_k(lens), n)),
+    "run_tax_listing": _reads_listing("tax", lambda n: P.tax_listing(F.col("left"), F.col("right"), n)),
+    "run_topk_listing": _reads_listing("top", lambda n: P.topk_listing(F.col("top"), n)),
     "minimizer_digest_lex": minimizer_digest_lex,
     "minimizer_digest_hash": minimizer_digest_hash,
     "minimizer_digest_alphabet": minimizer_digest_alphabet,

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.plans.common import small, stored
+from tessera.plans.common import numbered, small, stored
+from tessera.sources.records import in_records, numbered_rows, placed, split_rows
 
 SEQUENCE = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "comment", "seq", "qual")])
 EXTENSIONS = (".fa", ".fasta", ".fna")
@@ -19,15 +20,23 @@ EXTENSIONS = (".fa", ".fasta", ".fna")
 def read_fasta(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
     """name, comment, seq, qual (null) of each record, and its file if asked for. A record starts at a `>` that begins a line, so that large files are
     split; gzip files are read as they are. Blank lines and carriage returns go."""
-    rows = spark.read.option("lineSep", "\n>").text(path)
-    rows = rows.select("value", F.regexp_replace(F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("file")).where("trim(value) <> ''")
-    record = F.regexp_replace(F.regexp_replace("value", "^[\\s]*>?", ""), "\r", "")
-    two = F.split(record, "\n", 2)
-    head = F.trim(F.get(two, F.lit(0)))
-    parts = F.split(head, r"[\s]+", 2)
+    rows = fasta_rows(spark, path)
+    name, comment, seq = fasta_record(F.col("value"))
+    file = F.regexp_replace(F.try_url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("file")
+    return rows.select(name.alias("name"), comment.alias("comment"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"), *([file] if with_file else []))
+
+
+def fasta_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A row for each record of FASTA files, as split_rows gives them."""
+    return split_rows(spark, path, "\n>").where("trim(value) <> ''")
+
+
+def fasta_record(value: Column) -> tuple[Column, Column, Column]:
+    """name, comment and sequence of a record's text."""
+    two = F.split(F.regexp_replace(F.regexp_replace(value, "^[\\s]*>?", ""), "\r", ""), "\n", 2)
+    parts = F.split(F.trim(F.get(two, F.lit(0))), r"[\s]+", 2)
     comment = F.get(parts, F.lit(1))
-    seq = F.regexp_replace(F.coalesce(F.get(two, F.lit(1)), F.lit("")), r"\s", "")
-    return rows.select(F.get(parts, F.lit(0)).alias("name"), F.when(comment != "", comment).alias("comment"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"), *(["file"] if with_file else []))
+    return F.get(parts, F.lit(0)), F.when(comment != "", comment), F.regexp_replace(F.coalesce(F.get(two, F.lit(1)), F.lit("")), r"\s", "")
 
 
 def fastq_records(text: str) -> Iterator[tuple[str, str | None, str, str | None]]:
@@ -59,16 +68,69 @@ def fastq_records(text: str) -> Iterator[tuple[str, str | None, str, str | None]
         yield name, comment or None, own, qual
 
 
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """name, comment, seq, qual of each record of whole files (plain or gzip), a task for each file."""
+def read_fastq(spark: SparkSession, path: str | list[str], wrapped: bool | None = None, with_place: bool = False) -> DataFrame:
+    """name, comment, seq, qual of each record (plain or gzip), and its _file and _ordinal in it if asked for.
+
+    Records of four lines are read from split files, by as many tasks as a file has splits. wrapped: sequences or qualities may take
+    several lines, and no place in a file then tells where a record begins, so that each file is a task's. If it is not told, the lines
+    are looked through first: where each fourth line begins with `@` and each second after it with `+`, records have four.
+    A quality that has another length than its sequence is an error.
+    """
+    if wrapped is None:
+        looks = in_records(spark, path, 4, _looks_plain, T.StructType([T.StructField("plain", T.BooleanType())]))
+        wrapped = not looks.where("NOT plain").isEmpty()
+    if not wrapped:
+        rows = in_records(spark, path, 4, _four_lines, SEQUENCE).where("name IS NOT NULL")
+        return rows if with_place else rows.select(*SEQUENCE.names)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = list(zip(*fastq_records(text or ""), strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in found], ["name", "comment", "seq", "qual"])
+                n = len(found[0])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(range(n), pa.int64()), *[pa.array(c, pa.string()) for c in found]], ["_file", "_ordinal", *SEQUENCE.names])
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
+    rows = whole.mapInArrow(parse, T.StructType([T.StructField("_file", T.StringType()), T.StructField("_ordinal", T.LongType()), *SEQUENCE.fields]))
+    return rows if with_place else rows.select(*SEQUENCE.names)
+
+
+def _plain_record(lines: list[str]) -> bool:
+    """Four lines of a record, or blank ones at the end of a file."""
+    return not "".join(lines).strip() or (len(lines) == 4 and lines[0][:1] == "@" and lines[2][:1] == "+" and len(lines[1].rstrip("\r")) == len(lines[3].rstrip("\r")))
+
+
+def _looks_plain(records: list[list[str]]) -> list[pa.Array]:
+    return [pa.array([_plain_record(r) for r in records], pa.bool_())]
+
+
+def _four_lines(records: list[list[str]]) -> list[pa.Array]:
+    """name, comment, seq, qual of each; no name for blank lines."""
+    rows: list[tuple] = []
+    for record in records:
+        if not _plain_record(record):
+            raise ValueError(f"not a record of four lines, or a quality of another length than its sequence: {record[:1]}")
+        if "".join(record).strip():
+            name, _, comment = record[0].rstrip("\r")[1:].partition(" ")
+            rows.append((name, comment or None, record[1].strip(), record[3].rstrip("\r")))
+        else:
+            rows.append((None,) * 4)
+    return [pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [()] * 4)]
+
+
+def read_reads(spark: SparkSession, path: str) -> DataFrame:
+    """read_id, name, seq of the reads of a FASTA or FASTQ file or folder (plain or gzip): read_id is a read's place in the input, from 0,
+    whatever its name."""
+    if _is_fastq(path):
+        rows = read_fastq(spark, path, with_place=True).select("name", "seq", "_file", F.lit(0).cast("long").alias("_block"), F.col("_ordinal").alias("_at"))
+        rows = stored(rows, "reads")
+        return numbered(rows, "read_id", "_file", "_at").select("read_id", "name", "seq")
+    rows = placed(fasta_rows(spark, path))
+    return numbered_rows(rows, "read_id").select("read_id", *[c.alias(n) for c, n in zip(fasta_record(F.col("value")), ("name", "comment", "seq"), strict=True) if n != "comment"])
+
 
-    return spark.read.text(path, wholetext=True).mapInArrow(parse, SEQUENCE)
+def _is_fastq(path: str) -> bool:
+    return path.rstrip("/").removesuffix(".gz").endswith((".fq", ".fastq"))
 
 
 def read_file_list(spark: SparkSession, path: str) -> list[tuple[str, int]]:
@@ -101,7 +163,7 @@ def check_ids(ids: list[int]) -> None:
 def read_collection(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
     """seq_id, doc_id, name, seq of all sequences of a file list, by one plan for all files. The rows are stored, so that their
     seq_ids stay the same; ValueError if a file is missing."""
-    paths = [p for p, _ in files]
+    paths = sorted({_plain(p): p for p, _ in files}.values())  # a path may stand for several documents and is read once
     try:
         rows = read_fasta(spark, paths, with_file=True)
     except AnalysisException as e:

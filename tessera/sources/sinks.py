@@ -9,16 +9,16 @@ from tessera.operators.matching import as_text
 
 
 def write_listings(rows: DataFrame, reads: DataFrame, path: str) -> None:
-    """Two lines for each read: its name, and its items from the right end. reads: read_id, name."""
+    """Two lines for each read, in order of read_id: its name, and its items from the right end. reads: read_id, name."""
     lines = reads.select("read_id", "name").join(as_text(rows), "read_id", "left")
-    lines.select(F.concat(F.lit(">"), "name", F.lit("\n"), F.coalesce("line", F.lit(""))).alias("value")).write.text(path)
+    lines.repartitionByRange("read_id").sortWithinPartitions("read_id").select(F.concat(F.lit(">"), "name", F.lit("\n"), F.coalesce("line", F.lit(""))).alias("value")).write.text(path)
 
 
 def write_classification(ranked: DataFrame, reads: DataFrame, path: str, taxon: str = "label") -> None:
-    """A line for each read: its name, then up to three taxa and weights, separated by tabs."""
+    """A line for each read, in order of read_id: its name, then up to three taxa and weights, separated by tabs."""
     each = F.concat_ws("\t", F.col(taxon), F.col("weight").cast("string"))
     tops = ranked.groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rnk", each.alias("t")))), lambda x: x["t"]), "\t").alias("tops"))
-    reads.select("read_id", "name").join(tops, "read_id", "left").select(F.concat_ws("\t", "name", "tops").alias("value")).write.text(path)
+    reads.select("read_id", "name").join(tops, "read_id", "left").repartitionByRange("read_id").sortWithinPartitions("read_id").select(F.concat_ws("\t", "name", "tops").alias("value")).write.text(path)
 
 
 def write_abundance(counts: DataFrame, path: str) -> None:

@@ -286,7 +286,7 @@ def test_compressed_indexes_and_files(spark, tmp_path):
     digests = str(tmp_path / "digests")
     api.build(spark, str(tmp_path / "list.txt"), digests, api.BuildOptions(minimizers=True, k=2, w=4, ftab=False))
     assert api.info(spark, digests, str(tmp_path / "full-lines"))["n_docs"] == 3
-    spark.read.parquet(f"{digests}/runs").limit(1).write.mode("overwrite").parquet(f"{digests}/profiles")
+    spark.read.parquet(f"{digests}/members").limit(1).write.mode("overwrite").parquet(f"{digests}/profiles")
     with pytest.raises(ValueError, match="profiles"):
         api.about(spark, digests)
 
@@ -302,6 +302,6 @@ def test_compressed_indexes_and_files(spark, tmp_path):
     (tmp_path / "short.txt").write_text("Bacteria; 2 domain\n")
     with pytest.raises(ValueError, match="taxonomy"):
         api.analyze_taxa(spark, str(tmp_path / "m1"), None, str(tmp_path / "taxa.txt"), str(tmp_path / "short.txt"), str(tmp_path / "no"))
-    one, two = spark.createDataFrame([("a1", "x"), ("b1", "y")], "name string, line string"), spark.createDataFrame([("a2", "z")], "name string, line string")
+    one, two = spark.createDataFrame([(0, "a1", "x"), (1, "b1", "y")], "ordinal long, name string, line string"), spark.createDataFrame([(0, "a2", "z")], "ordinal long, name string, line string")
     with pytest.raises(Exception, match="no mate"):
         mates(one, two).collect()
