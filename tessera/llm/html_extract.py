@@ -30,8 +30,11 @@ from tessera.llm._common import BROADCAST_ROWS, stored, table
 #: A class is valid if at least so many different pages of a host have its tokens, and it has so many tokens.
 MIN_PAGES, MIN_TOKENS = 4, 4
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: A quote opens a string only where a value begins; elsewhere it is a character like others.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
+#: Elements of other languages; they alone may end in their own tag.
+FOREIGN = {"svg", "math"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext", "template", "svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -46,11 +49,22 @@ NOT_ARTICLE = re.compile(
     r"(?:^|(?<=[\s_-]))(ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|aside|footer\w*|header|masthead|topbar|toolbar|comment\w*|disqus\w*|reply|replies|respond|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|search\w*|form|complementary|contentinfo|navigation|dialog)(?=$|[\s_-])",
     re.I,
 )
+#: Of these, ordinary words: among several names of an element they may be part of a phrase and tell nothing.
+ORDINARY = {"side", "aside", "form", "notice", "notices", "alert", "alerts", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended", "search", "login", "menu", "comment", "comments", "header"}
+#: Elements that hold the text itself: no name takes them out.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "dt", "figcaption"}
 #: Names that say what a wrapper has or lacks, not what it is.
 WITHOUT = re.compile(r"\b(?:no|has|with|without|hide)-[\w-]+", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|content|main|maincontent|body-?text)(?:$|[\s_-])", re.I)
 
 
+def _tells(marks: str, article: bool) -> bool:
+    """Whether names say that an element is not part of the article. A header within an article is its own."""
+    names = WITHOUT.sub("", marks).lower()
+    several = set(names.split()) if len(names.split()) > 1 else set()
+    return any(not (article and m[1] == "header") and m[1] not in ORDINARY & several for m in NOT_ARTICLE.finditer(names))
+
+
 class Block:
     __slots__ = ("path", "text", "out", "article", "element")
 
@@ -109,6 +123,8 @@ def blocks(html: str) -> list[Block | str]:
         if name in INLINE:
             continue
         flush()
+        if name in FOREIGN and m[0].endswith("/>"):
+            continue
         if name in RAW:
             found.append(f"{stack[-1][-1]}>{name}")
             done = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -138,14 +154,15 @@ def blocks(html: str) -> list[Block | str]:
         own = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
         marks = " ".join(own[k] for k in ("class", "id", "role") if k in own)
         _, out, article, element, path = stack[-1]
-        path = f"{path}>{name}{'.' + own['class'] if own.get('class') else ''}" if len(path) < 400 else path
+        if len(path) > 400:  # a long path gives way to its hash
+            path = f"{_hash('p', path):x}"
+        path = f"{path}>{name}{'.' + own['class'] if own.get('class') else ''}"
         page_header = name == "header" and not article
         hidden = "hidden" in own or "display:none" in own.get("style", "").replace(" ", "") or own.get("aria-hidden") == "true"
         if not out and (name in NEVER or page_header or hidden):
             out = True
-        if not out and marks and name not in ("body", "html", "main") and (name != "article" or article):
-            if any(not (article and m[1].lower() == "header") for m in NOT_ARTICLE.finditer(WITHOUT.sub("", marks))):
-                out = True
+        if not out and marks and name not in ("body", "html", "main") and name not in PROSE and (name != "article" or article):
+            out = any(_tells(own[k], article) for k in ("class", "id", "role") if own.get(k))
         article = article or (not out and (name in ("article", "main") or own.get("role") == "main" or own.get("itemprop") == "articleBody" or bool(marks) and name in ("div", "section") and bool(ARTICLE.search(marks))))
         element = element or (not out and (name == "article" or own.get("itemprop") == "articleBody"))
         found.append(path)
