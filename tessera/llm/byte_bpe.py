@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm._common import appended, table, whole
 
 #: Pre-tokens whose ids a worker keeps, from task to task; the frequent ones come first, and later ones are encoded each time.
-CACHE = 500_000
+CACHE = 250_000
 #: Field numbers and enumerations of sentencepiece's public model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 PIECE_TEXT, PIECE_SCORE, PIECE_TYPE = 1, 2, 3
@@ -78,7 +78,7 @@ def model(ranks: dict[bytes, int]) -> bytes:
 
 
 class Coder:
-    """Encodes and decodes with one file of ranks and one pattern. Pre-tokens repeat, so their ids are kept."""
+    """Encodes with one file of ranks and one pattern. Pre-tokens repeat, so their ids are kept."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -86,9 +86,8 @@ class Coder:
 
         self.ranks = read_ranks(path)
         self.own = sentencepiece.SentencePieceProcessor(model_proto=model(self.ranks))
-        self.letters = {b: x for b, x in byte_letters().items()}
+        self.letters = byte_letters()
         self.cut = regex.compile(pattern).findall
-        self.tokens = [t for t, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
         self.cache: dict[str, bytes] = {}
 
     def _new(self, pieces: list[str]) -> dict[str, bytes]:
@@ -113,20 +112,31 @@ class Coder:
         ends = np.cumsum([0, *[len(x) // 4 for x in ids]], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
-    def decode(self, ids: pa.Array) -> pa.Array:
-        out = []
-        for own in ids:
-            if own.is_valid:
-                found = own.values.to_numpy(zero_copy_only=False)
-                if len(found) and not 0 <= found.min() <= found.max() < len(self.tokens):
-                    raise ValueError(f"ids must lie in 0..{len(self.tokens) - 1}")
-                out.append(b"".join(map(self.tokens.__getitem__, found.tolist())))
-            else:
-                out.append(None)
-        return pa.array(out, pa.binary())
+
+def decoded(ids: pa.Array, tokens: list[bytes]) -> pa.Array:
+    """The bytes of each array of ids."""
+    out = []
+    for own in ids:
+        if own.is_valid:
+            found = own.values.to_numpy(zero_copy_only=False)
+            if len(found) and not 0 <= found.min() <= found.max() < len(tokens):
+                raise ValueError(f"ids must lie in 0..{len(tokens) - 1}")
+            out.append(b"".join(map(tokens.__getitem__, found.tolist())))
+        else:
+            out.append(None)
+    return pa.array(out, pa.binary())
 
 
 _KEPT: dict[tuple[str, str], Coder] = {}
+_TOKENS: dict[str, list[bytes]] = {}
+
+
+def tokens_of(path: str) -> list[bytes]:
+    """Tokens by id; the worker's own, kept between tasks."""
+    if path not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[path] = [t for t, _ in sorted(read_ranks(path).items(), key=lambda x: x[1])]
+    return _TOKENS[path]
 
 
 def coder(path: str, pattern: str) -> Coder:
@@ -143,9 +153,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
     return appended(docs, whole(F.col(f"`{text}`")), f"`{into}` array<int>", lambda texts: [coder(path, pattern).encode(texts)])
 
 
-def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """rows with binary `into`, the bytes of each array of ids. A column of that name goes."""
-    return appended(rows, F.col(f"`{ids}`"), f"`{into}` binary", lambda values: [coder(path, pattern).decode(values)])
+    return appended(rows, F.col(f"`{ids}`"), f"`{into}` binary", lambda values: [decoded(values, tokens_of(path))])
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -154,6 +164,6 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     import public_tokenizers
 
     own = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *own), *own)
+    rows = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *own), own[0])
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

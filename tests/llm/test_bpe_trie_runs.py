@@ -34,7 +34,7 @@ def test_bpe_each_token_and_code_point(library):
     texts = [f"a{chr(c)}b {chr(c)}{chr(c)}1 {chr(c)}" for c in [*range(0x3000), *range(0x3000, 0x110000, 97)] if not 0xD800 <= c < 0xE000]
     found = own.encode(pa.array(texts))
     assert found.to_pylist() == library.encode_ordinary_batch(texts, num_threads=2)
-    assert [x.decode() for x in own.decode(found).to_pylist()] == texts
+    assert [x.decode() for x in byte_bpe.decoded(found, byte_bpe.tokens_of(PATH)).to_pylist()] == texts
     # a token that its own merges do not give would need the ranks' table: there is none among these, and it is used nonetheless
     letters = byte_bpe.byte_letters()
     assert all([x - 1 for x in own.own.encode(t.decode("latin-1").translate(letters))] == [r] for t, r in list(own.ranks.items())[::7])
@@ -42,12 +42,12 @@ def test_bpe_each_token_and_code_point(library):
 
 def test_bpe_table(spark, library, monkeypatch):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*ODD_TEXTS, *ODD_TEXTS])] + [(None, "no id", None)], "doc_id long, text string, IDS string").repartition(3)
-    rows = byte_bpe.decode(byte_bpe.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN).collect()
+    rows = byte_bpe.decode(byte_bpe.encode(docs, PATH, P.PATTERN), PATH).collect()
     assert len(rows) == 2 * len(ODD_TEXTS) + 1
     for r in rows:
         assert r["ids"] == library.encode_ordinary(r["text"] or "") and bytes(r["decoded"]).decode() == (r["text"] or "")
     assert byte_bpe.encode(docs.limit(0), PATH, P.PATTERN).count() == 0
-    assert byte_bpe.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>"), PATH, P.PATTERN).select("decoded").collect() == [(None,), (bytearray(),)]
+    assert byte_bpe.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>"), PATH).select("decoded").collect() == [(None,), (bytearray(),)]
     # a small cache gives the same ids
     own = byte_bpe.Coder(PATH, P.PATTERN)
     monkeypatch.setattr(byte_bpe, "CACHE", 3)
@@ -62,7 +62,7 @@ def test_bpe_refuses():
     with pytest.raises(ValueError, match="dense"):
         byte_bpe.model({b"a": 1})
     with pytest.raises(ValueError, match="ids must lie"):
-        byte_bpe.Coder(PATH, P.PATTERN).decode(pa.array([[50256]], pa.list_(pa.int32())))
+        byte_bpe.decoded(pa.array([[50256]], pa.list_(pa.int32())), byte_bpe.tokens_of(PATH))
 
 
 def test_op11(spark, sf, library):
