@@ -7,8 +7,12 @@ islands. Matches never cross a document's boundary.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tessera.operators.index import common_prefix, with_lcp
@@ -77,7 +81,7 @@ def holders_of(strings: DataFrame, heads: DataFrame) -> DataFrame:
     with a gram that begins with it."""
     lengths = sorted(r.n for r in strings.select(F.length("lmer").alias("n")).distinct().collect())  # fewer than a seed's
     if not lengths:
-        return strings.join(heads.select("doc_id"), F.lit(False))
+        return heads.select(F.col("gram").alias("lmer"), "doc_id").where("false")
     begins = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("gram"))
     each = heads.select("doc_id", F.explode(F.transform(begins, lambda n: F.substring(F.col("gram"), F.lit(1), n))).alias("lmer"))
     return each.join(small(strings), "lmer").select("lmer", "doc_id").distinct()
@@ -97,15 +101,29 @@ def statistics(found: DataFrame, k: int) -> DataFrame:
 
 def factors(stats: DataFrame, reads: DataFrame) -> DataFrame:
     """read_id, ord, s, e, hit: the factors of each read from its right end. A character without a match is a factor of its
-    own with hit false."""
+    own with hit false. A step for each factor, whatever the read's length."""
     places = reads.where("seq <> ''").select("read_id", F.explode(F.expr("sequence(0, length(seq) - 1)")).alias("e"))
     dense = places.join(stats, ["read_id", "e"], "left").groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("e", "s"))).alias("ms"))
-    fold = """aggregate(sequence(size(ms) - 1, 0, -1),
-        named_struct('next', size(ms) - 1, 'out', cast(array() AS array<struct<s:int,e:int,hit:boolean>>)),
-        (a, i) -> CASE WHEN i <> a.next THEN a ELSE named_struct('next', coalesce(ms[i].s, i) - 1,
-            'out', concat(a.out, array(named_struct('s', coalesce(ms[i].s, i), 'e', i, 'hit', ms[i].s IS NOT NULL)))) END,
-        a -> a.out)"""
-    return dense.select("read_id", F.posexplode(F.expr(fold)).alias("ord", "f")).select("read_id", "ord", "f.s", "f.e", "f.hit")
+    rows = dense.select("read_id", F.transform("ms", lambda x: F.coalesce(x["s"], F.lit(-1))).alias("starts"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, ords, ss, es, hits = [], [], [], [], []
+            for i, own in enumerate(batch.column(1)):
+                starts = own.values.to_numpy(zero_copy_only=False)
+                e, k = len(starts) - 1, 0
+                while e >= 0:
+                    s = int(starts[e])
+                    row.append(i)
+                    ords.append(k)
+                    ss.append(s if s >= 0 else e)
+                    es.append(e)
+                    hits.append(s >= 0)
+                    e, k = ss[-1] - 1, k + 1
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, pa.int32()) for c in (ords, ss, es)], pa.array(hits, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["read_id", "ord", "s", "e", "hit"])
+
+    return rows.mapInArrow(cut, T.StructType([rows.schema["read_id"], *[T.StructField(c, T.IntegerType()) for c in ("ord", "s", "e")], T.StructField("hit", T.BooleanType())]))
 
 
 def matched(docs: DataFrame | None, reads: DataFrame, k: int, exact: bool, stored_seeds: Seeds | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:

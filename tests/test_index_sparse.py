@@ -54,7 +54,7 @@ def test_nearest_is_brute_force(spark, sequences, monkeypatch, rows):
 
 def test_statistics_have_a_row_for_each_end(spark):
     found = spark.createDataFrame([(1, d, s, e) for d in range(50) for s, e in ((0, 30), (0, 25), (2, 28), (3, 40), (60, 75))], "read_id long, doc_id long, s int, e int")
-    rows = M.statistics(found, None, 12)
+    rows = M.statistics(found, 12)
     assert {x.e: x.s for x in rows.collect()} == {e: 0 if e <= 30 else 3 if e <= 40 else 60 for e in [*range(11, 41), *range(71, 76)]}
     plan = found.groupBy("read_id", "s").agg(F.max("e").alias("e"))
     assert plan.count() == 4  # what is exploded, whatever the number of documents
@@ -72,3 +72,21 @@ def test_stored_seeds_match_like_the_collection(spark, tmp_path):
     assert key(M.listing(None, reads, 6, stored_seeds=seeds)) == key(M.listing(df, reads, 6))
     wide = M.listing(None, reads, 6, stored_seeds=seeds)
     assert wide.count() > 0
+
+
+def test_kmer_codes(spark):
+    from tessera.functions.sequences import kmer_code
+
+    rows = spark.createDataFrame([("ACGT",), ("TTTT",), ("AAAA",), ("ACGN",), ("ACG",), ("acgt",), (None,)], "x string")
+    assert [r[0] for r in rows.select(kmer_code(F.col("x"), 4)).collect()] == [27, 255, 0, None, None, None, None]
+    long = spark.createDataFrame([("T" * 31,), ("A" * 30 + "C",)], "x string")
+    assert [r[0] for r in long.select(kmer_code(F.col("x"), 31)).collect()] == [4**31 - 1, 1]
+
+
+def test_factors_of_long_reads(spark):
+    reads = spark.createDataFrame([("a", "x" * 30_000), ("b", "xy"), ("c", "")], "read_id string, seq string")
+    stats = spark.range(30_000).select(F.lit("a").alias("read_id"), F.col("id").cast("int").alias("e"), (F.col("id") - F.col("id") % 2).cast("int").alias("s")).where("e <> 7")
+    rows = M.factors(stats, reads)
+    assert rows.where("read_id = 'a'").count() == 15_001
+    assert [tuple(r)[2:] for r in rows.where("read_id = 'b'").orderBy("ord").collect()] == [(1, 1, False), (0, 0, False)]
+    assert [tuple(r)[2:] for r in rows.where("read_id = 'a' AND e BETWEEN 5 AND 9").orderBy("ord").collect()] == [(8, 9, True), (7, 7, False), (6, 6, True), (4, 5, True)]
