@@ -109,7 +109,7 @@ def build(spark: SparkSession, file_list: str, out: str, options: BuildOptions |
     if options.taxcomp:
         kept = I.kept(flagged, "tax")
     elif options.topk:
-        kept = I.kept(flagged, "top", options.columns)
+        kept = I.kept(flagged, "top", options.columns).withColumn("top", P.padded(F.col("top"), n_docs, options.columns))
     else:
         kept = I.profiles(flagged, n_docs)
     if options.max_length is not None:

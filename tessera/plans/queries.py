@@ -232,6 +232,9 @@ def _profiles(spark: SparkSession, sf: str) -> DataFrame:
 def _of_profiles(kind: str = "lens", **columns: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         own = _profiles(spark, sf) if kind == "lens" else I.kept(_flagged(spark, sf), kind)
+        if kind == "top":
+            n = collection(spark, sf).agg(F.max("doc_id")).first()[0] + 1
+            own = own.withColumn("top", P.padded(F.col("top"), n))
         return plain(own.select("run_id", "ch", "side", *[f().alias(n) for n, f in columns.items()]))
 
     return query

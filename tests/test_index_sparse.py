@@ -90,3 +90,11 @@ def test_factors_of_long_reads(spark):
     assert rows.where("read_id = 'a'").count() == 15_001
     assert [tuple(r)[2:] for r in rows.where("read_id = 'b'").orderBy("ord").collect()] == [(1, 1, False), (0, 0, False)]
     assert [tuple(r)[2:] for r in rows.where("read_id = 'a' AND e BETWEEN 5 AND 9").orderBy("ord").collect()] == [(8, 9, True), (7, 7, False), (6, 6, True), (4, 5, True)]
+
+
+def test_top_is_padded_with_documents_of_length_0(spark):
+    from tessera.operators import profiles as P
+
+    df = spark.createDataFrame([([(5, 9), (2, 0)],), ([],), ([(4, 1), (4, 2), (3, 7), (1, 0)],)], "top array<struct<len:int,doc:int>>")
+    got = [[tuple(p) for p in r[0]] for r in df.select(P.padded(F.col("top"), 10, 3)).collect()]
+    assert got == [[(5, 9), (2, 0), (0, 1)], [(0, 0), (0, 1), (0, 2)], [(4, 1), (4, 2), (3, 7)]]
