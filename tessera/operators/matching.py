@@ -72,7 +72,7 @@ def starts(reads: DataFrame, heads: DataFrame, k: int) -> DataFrame:
     on either side."""
     at = stored(grams(reads.select("read_id", "seq"), "seq", k, "s", "gram"), "read-grams")
     near = neighbours(at.select("gram").distinct(), heads.select("gram").distinct(), "gram")
-    n = F.greatest(*[F.coalesce(common_prefix(F.col("gram"), F.col(c)), F.lit(0)) for c in ("before", "after")])
+    n = F.greatest(*[F.when(F.col(c).isNotNull(), common_prefix(F.col("gram"), F.col(c))).otherwise(0) for c in ("before", "after")])
     return at.join(near.select("gram", n.alias("n")).where("n > 0"), "gram").select("read_id", "s", (F.col("s") + F.col("n") - 1).alias("e"))
 
 
