@@ -1,11 +1,15 @@
 """Main text of web pages by template deduction.
 
 A page is a series of tokens: tags with their path and the text of its blocks. Tokens that occur equally often in the same
-pages of a host form an equivalence class. A class is valid if enough pages share it, it has tags and texts, its tokens come
-in one order, its spans nest with those of other classes, and content that differs by page lies between its tokens. Valid
-classes are the template of the pages that share them: their text is boilerplate, and what lies between is in slots. The
-main text is what the slots hold inside the article's container, without what is never part of an article: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, comments. Text in an article element is kept also where pages share it.
+pages of a host form an equivalence class. A class is valid if enough pages share it, it has tags, its tokens come in one
+order, its spans nest with those of other classes, and content that differs by page lies between its tokens. Valid classes
+are the template of the pages that share them: their text is boilerplate, and what follows each of their tokens is a slot.
+A layout of some of a host's pages has a class of its own, since its tags have a vector of their own.
+
+Slots are judged over all the host's pages: one that holds few different texts, or little but links, or little but what is
+never part of an article (menus, headers, footers, sidebars, notices, adverts, forms, comments, by tags and names), is not
+the article's. The main text is what the other slots hold. Where a page marks the article's container itself, that chooses
+among its slots; an article element's text is kept also where pages share it.
 
 A class is found by its occurrence vector's fingerprint: for each token the exclusive or of a hash of (page, count). It is
 the same for tokens with the same vector, and pre-aggregates in each task, so that a host with a third of all pages costs
@@ -29,6 +33,9 @@ from tessera.llm._common import BROADCAST_ROWS, stored, table
 
 #: A class is valid if at least so many different pages of a host have its tokens, and it has so many tokens.
 MIN_PAGES, MIN_TOKENS = 4, 4
+#: A slot is not the article's if of its characters at least so many are in links, or in what rules take out, or if its
+#: different texts are at most such a share of its pages.
+LINKED, OUT, FRESH = 0.8, 0.9, 0.5
 
 #: A quote opens a string only where a value begins; elsewhere it is a character like others.
 TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*+)(?:>|\Z)", re.S)
@@ -66,10 +73,10 @@ def _tells(marks: str, article: bool) -> bool:
 
 
 class Block:
-    __slots__ = ("path", "text", "out", "article", "element")
+    __slots__ = ("path", "text", "out", "article", "element", "linked")
 
-    def __init__(self, path: str, text: str, out: bool, article: bool, element: bool):
-        self.path, self.text, self.out, self.article, self.element = path, text, out, article, element
+    def __init__(self, path: str, text: str, out: bool, article: bool, element: bool, linked: bool):
+        self.path, self.text, self.out, self.article, self.element, self.linked = path, text, out, article, element, linked
 
 
 def blocks(html: str) -> list[Block | str]:
@@ -78,14 +85,17 @@ def blocks(html: str) -> list[Block | str]:
     found: list[Block | str] = []
     stack: list[tuple[str, bool, bool, bool, str]] = [("", False, False, False, "")]  # name, out, in an article, in an article element, path
     held: list[str] = []
+    links: list[str] = []  # of these, those in links
+    link = False
 
     def flush() -> None:
-        nonlocal held
+        nonlocal held, links, link
         text = " ".join(unescape("".join(held)).split())
         if text:
             _, out, article, element, path = stack[-1]
-            found.append(Block(path, text, out, article, element))
-        held = []
+            linked = bool(links) and 2 * sum(map(len, "".join(links).split())) > sum(map(len, "".join(held).split()))
+            found.append(Block(path, text, out, article, element, linked))
+        held, links, link = [], [], False
 
     def close(upto: int) -> None:
         del stack[upto:]
@@ -97,6 +107,8 @@ def blocks(html: str) -> list[Block | str]:
             start = end
         if start > at:
             held.append(html[at:start])
+            if link:
+                links.append(held[-1])
         if start == end:
             break
         m = TOKEN.match(html, start)
@@ -113,6 +125,7 @@ def blocks(html: str) -> list[Block | str]:
         name = m[2].lower()
         if m[1]:
             if name in INLINE:
+                link = link and name != "a"
                 continue
             flush()
             for k in range(len(stack) - 1, 0, -1):
@@ -121,6 +134,7 @@ def blocks(html: str) -> list[Block | str]:
                     break
             continue
         if name in INLINE:
+            link = link or name == "a"
             continue
         flush()
         if name in FOREIGN and m[0].endswith("/>"):
@@ -188,19 +202,21 @@ def token(x: Block | str) -> int:
     return _hash("t", x) & ~1 if isinstance(x, str) else _hash("x", x.path, x.text) | 1
 
 
-def page_tokens(html: str) -> list[int]:
-    """The tokens of a page in order."""
+def page_tokens(html: str) -> tuple[list[int], list[int]]:
+    """The tokens of a page in order, and of each text four times its characters, with 2 if links are most of it and 1 if
+    rules take it out; 0 for tags."""
     found = blocks(html)
     tags = {x: token(x) for x in {x for x in found if isinstance(x, str)}}
-    return [tags[x] if isinstance(x, str) else token(x) for x in found]
+    return [tags[x] if isinstance(x, str) else token(x) for x in found], [0 if isinstance(x, str) else 4 * len(x.text) + 2 * x.linked + x.out for x in found]
 
 
 def series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, digest and tokens of each page (url, html)."""
+    """host, digest, tokens and marks of each page (url, html)."""
     for batch in batches:
         urls, htmls = (c.to_pylist() for c in batch.columns)
-        cols = [pa.array([host(u) for u in urls], pa.string()), pa.array([_hash(h) for h in htmls], pa.int64()), pa.array([page_tokens(h) for h in htmls], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, ["host", "digest", "tokens"])
+        found = [page_tokens(h) for h in htmls]
+        cols = [pa.array([host(u) for u in urls], pa.string()), pa.array([_hash(h) for h in htmls], pa.int64()), pa.array([t for t, _ in found], pa.list_(pa.int64())), pa.array([m for _, m in found], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(cols, ["host", "digest", "tokens", "marks"])
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -289,6 +305,26 @@ def spans(pages: list[tuple[str, list[int], dict[int, Member]]]) -> list[tuple]:
     return [(*k, *x) for k, x in found.items()]
 
 
+def slots(pages: list[tuple[str, list[int], list[int], dict[int, tuple]]]) -> list[tuple]:
+    """host, slot (the token of the template before it), hash of its texts, its characters, those in links and those that rules
+    take out: of each slot with text of each page (host, tokens, marks, template)."""
+    found = []
+    for name, tokens, marks, template in pages:
+        slot = 0
+        own: dict[int, list[int]] = {}
+        for t, m in zip(tokens, marks, strict=True):
+            if t in template:
+                slot = t
+            elif m:
+                x = own.setdefault(slot, [0, 0, 0, 0])
+                x[0] = (x[0] * 31 + t) & (1 << 62) - 1
+                x[1] += m >> 2
+                x[2] += (m >> 2) * (m >> 1 & 1)
+                x[3] += (m >> 2) * (m & 1)
+        found += [(name, slot, *x) for slot, x in own.items()]
+    return found
+
+
 def beside(pages: DataFrame, members: DataFrame, limit: int, work: Callable[[list[tuple]], pa.RecordBatch], schema: str) -> DataFrame:
     """work over the rows of pages (host first), each with its host's members (host, token, others) as a dictionary. Up to
     `limit` members go to every task; beyond that they are joined by the same host."""
@@ -314,18 +350,19 @@ def beside(pages: DataFrame, members: DataFrame, limit: int, work: Callable[[lis
 
 
 def templates(pages: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """host, token: texts of each host's template, for hosts and tokens whose class is valid. pages: url, html."""
-    found = pages.select("url", "html").mapInArrow(series, "host string, digest long, tokens array<long>")
-    once = stored(found.groupBy("host", "digest").agg(F.first("tokens").alias("tokens")), "series")
-    token = once.mapInArrow(occurrences, "host string, token long, pages long, vector long")
+    """host, token, out: each host's template, the tokens of valid classes, and 1 if the slot behind a token is not the
+    article's. pages: url, html."""
+    found = pages.select("url", "html").mapInArrow(series, "host string, digest long, tokens array<long>, marks array<int>")
+    once = stored(found.groupBy("host", "digest").agg(F.first(F.struct("tokens", "marks")).alias("x")).select("host", "digest", "x.*"), "series")
+    token = once.select("host", "digest", "tokens").mapInArrow(occurrences, "host string, token long, pages long, vector long")
     token = token.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector")).where(f"pages >= {MIN_PAGES}")
     token = stored(token.select("host", "token", "pages", F.xxhash64("vector", "pages").alias("class")), "occurrences")
     own = once.select("host", "tokens")
 
     def sized(rows: DataFrame) -> DataFrame:
-        """Tokens of classes with enough tokens, texts and tags among them: copies of a text share no tags of their own."""
-        size = rows.groupBy("host", "class").agg(F.count("*").alias("size"), F.max(F.expr("token & 1")).alias("texts"), F.min(F.expr("token & 1")).alias("no_tags"))
-        size = size.where(f"texts = 1 AND no_tags = 0 AND size >= {MIN_TOKENS}").select("host", "class", "size")
+        """Tokens of classes with enough tokens, tags among them: copies of a text share no tags of their own."""
+        size = rows.groupBy("host", "class").agg(F.count("*").alias("size"), F.min(F.expr("token & 1")).alias("no_tags"))
+        size = size.where(f"no_tags = 0 AND size >= {MIN_TOKENS}").select("host", "class", "size")
         return rows.join(size, ["host", "class"]).select("host", "token", "class", "size", "pages")
 
     members = stored(sized(token), "members")
@@ -334,13 +371,34 @@ def templates(pages: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     ordered = stored(sized(members.drop("size").join(fixed, ["host", "token"])), "ordered")
     judged = beside(own, ordered, limit, lambda rows: _batch(spans(rows), ["host", "class", "lo", "hi", "crossed"]), "host string, class long, lo long, hi long, crossed long")
     valid = judged.groupBy("host", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("crossed").alias("crossed")).where("lo <> hi AND crossed = 0")
-    return ordered.where("token & 1 = 1").join(valid, ["host", "class"]).select("host", "token")
-
-
-def main_text(html: str, template: dict | set | frozenset = frozenset()) -> str:
-    """Text of the slots: those inside the article's container, else all. An article element's text is whole."""
-    slots = [b for b in blocks(html) if not isinstance(b, str) and not b.out and (b.element or token(b) not in template)]
-    return " ".join(b.text for b in [b for b in slots if b.article] or slots)
+    template = stored(ordered.join(valid, ["host", "class"]).select("host", "token"), "tokens")
+    return template.join(outside(once, template, limit), ["host", "token"], "left").select("host", "token", F.coalesce("out", F.lit(0)).alias("out"))
+
+
+def outside(once: DataFrame, template: DataFrame, limit: int) -> DataFrame:
+    """host, token, out (1): the slots that are not the article's. That with the most different text is never one of them."""
+    names = ["host", "token", "content", "n", "linked", "ruled"]
+    held = beside(once.select("host", "tokens", "marks"), template, limit, lambda rows: _batch(slots(rows), names), "host string, token long, content long, n long, linked long, ruled long")
+    held = held.groupBy("host", "token", "content").agg(F.count("*").alias("pages"), F.max("n").alias("once"), *[F.sum(c).alias(c) for c in names[3:]])
+    held = held.groupBy("host", "token").agg(F.count("*").alias("texts"), *[F.sum(c).alias(c) for c in ("pages", "once", *names[3:])])
+    # a host's slots are no more than its template's tokens
+    most = held.where(f"ruled < {OUT} * n").groupBy("host").agg(F.max(F.struct("once", "token")).alias("most")).select("host", F.col("most.token").alias("most"))
+    out = f"ruled >= {OUT} * n OR pages >= {MIN_PAGES} AND token <> most AND (linked >= {LINKED} * n OR texts <= {FRESH} * pages)"
+    return held.join(most, "host", "left").where(out).select("host", "token", F.lit(1).alias("out"))
+
+
+def main_text(html: str, template: dict[int, tuple[int]] | None = None) -> str:
+    """Text of the slots of the article: those in its container if the page marks it, else those that the host's pages do not
+    tell from it. An article element's text is whole."""
+    template = template or {}
+    out, found = 0, []
+    for x in blocks(html):
+        own = template.get(token(x)) if template else None
+        if own:
+            out = own[0]
+        if not isinstance(x, str) and not x.out and (x.element or not own and (x.article or not out)):
+            found.append(x)
+    return " ".join(b.text for b in [b for b in found if b.article] or found)
 
 
 def with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
