@@ -3,11 +3,14 @@ the score of what no checksum settles. DataFrame and SQL functions only.
 
 Spark's functions return matches but not their places; the text between matches (split by the same pattern) gives those.
 Possessive quantifiers and look-behinds stand for the plain patterns of the contract: they match the same spans, but
-neither backtrack nor start again within a run, so that long texts take linear time.
+neither backtrack nor start again within a run, so that long texts take linear time. Places come from running sums by
+doubling, and what lies near a span from blocks of the text, so that a text of many spans takes no quadratic time either.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,22 +37,43 @@ CONTEXT = {
     "ssn": (0.4, "ssn|social security|tax id|taxpayer", "order|part|version"),
 }
 RAISE, LEAST, NEAR = 0.3, 0.5, 40
+#: Code points of a block of a text.
+BLOCK = 256
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def running(a: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, or maxima, of an array, by an associative function of two of its values: n log n steps."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda p: p < F.size(a))
+    return F.aggregate(steps, a, lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, of(F.get(acc, i - p), x)).otherwise(x)))
+
+
+def blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, n: Column) -> Column:
+    """n code points of a text from start (0 first) on, given its blocks; takes time in proportion to n."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice(parts, first + 1, F.floor((start % BLOCK + n) / BLOCK).cast("int") + 1)
+    return F.when(n > 0, F.substring(F.array_join(some, ""), start % BLOCK + 1, n)).otherwise("")
 
 
 def matches(text: Column, kind: str) -> Column:
     """array<struct<s, e, m>> of all leftmost non-overlapping matches: code points, end exclusive."""
     guard, pattern = PATTERNS[kind]
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    none = F.expr("array()").cast("array<struct<s:int,e:int,m:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["pieces"])
-        e = s + F.length(x["hits"])
-        found = F.array(F.struct(s.alias("s"), e.alias("e"), x["hits"].alias("m")))
-        return F.when(x["hits"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], found).alias("out")))
+    def placed(x: Column) -> Column:
+        lengths = F.transform(x["hits"], lambda m, i: F.length(m) + F.length(F.get(x["pieces"], i)))
+        return let(lengths, lambda n: let(running(n, lambda a, b: a + b), lambda e: F.transform(x["hits"], lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("s"), F.get(e, i).alias("e"), m.alias("m")))))
 
-    found = F.aggregate(F.arrays_zip(pieces.alias("pieces"), hits.alias("hits")), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(guard), found).otherwise(F.expr("array()").cast("array<struct<s:int,e:int,m:string>>"))
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return F.when(text.rlike(guard), let(both, placed)).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -92,10 +116,12 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def scored(text: Column, kind: str, x: Column) -> Column:
+def scored(parts: Column, kind: str, x: Column) -> Column:
+    """The score of a span of a text, given the text's blocks."""
     prior, more, less = CONTEXT[kind]
-    near = F.lower(F.concat(F.substring(text, F.greatest(x["s"] - NEAR, F.lit(0)) + 1, F.least(x["s"], F.lit(NEAR))), F.lit(" "), F.substring(text, x["e"] + 1, F.lit(NEAR))))
-    return F.lit(prior) + F.when(near.rlike(more), RAISE).otherwise(0.0) - F.when(near.rlike(less), RAISE).otherwise(0.0)
+    before = cut(parts, F.greatest(x["s"] - NEAR, F.lit(0)), F.least(x["s"], F.lit(NEAR)))
+    near = F.lower(F.concat(before, F.lit(" "), cut(parts, x["e"], F.lit(NEAR))))
+    return let(near, lambda near: F.lit(prior) + F.when(near.rlike(more), RAISE).otherwise(0.0) - F.when(near.rlike(less), RAISE).otherwise(0.0))
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -110,7 +136,11 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn(found, F.struct(*[matches(t, k).alias(k) for k in PATTERNS]))
 
     def kept(kind: str) -> Column:
-        return F.filter(F.col(f"{found}.{kind}"), lambda x: confirmed(kind, x["m"]) & (F.lit(True) if kind in BASE else scored(t, kind, x) >= LEAST))
+        sure = F.filter(F.col(f"{found}.{kind}"), lambda x: confirmed(kind, x["m"]))
+        if kind in BASE:
+            return sure
+        near = let(F.struct(sure.alias("xs"), blocks(t).alias("parts")), lambda y: F.filter(y["xs"], lambda x: scored(y["parts"], kind, x) >= LEAST))
+        return F.when(F.size(F.col(f"{found}.{kind}")) > 0, near).otherwise(F.col(f"{found}.{kind}"))
 
     return out.withColumn("pii", F.struct(*[kept(k).alias(k) for k in PATTERNS])).drop(own, found)
 
@@ -137,12 +167,15 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     found = found.withColumn("all", F.array_sort(F.concat(*map(of, PATTERNS))))
     t = F.col("text")
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), x["m"]).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
-        return F.when(x["s"] >= acc["at"], fresh).otherwise(longer)
+    def joined(x: Column) -> Column:
+        """The text with its spans replaced, from spans in order (all), the greatest end up to each (ends), and blocks (parts)."""
+        at = lambda i: F.when(i > 0, F.get(x["ends"], i - 1)).otherwise(0)
+        each = F.transform(x["all"], lambda y, i: F.when(y["s"] >= at(i), F.concat(cut(x["parts"], at(i), y["s"] - at(i)), y["m"])).otherwise(""))
+        last = F.element_at(x["ends"], -1)
+        return F.concat(F.array_join(each, ""), cut(x["parts"], last, F.length(t) - last))
 
-    new = F.aggregate("all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.lit(2**31 - 1))))
+    ends = running(F.transform("all", lambda y: y["e"]), lambda a, b: F.greatest(a, b))
+    new = let(F.struct(F.col("all"), ends.alias("ends"), blocks(t).alias("parts")), joined)
     found = found.withColumn("new", F.when(F.size("all") > 0, new).otherwise(t))
     return found.select(*[F.col("new").alias(c) if c == text else F.col(f"{held}.`{c}`").alias(c) for c in docs.columns])
 

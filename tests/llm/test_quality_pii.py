@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 import re
 from collections import Counter
 
@@ -131,3 +133,26 @@ def test_columns_of_any_name_stay(spark):
         assert all(r[n] == n for r in out.collect() for n in names)
         assert set(df.columns) <= set(out.columns)
     assert [r.text for r in pii.redacted(df).orderBy(F.desc("doc_id")).collect()] == ["mail [EMAIL]", None]
+
+
+def test_running_and_blocks(spark):
+    """Running values by doubling, and cuts over the borders of blocks, equal plain ones."""
+    r = random.Random(5)
+    rows = [(i, [r.randint(-9, 9) for _ in range(i)], "".join(r.choice("aé😀 \n") for _ in range(i * 37))) for i in range(0, 40)]
+    df = spark.createDataFrame(rows, "id long, a array<int>, t string")
+    out = df.select("id", "a", "t", pii.running(F.col("a"), lambda a, b: a + b).alias("sums"), pii.running(F.col("a"), lambda a, b: F.greatest(a, b)).alias("tops"))
+    at, n = F.col("id") * 17, F.col("id") * 13
+    out = out.withColumn("cut", pii.cut(pii.blocks(F.col("t")), at, n)).withColumn("end", pii.cut(pii.blocks(F.col("t")), at, F.lit(40)))
+    for x in out.collect():
+        assert x.sums == list(itertools.accumulate(x.a)) and x.tops == list(itertools.accumulate(x.a, max))
+        assert x.cut == x.t[x.id * 17 : x.id * 30] and x.end == x.t[x.id * 17 : x.id * 17 + 40]
+
+
+def test_many_spans_of_one_text(spark):
+    """A very long text with tens of thousands of spans is redacted whole."""
+    one = "Mail john.doe@example.org, ssn 123-45-6789 here, token=abcdefgh12345678@b.cc ü😀. "
+    df = spark.createDataFrame([(1, one)], "doc_id long, text string")
+    df = df.unionByName(df.select("doc_id", F.repeat("text", 12_000).alias("text")))
+    short, long = sorted((x.text for x in pii.redacted(df).collect()), key=len)
+    assert "[EMAIL]" in short and "[SSN]" in short and "@" not in short
+    assert long == short * 12_000
