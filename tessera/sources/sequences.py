@@ -19,7 +19,7 @@ EXTENSIONS = (".fa", ".fasta", ".fna")
 
 def read_fasta(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
     """name, comment, seq, qual (null) of each record, and its file if asked for. A record starts at a `>` that begins a line, so that large files are
-    split; gzip files are read as they are. Blank lines and carriage returns go."""
+    split; members of gzip files are read side by side. Blank lines and carriage returns go."""
     rows = fasta_rows(spark, path)
     name, comment, seq = fasta_record(F.col("value"))
     file = F.regexp_replace(F.try_url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("file")
@@ -76,11 +76,12 @@ def read_fastq(spark: SparkSession, path: str | list[str], wrapped: bool | None
     are looked through first: where each fourth line begins with `@` and each second after it with `+`, records have four.
     A quality that has another length than its sequence is an error.
     """
+    source = None if wrapped else split_rows(spark, path)
     if wrapped is None:
-        looks = in_records(spark, path, 4, _looks_plain, T.StructType([T.StructField("plain", T.BooleanType())]))
+        looks = in_records(source, 4, _looks_plain, T.StructType([T.StructField("plain", T.BooleanType())]))
         wrapped = not looks.where("NOT plain").isEmpty()
     if not wrapped:
-        rows = in_records(spark, path, 4, _four_lines, SEQUENCE).where("name IS NOT NULL")
+        rows = in_records(source, 4, _four_lines, SEQUENCE).where("name IS NOT NULL")
         return rows if with_place else rows.select(*SEQUENCE.names)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
