@@ -1,0 +1,57 @@
+"""Licence notices in phrasings that the library does not hold, and sentences that only sound like them."""
+
+from collections import defaultdict
+
+from tessera.llm import licenses
+
+ORDINARY = "The thand oner is andthe reer thaning of the ou and in the only this re."
+#: names of each family, put into phrasings that are none of the library's frames
+NAMES = {
+    "MIT": ["MIT"],
+    "Apache-2.0": ["Apache 2.0", "Apache-2.0"],
+    "GPL": ["GPL", "GPLv3", "GPL-2.0", "GNU GPL"],
+    "LGPL": ["LGPL", "LGPLv3", "LGPL-3.0", "GNU LGPL"],
+    "AGPL": ["AGPL", "AGPLv3", "AGPL-3.0", "GNU AGPL"],
+    "BSD": ["BSD", "BSD-3-Clause", "BSD 2-Clause"],
+    "ISC": ["ISC"],
+    "MPL-2.0": ["MPL 2.0", "MPL-2.0"],
+    "CC-BY": ["CC BY 4.0", "CC-BY-4.0"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "CC-BY-SA-4.0"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "CC-BY-NC-4.0"],
+    "CC-BY-ND": ["CC BY-ND 4.0"],
+    "CC-BY-NC-SA": ["CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"],
+    "CC-BY-NC-ND": ["CC BY-NC-ND 4.0"],
+    "CC0": ["CC0", "CC0-1.0"],
+}
+PHRASES = ["This package uses the {} license", "Files in this folder are under the {} License unless noted", "license = \"{}\"", "covered by the {} licence", "We chose the {} license for this project", "The authors put this out under {}", "Subject to {} license conditions"]
+OTHERS = {
+    "MIT": ["The MIT License (MIT)", "License :: OSI Approved :: MIT License", "License: MIT"],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004", "License :: OSI Approved :: Apache Software License"],
+    "GPL": ["GNU GPL v2 or later", "free software under the GPLv3 license", "License: GPLv2+", "Licensed under GPL-2.0"],
+    "LGPL": ["GNU Lesser General Public License v3", "Licensed under LGPL"],
+    "AGPL": ["GNU Affero General Public License version 3", "AGPLv3"],
+    "ISC": ["This software is available under the ISC license"],
+    "MPL-2.0": ["MPL 2.0", "Licensed under the Mozilla Public License version 2.0"],
+    "CC-BY-SA": ["Creative Commons Attribution-ShareAlike 3.0 Unported"],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0."],
+    "proprietary": ["Copyright 2020 Acme. All rights reserved.", "Confidential and proprietary"],
+}
+CLEAN = ["Apache 2.0 helicopters were seen.", "All rights reserved for members of the club.", "The license plate of a car.", "See the license for what it is worth.", "He studied at MIT in Boston.", "A general public meeting was held.", "The public library is free.", "The Apache tribe lived there.", "version 2.0 of the plan", "She has a driving license", "creative work in common spaces", "The Mozilla office moved.", "BSD was an operating system", "redistribution of wealth", "permission is needed to park", "the code of conduct", "Members are free to copy the notes", "a license to print money", "universal access to the domain", "the isc committee met", "the affero is a word of the isc group", "They were released under the new terms", "The seats are reserved under the name of Commons", "a lesser general would have retired", "The clause of the contract was modified and simplified"]
+
+
+def test_held_out_phrasings(spark):
+    held = [(k, p.format(n)) for k, names in NAMES.items() for n in names for p in PHRASES] + [(k, t) for k, ts in OTHERS.items() for t in ts]
+    known = {t.lower() for k in licenses.TEMPLATES for t in licenses.texts(k)}
+    held = [(k, t) for k, t in held if t.lower() not in known]
+    assert len(held) > 200
+    rows = [(i, f"{ORDINARY} {i}\n" * 3) for i in range(300)] + [(1000 + i, f"{ORDINARY}\n{t}\n{ORDINARY}") for i, (_, t) in enumerate(held)] + [(2000 + i, f"{ORDINARY}\n{t}\n{ORDINARY}") for i, t in enumerate(CLEAN)]
+    found = defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("family <> 'unknown'").collect():
+        found[r.doc_id].add(r.family)
+    right = [found.get(1000 + i) == {k} for i, (k, _) in enumerate(held)]
+    wrong = [(k, t, found.get(1000 + i)) for i, (k, t) in enumerate(held) if not right[i]]
+    loud = [(t, found[2000 + i]) for i, t in enumerate(CLEAN) if 2000 + i in found]
+    print(len(held), wrong, loud)
+    assert sum(right) >= 0.9 * len(held), wrong
+    assert sum(right) >= 0.9 * sum(map(bool, found.values())), loud
+    assert not [d for d in found if d < 1000] and len(loud) <= 1, loud
