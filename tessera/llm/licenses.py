@@ -3,13 +3,14 @@ with Spark's own logistic regression; no Python on the executors.
 
 Texts are looked at in windows of words: those of each line, and those that run over line ends. Their features are word
 n-grams, those of the templates and near misses below; a multinomial logistic regression over families and "unknown" is
-fitted on windows of these and on a bounded sample of windows of the corpus. Its weights are then literals of one projection
-over the documents, so that every window of every text is scored where it lies: nothing is shuffled, and rows need no id.
+fitted on windows of these and on the windows of all lines of the corpus, each once. Only their known n-grams are shuffled,
+and windows that have the same ones are a row with a count. The weights are then literals of one projection over the
+documents, so that every window of every text is scored where it lies: nothing more is shuffled, and rows need no id.
 Most windows are settled by a bound: each n-gram's greatest weight for a family above its weight for "unknown". Where these
 do not add up to what a family needs, no family can win.
 
-Probabilities are calibrated: the threshold for a family is the highest that a share of UNKNOWN_RATE of held-out windows of
-the corpus reaches, of those that no template confirms. A prediction holds if the window also shares enough n-grams with
+Probabilities are calibrated: the threshold for a family is the highest that a share of UNKNOWN_RATE of the held-out half of
+the corpus's windows reaches, of those that no template confirms. A prediction holds if the window also shares enough n-grams with
 a template of the family.
 """
 
@@ -72,8 +73,11 @@ UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
 #: Notices that are of no family: they must stay unknown. Every other one is held out for the threshold.
 NEAR_MISSES = ["This work is licensed under terms that are given elsewhere.", "See the license for details.", "The license plate was read by the camera.", "Permission is granted to enter the building.", "Released under pressure in version 2.0.", "The terms of the contract are under review by the public.", "All rights of way are reserved for cyclists."]
-#: Hash classes of n-grams; windows to fit and to calibrate on, at most; share of the latter that may pass; least probability.
-CLASSES, SAMPLE, UNKNOWN_RATE, LEAST = 1 << 15, 4_000, 0.0005, 0.5
+#: Hash classes of n-grams; share of the held-out windows that may pass; least probability.
+CLASSES, UNKNOWN_RATE, LEAST = 1 << 15, 0.0005, 0.5
+#: What a template's or near miss's window weighs in the fit; what all windows of the corpus weigh together, in either half, at
+#: most: more of them weigh less each, so that a large corpus does not drown the templates.
+OWN, CORPUS = 20.0, 2_000
 #: Least share of a window's n-grams, or of a template's, that the two must have in common to confirm.
 CONFIRM = 0.5
 #: Words of a window, and words from one to the next.
@@ -105,10 +109,9 @@ def let(value: str, name: str, then: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {then}), 1)"
 
 
-def windows(rows: DataFrame, text: str) -> DataFrame:
-    """w (words) of each window of a sixteenth of the lines of rows, by hash."""
-    lines = rows.select(F.explode(F.split(text, "\n", -1)).alias("line")).where("xxhash64(line) % 16 = 0").select(F.expr(words("line")).alias("all"))
-    return lines.select("all", F.explode(F.expr(starts("size(all)"))).alias("at")).select(F.expr(f"slice(all, at + 1, {WINDOW})").alias("w"))
+def by_line(rows: DataFrame, text: str) -> DataFrame:
+    """w (words) of each line of rows."""
+    return rows.select(F.explode(F.split(text, "\n", -1)).alias("line")).select(F.expr(words("line")).alias("w"))
 
 
 def literal(values: object, kind: str) -> str:
@@ -117,7 +120,8 @@ def literal(values: object, kind: str) -> str:
 
 
 class Model:
-    """The fitted classifier as SQL."""
+    """The fitted classifier as SQL. ordinary has w (words) of each line of the corpus. Its windows count once, if they are equal by
+    64 bits of hash and their known n-grams; by that hash one half is held out."""
 
     def __init__(self, spark: SparkSession, ordinary: DataFrame):
         own = [(float(FAMILIES.index(k)), t, False) for k, ts in TEMPLATES.items() for t in ts] + [(0.0, t, k % 2 == 1) for k, t in enumerate(NEAR_MISSES)]
@@ -126,15 +130,20 @@ class Model:
         own = own.select("label", "held", F.expr(grams(f"slice(all, at + 1, {WINDOW})")).alias("g"))
         own = own.withColumn("classes", F.expr(f"transform(g, x -> {hashed('x')})")).collect()  # no more than the texts above
         of = {x: k for r in own for x, k in zip(r.g, r.classes, strict=True)}
-        self.names = sorted(of)
+        self.names = sorted(of, key=lambda x: (" " in x, x))  # words first
         code = {x: k for k, x in enumerate(self.names)}
         self.templates = [{"f": int(r.label), "t": sorted(code[x] for x in r.g)} for r in own if r.label]
-        rows = ordinary.select("part", F.lit(0.0).alias("label"), F.expr(self.coded(grams("w"))).alias("g"), F.expr("2 * size(w) - 1").alias("n"))
-        mine = spark.createDataFrame([(int(r.held), r.label, [code[x] for x in r.g], len(r.g)) for r in own], "part int, label double, g array<int>, n int")
-        rows = rows.withColumn("weight", F.lit(1.0)).unionByName(mine.withColumn("weight", F.lit(20.0)))
+        rows = ordinary.select(F.expr(f"inline({self.patterns('w', of)})")).distinct().withColumn("part", F.expr("cast(pmod(h, 2) AS int)"))
+        rows = stored(rows.groupBy("part", "g", "n").agg(F.count("*").alias("times")), "patterns")
+        total = {r.part: r.times for r in rows.groupBy("part").agg(F.sum("times").alias("times")).collect()}
         names = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(code))], inputCol="names", outputCol="features").setBinary(True)
-        rows = names.transform(rows.withColumn("names", F.expr("transform(g, x -> cast(x AS string))"))).drop("names")
-        fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=30, weightCol="weight").fit(rows.where("part = 0"))
+        mine = spark.createDataFrame([(int(r.held), r.label, [code[x] for x in r.g], len(r.g)) for r in own], "part int, label double, g array<int>, n int")
+        each = min(1.0, CORPUS / total.get(0, 1))
+        #: the corpus has notices too: what a template confirms is not fitted as unknown
+        fit = rows.where("part = 0").where(f"NOT {self.confirms('g', 'n', 'true')}").groupBy("g").agg((F.sum("times") * each).alias("weight")).select(F.lit(0.0).alias("label"), "g", "weight")
+        fit = fit.unionByName(mine.where("part = 0").select("label", "g", F.lit(OWN).alias("weight")))
+        fit = names.transform(fit.withColumn("names", F.expr("transform(g, x -> cast(x AS string))"))).select("label", "weight", "features")
+        fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=30, weightCol="weight").fit(fit)
         weight, base = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
         self.families = literal([{"b": round(float(b), 5), "w": [round(float(x), 5) for x in w]} for b, w in zip(base, weight, strict=True)], "array<struct<b:double,w:array<double>>>")
         gain = (weight[1:] - weight[0]).max(0).clip(0)
@@ -147,10 +156,41 @@ class Model:
         #: what the gains of a window must add up to: below, even all families together are less probable than unknown
         self.need = float(base[0] - base[1:].max()) - math.log(len(FAMILIES) - 1) - 1e-3
         self.least = 0.0
-        held = rows.where("part = 1").select(F.expr(self.judged("g", "n")).alias("x"))
-        seen = held.where("NOT x.confirmed").agg(F.percentile("x.score", 1 - UNKNOWN_RATE).alias("p")).first()["p"]
+        near = max(1, round(total.get(1, 0) / CORPUS))  # a near miss counts as much beside a large corpus as beside a small one
+        held = rows.where("part = 1").select("g", "n", "times").unionByName(mine.where("part = 1").select("g", "n", F.lit(near).cast("long").alias("times")))
+        held = held.select("times", F.expr(self.judged("g", "n")).alias("x")).where("NOT x.confirmed")
+        #: to five digits, so that few rows are left however many windows there are
+        held = held.groupBy(F.round("x.score", 5).alias("score")).agg(F.sum("times").alias("times"))
+        seen = held.agg(F.percentile("score", 1 - UNKNOWN_RATE, F.col("times")).alias("p")).first()["p"]
         self.least = max(LEAST, min(seen or 0.0, 0.9))
 
+    def patterns(self, w: str, of: dict[str, int]) -> str:
+        """SQL of (g, n, h) of each window of a line's words w: the numbers, ascending, of its n-grams that the model knows, which are
+        coded(grams()) without a string for each pair; its n-grams; a hash of its words. `of` has the n-grams' hash classes."""
+        single = [x for x in self.names if " " not in x]
+        first, after, depth = [-1] * CLASSES, [-1] * len(single), 1
+        for k, x in enumerate(single):  # words of one class are a chain
+            first[of[x]], after[k] = k, first[of[x]]
+        for k in range(len(single)):
+            n = 1
+            while after[k] >= 0:
+                k, n = after[k], n + 1
+            depth = max(depth, n)
+        pairs = [-1] * len(single) ** 2
+        place = {x: k for k, x in enumerate(single)}
+        for k, (a, b) in ((k, x.split(" ")) for k, x in enumerate(self.names) if " " in x):
+            pairs[place[a] * len(single) + place[b]] = k
+        names, first, after, pairs = literal(single, "array<string>"), literal(first, "array<int>"), literal(after, "array<int>"), literal(pairs, "array<int>")
+        chain = ["k"]
+        while len(chain) < depth:
+            chain.append(f"get({after}, {chain[-1]})")
+        word = f"CASE WHEN k < 0 THEN -1 {' '.join(f'WHEN get({names}, {k}) = {w}[i] THEN {k}' for k in chain)} ELSE -1 END"
+        ones = f"transform(transform({w}, x -> get({first}, {hashed('x')})), (k, i) -> {word})"
+        twos = f"transform(ones, (k, i) -> CASE WHEN k < 0 OR coalesce(get(ones, i + 1), -1) < 0 THEN -1 ELSE get({pairs}, k * {len(single)} + get(ones, i + 1)) END)"
+        g = f"sort_array(array_distinct(array_remove(concat(slice(ones, s + 1, {WINDOW}), slice(twos, s + 1, {WINDOW - 1})), -1)))"
+        each = f"named_struct('g', {g}, 'n', 2 * least({WINDOW}, size({w}) - s) - 1, 'h', xxhash64(slice({w}, s + 1, {WINDOW})))"
+        return let(ones, "ones", let(twos, "twos", f"transform({starts(f'size({w})')}, s -> {each})"))
+
     def coded(self, g: str) -> str:
         """SQL of the numbers of the n-grams g that the model knows."""
         names = literal(self.names, "array<string>")
@@ -162,14 +202,18 @@ class Model:
         each = let(f"get({self.ones}, {hashed(f'{w}[i]')})", "u", f"CASE WHEN u < 0 THEN 0D ELSE u + {pair} END")
         return f"CASE WHEN size({w}) > 0 THEN transform(sequence(0, size({w}) - 1), i -> {each}) ELSE cast(array() AS array<double>) END"
 
+    def confirms(self, g: str, n: str, which: str) -> str:
+        """SQL of whether one of those templates t for which `which` holds confirms the codes g of a window of n n-grams."""
+        common = f"array_max(transform(filter({literal(self.templates, 'array<struct<f:int,t:array<int>>>')}, t -> {which}), t -> size(array_intersect(t.t, {g})) / greatest(1, least(size(t.t), {n}))))"
+        return f"coalesce({common} >= {CONFIRM}, false)"
+
     def judged(self, g: str, n: str) -> str:
         """SQL of family, score (its probability), any (that of all families) and confirmed of the codes of a window of n
         n-grams."""
         z = f"transform({self.families}, f -> f.b + aggregate({g}, 0D, (a, x) -> a + get(f.w, x)))"
         p = let(z, "z", let("array_max(z)", "m", let("transform(z, x -> exp(x - m))", "e", "transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))")))
         best = "array_max(transform(slice(p, 2, size(p)), (x, i) -> struct(x AS p, -i AS i)))"
-        common = f"array_max(transform(filter({literal(self.templates, 'array<struct<f:int,t:array<int>>>')}, t -> t.f = 1 - best.i), t -> size(array_intersect(t.t, {g})) / greatest(1, least(size(t.t), {n}))))"
-        out = f"named_struct('family', get({literal(FAMILIES, 'array<string>')}, 1 - best.i), 'score', best.p, 'any', 1 - p[0], 'confirmed', coalesce({common} >= {CONFIRM}, false))"
+        out = f"named_struct('family', get({literal(FAMILIES, 'array<string>')}, 1 - best.i), 'score', best.p, 'any', 1 - p[0], 'confirmed', {self.confirms(g, n, 't.f = 1 - best.i')})"
         return let(p, "p", let(best, "best", out))
 
     def likely(self, w: str) -> str:
@@ -201,21 +245,19 @@ def notices(docs: DataFrame) -> DataFrame:
     Every window of every whole text is searched. family is unknown where the score is below the calibrated threshold or no
     template confirms it. A window over line ends counts if it is of a family that none of its lines is found to be of.
     Null and empty texts have an empty array. Rows are judged one by one: nulls elsewhere, repeated rows and other columns
-    stay as they are, but a column named notices is replaced. An empty table gives an empty table. The sample that the model is
-    fitted on (SAMPLE windows at most, the least by hash) is bounded; everything else covers all rows.
+    stay as they are, but a column named notices is replaced. An empty table gives an empty table. The model and its threshold
+    come from all lines of all rows: each distinct window of a line is in one of two halves, by its hash.
     """
-    spark = docs.sparkSession
-    some = windows(docs.select(whole().alias("text")), "text").withColumn("h", F.xxhash64("w")).distinct().orderBy("h").limit(SAMPLE)
-    model = Model(spark, stored(some.select("w", F.expr("cast(pmod(h, 2) AS int)").alias("part")), "ordinary"))
+    model = Model(docs.sparkSession, by_line(docs.select(whole().alias("text")), "text"))
     text, w, at = unused(docs.columns, "text_of", "words_of", "starts_of")
     out = docs.withColumn(text, whole()).withColumn(w, F.expr(words(text))).withColumn(at, F.expr(model.likely(w)))
     none = "cast(array() AS array<struct<line:int,last:int,any:double,family:string,score:double,confirmed:boolean>>)"
     best = "array_max(transform({}, x -> struct(x.family <> '" + UNKNOWN + "' AS known, x.score AS score, x.family AS family, x.confirmed AS confirmed, -x.line AS line)))"
     alone = "filter(found, x -> x.line = x.last)"
-    by_line = f"transform(array_distinct(transform({alone}, x -> x.line)), l -> {best.format('filter(' + alone + ', x -> x.line = l)')})"
+    of_line = f"transform(array_distinct(transform({alone}, x -> x.line)), l -> {best.format('filter(' + alone + ', x -> x.line = l)')})"
     wrapped = f"filter(found, o -> o.line < o.last AND o.family <> '{UNKNOWN}' AND NOT exists(found, x -> x.line = x.last AND x.family = o.family AND x.line BETWEEN o.line AND o.last))"
     by_family = let(wrapped, "ws", f"transform(array_distinct(transform(ws, x -> x.family)), f -> {best.format('filter(ws, x -> x.family = f)')})")
-    rows = f"array_sort(transform(concat({by_line}, {by_family}), x -> struct(-x.line AS line, x.family AS family, x.score AS score, x.confirmed AS confirmed)))"
+    rows = f"array_sort(transform(concat({of_line}, {by_family}), x -> struct(-x.line AS line, x.family AS family, x.score AS score, x.confirmed AS confirmed)))"
     found = f"CASE WHEN size({at}) > 0 THEN {model.found(text, w, at)} ELSE {none} END"
     return out.withColumn("notices", F.expr(let(found, "found", rows))).drop(w, text, at)
 

@@ -550,6 +550,35 @@ def test_license_bound_drops_no_window(spark):
     assert any(x for _, x in got.values()) and not all(n for n, _ in got.values())
 
 
+def test_license_model_is_of_all_windows(spark, monkeypatch):
+    """The fit and the threshold know every distinct window of every line, as brute force has them."""
+    r = random.Random(9)
+    pool = "the license of under gnu general public v3 lgpl mit terms 4.0 sa by cc apache-2.0 a b c d e f".split()
+    lines = [" ".join(r.choice(pool) for _ in range(r.randint(0, 45))) for _ in range(6000)] + ["the mit license, of a... -b"] * 9
+    kept = {}
+    monkeypatch.setattr(licenses, "stored", lambda df, name: kept.setdefault(name, _common.stored(df, name)))
+    docs = spark.createDataFrame([(i, "\n".join(lines[i : i + 5])) for i in range(0, len(lines), 5)], "doc_id long, text string")
+    licenses.notices(docs)
+
+    def grams(w):
+        return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
+
+    parts = lambda w: [w[i : i + 16] for i in (range(0, len(w) - 8, 8) if len(w) > 16 else [0] if w else [])]
+    cut = lambda t: [x for x in (x.rstrip(".+-") for x in re.findall("[a-z0-9.+-]+", t.lower())) if x]
+    own = [w for t in [*(t for ts in licenses.TEMPLATES.values() for t in ts), *licenses.NEAR_MISSES] for w in parts(cut(t))]
+    names = sorted(set().union(*map(grams, own)), key=lambda x: (" " in x, x))
+    every = {tuple(w) for t in lines for w in parts(cut(t))}
+    assert len(every) > 12_000
+    want = Counter((frozenset(grams(w) & set(names)), 2 * len(w) - 1) for w in every)
+    got, halves = Counter(), Counter()
+    for x in kept["patterns"].collect():
+        assert x.g == sorted(set(x.g))
+        got[frozenset(names[k] for k in x.g), x.n] += x.times
+        halves[x.part] += x.times
+    assert got == want
+    assert set(halves) == {0, 1} and min(halves.values()) > 0.47 * len(every)
+
+
 def test_pipeline_of_odd_rows(spark):
     import corpus_pipeline
 
