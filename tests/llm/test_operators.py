@@ -550,6 +550,13 @@ def test_license_bound_drops_no_window(spark):
     assert any(x for _, x in got.values()) and not all(n for n, _ in got.values())
 
 
+def test_license_words(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab9.+- ,\nZ\u00e9") for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["-" * 300_000, "a." * 100_000, "a" + "." * 300_000 + " b"]
+    for x in spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.expr(licenses.words("text")).alias("w")).collect():
+        assert x.w == [w for w in (w.rstrip(".+-") for w in re.findall("[a-z0-9.+-]+", x.text.lower())) if w]
+
+
 def test_license_model_is_of_all_windows(spark, monkeypatch):
     """The fit and the threshold know every distinct window of every line, as brute force has them."""
     r = random.Random(9)
