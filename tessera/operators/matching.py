@@ -19,7 +19,7 @@ from tessera.operators.index import common_prefix, with_lcp
 from tessera.operators.nearest import dense, nearest
 from tessera.operators.profiles import COLUMNS
 from tessera.operators.seeds import Seeds
-from tessera.operators.seeds import heads as seed_heads
+from tessera.operators.strings import begun, few, holders, places
 from tessera.plans.common import grams, kmers, listed, neighbours, small, stored, substrings
 
 SEED = 12
@@ -50,12 +50,14 @@ def contained(docs: DataFrame, patterns: DataFrame, k: int = SEED) -> DataFrame:
 def islands(docs: DataFrame | None, reads: DataFrame, k: int = SEED, stored_seeds: Seeds | None = None) -> DataFrame:
     """read_id, doc_id, diag, s, e: all maximal exact matches of at least k characters. Ends inclusive, from 0.
 
-    k-mers of documents that no read holds never reach a shuffle if the reads' k-mers are few enough to be broadcast. With stored
-    seeds of k characters the documents themselves are not read.
+    k-mers of documents that no read holds never reach a shuffle if the reads' k-mers are few enough to be broadcast; very few are found
+    without a row for each k-mer of a document. With stored seeds of k characters the documents themselves are not read.
     """
     probes = stored(kmers(reads.select("read_id", "seq"), "seq", k, "p"), "probes")
     if stored_seeds is not None:
         hits = stored_seeds.hits(probes)
+    elif (own := few(probes.select("kmer").distinct())) is not None:
+        hits = places(docs.select("doc_id", "text"), own).withColumnRenamed("lmer", "kmer").join(small(probes), "kmer")
     else:
         hits = kmers(docs.select("doc_id", "text"), "text", k, "q").join(small(probes), "kmer")
     hits = hits.select("read_id", "doc_id", (F.col("q") - F.col("p")).alias("diag"), "p")
@@ -64,27 +66,38 @@ def islands(docs: DataFrame | None, reads: DataFrame, k: int = SEED, stored_seed
     return hits.groupBy("read_id", "doc_id", "diag", "g").agg(F.min("p").alias("s"), (F.max("p") + k - 1).alias("e")).drop("g")
 
 
-def starts(reads: DataFrame, heads: DataFrame, k: int) -> DataFrame:
-    """read_id, s, e: the longest match of at most k characters that begins at each place of a read, where there is one. heads: gram
-    (see seeds.heads).
+def starts(reads: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """read_id, s, e: the longest match of at most k characters that begins at each place of a read, where there is one. texts:
+    doc_id, text.
 
-    The places' own grams are put among the collection's in order: the longest match is the common prefix with the nearest one
-    on either side."""
+    Few grams of reads are looked up in one pass over the texts, which tells the beginnings of them that a text holds. Many are put
+    among the texts' distinct grams in order: the longest match is the common prefix with the nearest one on either side."""
     at = stored(grams(reads.select("read_id", "seq"), "seq", k, "s", "gram"), "read-grams")
-    near = neighbours(at.select("gram").distinct(), heads.select("gram").distinct(), "gram")
-    n = F.greatest(*[F.when(F.col(c).isNotNull(), common_prefix(F.col("gram"), F.col(c))).otherwise(0) for c in ("before", "after")])
-    return at.join(near.select("gram", n.alias("n")).where("n > 0"), "gram").select("read_id", "s", (F.col("s") + F.col("n") - 1).alias("e"))
-
-
-def holders_of(strings: DataFrame, heads: DataFrame) -> DataFrame:
-    """lmer, doc_id for each string (lmer, not empty) of fewer characters than the grams of heads that a document holds: the documents
-    with a gram that begins with it."""
+    asked = stored(at.select("gram").distinct(), "grams")
+    if asked.isEmpty():
+        return at.select("read_id", "s", F.col("s").alias("e"))
+    own = few(asked)
+    if own is not None:
+        begins = asked.select("gram", F.explode(F.expr("transform(sequence(1, length(gram)), n -> left(gram, n))")).alias("lmer"))
+        found = stored(begun(texts, own), "begun")
+        near = begins.join(found, "lmer").groupBy("gram").agg(F.max(F.length("lmer")).alias("n"))
+    else:
+        near = neighbours(asked, grams(texts.select("doc_id", "text"), "text", k).select("gram").distinct(), "gram")
+        n = F.greatest(*[F.when(F.col(c).isNotNull(), common_prefix(F.col("gram"), F.col(c))).otherwise(0) for c in ("before", "after")])
+        near = near.select("gram", n.alias("n")).where("n > 0")
+    return at.join(near, "gram").select("read_id", "s", (F.col("s") + F.col("n") - 1).alias("e"))
+
+
+def holders_of(strings: DataFrame, texts: DataFrame) -> DataFrame:
+    """lmer, doc_id for each string (lmer, not empty and distinct) that a document holds. texts: doc_id, text."""
+    texts = texts.select("doc_id", "text")
+    own = few(strings)
+    if own is not None:
+        return holders(texts, own)
     lengths = sorted(r.n for r in strings.select(F.length("lmer").alias("n")).distinct().collect())  # fewer than a seed's
     if not lengths:
-        return heads.select(F.col("gram").alias("lmer"), "doc_id").where("false")
-    begins = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("gram"))
-    each = heads.select("doc_id", F.explode(F.transform(begins, lambda n: F.substring(F.col("gram"), F.lit(1), n))).alias("lmer"))
-    return each.join(small(strings), "lmer").select("lmer", "doc_id").distinct()
+        return texts.select(F.col("text").alias("lmer"), "doc_id").where("false")
+    return substrings(texts, "text", lengths[-1], lengths=lengths).join(small(strings), "lmer").select("lmer", "doc_id").distinct()
 
 
 def statistics(found: DataFrame, k: int) -> DataFrame:
@@ -127,36 +140,44 @@ def factors(stats: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def matched(docs: DataFrame | None, reads: DataFrame, k: int, exact: bool, stored_seeds: Seeds | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:
-    """reads, equal reads once (seq, first), islands, factors, and the collection's grams (with exact, and k above 1)."""
+    """reads, equal reads once (seq, first), islands, factors, and the collection's texts (with exact, and k above 1)."""
     reads = stored(reads.select("read_id", F.coalesce("seq", F.lit("")).alias("seq")), "reads")
     once = stored(reads.where("seq <> ''").groupBy("seq").agg(F.min("read_id").alias("first")), "once")
     own = once.select(F.col("first").alias("read_id"), "seq")
     found = stored(islands(docs, own, k, stored_seeds), "islands")
     if not exact or k == 1:
         return reads, once, found, stored(factors(statistics(found, k), own), "factors"), None
-    heads = stored_seeds.heads if stored_seeds is not None else stored(seed_heads(docs, k), "heads")
-    matches = found.select("read_id", "s", "e").unionByName(starts(own, heads, k))
-    return reads, once, found, stored(factors(statistics(matches, 1), own), "factors"), heads
+    texts = stored_seeds.texts if stored_seeds is not None else docs
+    matches = found.select("read_id", "s", "e").unionByName(starts(own, texts, k))
+    return reads, once, found, stored(factors(statistics(matches, 1), own), "factors"), texts
+
+
+def _held(docs: DataFrame | None, reads: DataFrame, k: int, exact: bool, stored_seeds: Seeds | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """reads, equal reads once, factors; read_id, ord, doc_id of factors that islands hold; with exact, read_id, ord, lmer of factors
+    shorter than a seed, and lmer, doc_id of what holds them."""
+    reads, once, found, cut, texts = matched(docs, reads, k, exact, stored_seeds)
+    own = once.select(F.col("first").alias("read_id"), "seq")
+    brief = f"hit AND e - s + 1 < {k}"
+    # no island that ends at e or after it begins before s, so that those around a factor begin with it
+    inside = cut.where("hit" if texts is None else f"hit AND NOT ({brief})").join(found.select("read_id", "doc_id", "s", F.col("e").alias("i_e")), ["read_id", "s"]).where("e <= i_e")
+    inside = inside.select("read_id", "ord", "doc_id")
+    if texts is None:
+        return reads, once, cut, inside, None, None
+    strings = cut.where(brief).join(own, "read_id").select("read_id", "ord", F.expr("substring(seq, s + 1, e - s + 1)").alias("lmer"))
+    strings = stored(strings, "short-factors")
+    return reads, once, cut, inside, strings, holders_of(stored(strings.select("lmer").distinct(), "short-strings"), texts)
 
 
 def listing(docs: DataFrame | None, reads: DataFrame, k: int = SEED, exact: bool = True, classes: DataFrame | None = None, stored_seeds: Seeds | None = None) -> DataFrame:
     """read_id, ord, s, e, docs (array, ascending) for each factor of each read.
 
     docs: doc_id, text; reads: read_id, seq, with distinct read_ids. Matches of k characters and more are found by seeds. Shorter ones
-    are found among the collection's distinct strings of k characters, unless `exact` is false: then they count as none.
+    are found among the collection's strings of fewer characters, unless `exact` is false: then they count as none.
     stored_seeds, of k characters too, stand for docs. classes: doc_id, class - then docs lists classes. Equal reads are matched
     once. Null and empty reads have no factor.
     """
-    reads, once, found, cut, heads = matched(docs, reads, k, exact, stored_seeds)
-    own = once.select(F.col("first").alias("read_id"), "seq")
-    # no island that ends at e or after it begins before s, so that those around a factor begin with it
-    inside = cut.where("hit").join(found.select("read_id", "doc_id", "s", F.col("e").alias("i_e")), ["read_id", "s"]).where("e <= i_e")
-    holders = inside.select("read_id", "ord", "doc_id")
-    if heads is not None:
-        strings = cut.where(f"hit AND e - s + 1 < {k}").join(own, "read_id").select("read_id", "ord", F.expr("substring(seq, s + 1, e - s + 1)").alias("lmer"))
-        strings = stored(strings, "short-factors")
-        held = holders_of(stored(strings.select("lmer").distinct(), "short-strings"), heads)
-        holders = holders.unionByName(strings.join(held, "lmer").select("read_id", "ord", "doc_id"))
+    reads, once, cut, inside, strings, held = _held(docs, reads, k, exact, stored_seeds)
+    holders = inside if strings is None else inside.unionByName(strings.join(held, "lmer").select("read_id", "ord", "doc_id"))
     if classes is not None:
         holders = holders.join(small(classes), "doc_id").select("read_id", "ord", F.col("class").alias("doc_id"))
     sets = holders.groupBy("read_id", "ord").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
@@ -165,6 +186,18 @@ def listing(docs: DataFrame | None, reads: DataFrame, k: int = SEED, exact: bool
     return _for_all(out, reads, once).select("read_id", "ord", "s", "e", "docs")
 
 
+def counts(docs: DataFrame | None, reads: DataFrame, k: int = SEED, exact: bool = True, stored_seeds: Seeds | None = None) -> DataFrame:
+    """read_id, ord, s, e, n_docs, first_doc, last_doc: of the same listing how many documents hold each factor, and the first and the last
+    of them. No list is made, and a short string's documents are counted once, however many factors it is."""
+    reads, once, cut, inside, strings, held = _held(docs, reads, k, exact, stored_seeds)
+    many = (F.count("doc_id").cast("int").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    own = inside.distinct().groupBy("read_id", "ord").agg(*many)
+    if strings is not None:
+        own = own.unionByName(strings.join(stored(held.groupBy("lmer").agg(*many), "counts"), "lmer").drop("lmer"))
+    out = stored(cut.join(own, ["read_id", "ord"], "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0))), "counted")
+    return _for_all(out, reads, once).select("read_id", "ord", "s", "e", "n_docs", "first_doc", "last_doc")
+
+
 def _for_all(out: DataFrame, reads: DataFrame, once: DataFrame) -> DataFrame:
     """Rows of equal reads once, for each of them."""
     named = reads.join(once, "seq").select("read_id", F.col("first"))

@@ -27,6 +27,11 @@ class Seeds:
     heads: DataFrame
     k: int
 
+    @property
+    def texts(self) -> DataFrame:
+        """doc_id, text: rows of which one holds each string of at most k characters that a document holds."""
+        return self.heads.select("doc_id", F.col("gram").alias("text"))
+
     def hits(self, probes: DataFrame) -> DataFrame:
         """Rows of probes (kmer, ...) with doc_id and q of each place."""
         salted = probes.join(small(self.hot), "kmer", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
