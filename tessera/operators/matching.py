@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tessera.operators.index import common_prefix, with_lcp
-from tessera.operators.nearest import dense, nearest
+from tessera.operators.nearest import nearest
 from tessera.operators.profiles import COLUMNS
 from tessera.operators.seeds import Seeds
 from tessera.operators.strings import begun, few, holders, places
@@ -218,9 +218,7 @@ def profiled_listing(sequences: DataFrame, sa: DataFrame, n_docs: int, reads: Da
     inside = cut.where("hit").join(found.select("read_id", F.col("doc_id").alias("seq_id"), "s", F.col("e").alias("i_e"), (F.col("s") + F.col("diag")).alias("pos")), ["read_id", "s"]).where("e <= i_e")
     first = inside.join(sa.select("seq_id", "pos", "row"), ["seq_id", "pos"]).groupBy("read_id", "ord").agg(F.min("row").alias("row"))
     first = stored(first, "first-suffixes")
-    kept = nearest(sa, stored(first.select("row").distinct(), "asked"), kind, columns)
-    if kind == "lens":
-        kept = kept.select("row", dense(F.col("lens"), n_docs).alias("lens"))
+    kept = nearest(sa, stored(first.select("row").distinct(), "asked"), "dense" if kind == "lens" else kind, n_docs if kind == "lens" else columns)
     out = cut.join(first.join(kept, "row").drop("row"), ["read_id", "ord"], "left")
     return _for_all(out, reads, once).select("read_id", "ord", "s", "e", *[c for c in kept.columns if c != "row"])
 

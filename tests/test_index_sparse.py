@@ -98,3 +98,18 @@ def test_top_is_padded_with_documents_of_length_0(spark):
     df = spark.createDataFrame([([(5, 9), (2, 0)],), ([],), ([(4, 1), (4, 2), (3, 7), (1, 0)],)], "top array<struct<len:int,doc:int>>")
     got = [[tuple(p) for p in r[0]] for r in df.select(P.padded(F.col("top"), 10, 3)).collect()]
     assert got == [[(5, 9), (2, 0), (0, 1)], [(0, 0), (0, 1), (0, 2)], [(4, 1), (4, 2), (3, 7)]]
+
+
+def test_dense_lengths_leave_a_task_in_small_batches(spark, sequences, monkeypatch):
+    import pyarrow as pa
+
+    sa = I.with_lcp(I.suffixes(spark.createDataFrame(sequences, "seq_id long, doc_id int, seq string")).cache()).cache()
+    ask = sa.select("row").where("row % 3 = 0")
+    dense = {x.row: list(x.lens) for x in N.nearest(sa, ask, "dense", 9).collect()}
+    assert dense == {x.row: [dict((p.doc, p.len) for p in x.lens).get(d, 0) for d in range(9)] for x in N.nearest(sa, ask).collect()}
+    monkeypatch.setattr(N, "AT_ONCE", 50)
+    rows = pa.RecordBatch.from_pylist([{"part": 0, "row": i, "doc": i % 25, "len": 9, "gap": 9} for i in range(10_000)])
+    for kind, most in (("dense", 75), ("lens", 50), ("tax", 50), ("top", 50)):
+        out = list(N._pass(kind, 25)([rows]))
+        assert sum(b.num_rows for b in out) == 10_000
+        assert max(len(c.flatten()) for b in out for c in b.columns[1:]) <= most  # before: up to 250,000 pairs, each an object
