@@ -26,7 +26,7 @@ from tessera.sources.sequences import read_collection, read_doc_taxa, read_file_
 
 MAX_DOCS = 65_535
 #: Tables of every index; ftab may be one more.
-TABLES = ["sequences", "members", "flagged", "profiles", "seeds/places", "seeds/hot", "seeds/heads"]
+TABLES = ["sequences", "members", "flagged", "profiles", "seeds/places", "seeds/hot", "seeds/short"]
 #: Symbols of a seed over the minimizer alphabet, unless told otherwise: each stands for several letters.
 SYMBOL_SEED = 4
 

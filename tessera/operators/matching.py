@@ -53,9 +53,9 @@ def islands(docs: DataFrame | None, reads: DataFrame, k: int = SEED, stored_seed
     k-mers of documents that no read holds never reach a shuffle if the reads' k-mers are few enough to be broadcast; very few are found
     without a row for each k-mer of a document. With stored seeds of k characters the documents themselves are not read.
     """
-    probes = stored(kmers(reads.select("read_id", "seq"), "seq", k, "p"), "probes")
+    probes = stored(kmers(reads.select("read_id", "seq"), "seq", k, "p"), "probes") if stored_seeds is None else None
     if stored_seeds is not None:
-        hits = stored_seeds.hits(probes)
+        hits = stored_seeds.hits(reads.select("read_id", "seq"))
     elif (own := few(probes.select("kmer").distinct())) is not None:
         hits = places(docs.select("doc_id", "text"), own).withColumnRenamed("lmer", "kmer").join(small(probes), "kmer")
     else:

@@ -14,6 +14,8 @@ BROADCAST_ROWS = 200_000
 CHUNK = 256
 #: Consecutive rows that one task numbers or sums.
 BUCKET_ROWS = 1 << 20
+#: Files of buckets that a task keeps open; with more buckets than that Spark sorts its rows by them.
+WRITERS = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -140,17 +142,24 @@ def listed(ids: Column) -> Column:
 
 
 def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> None:
-    """df as a Parquet table under path in buckets by the keys, a sorted file for each."""
+    """df as a Parquet table under path in buckets by the keys. A task writes a file of its own for each, so that nothing is shuffled,
+    and up to WRITERS of them at once, so that nothing is sorted."""
     name = f"tessera_{uuid.uuid4().hex}"
-    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
-    df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay
+    spark, at_once = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(at_once)
+    spark.conf.set(at_once, min(buckets, WRITERS) + 1)  # the last one makes Spark sort
+    try:
+        df.write.format("parquet").bucketBy(buckets, *keys).option("compression", "zstd").option("path", path).saveAsTable(name)
+    finally:
+        spark.conf.set(at_once, before)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
 
 
 def read_bucketed(spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int) -> DataFrame:
     """The table that write_bucketed wrote: a join on its keys needs no shuffle of it. The catalog knows it only while it is resolved."""
     name = f"tessera_{uuid.uuid4().hex}"
     by, at = ", ".join(keys), path.replace("'", "\\'")
-    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{at}'")
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{at}'")
     df = spark.table(name)
     df.schema  # resolved before the name goes  # noqa: B018
     spark.sql(f"DROP TABLE {name}")

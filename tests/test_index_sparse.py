@@ -113,3 +113,21 @@ def test_dense_lengths_leave_a_task_in_small_batches(spark, sequences, monkeypat
         out = list(N._pass(kind, 25)([rows]))
         assert sum(b.num_rows for b in out) == 10_000
         assert max(len(c.flatten()) for b in out for c in b.columns[1:]) <= most  # before: up to 250,000 pairs, each an object
+
+
+@pytest.mark.parametrize("k", [1, 3, 6, 12])
+def test_stored_seeds_keep_one_place_of_a_few(spark, tmp_path, k):
+    r = random.Random(k)
+    word = lambda n: "".join(r.choice("abé\U0001f600") for _ in range(n))
+    docs = {i: word(r.choice([0, 3, 11, 12, 13, 90, 400])) for i in range(25)} | {25: word(4000)}
+    reads = {i: word(r.randint(1, 8)) + t[a : a + r.randint(1, 40)] + word(3) for i, t in enumerate(docs.values()) for a in [r.randint(0, len(t))]} | {99: docs[25][1200:1500]}
+    df = spark.createDataFrame([*docs.items(), (26, None)], "doc_id long, text string")
+    seeds = S.read(spark, str(tmp_path / "seeds"), **S.write(df, str(tmp_path / "seeds"), k))
+    assert seeds.places.count() <= sum(-(-len(t) // S.step(k)) for t in docs.values())  # before: a row for each character, and another in heads
+    q = spark.createDataFrame(list(reads.items()), "read_id long, seq string")
+    want = sorted((i, p, d, x) for i, s in reads.items() for p in range(len(s) - k + 1) for d, t in docs.items() for x in range(len(t)) if t.startswith(s[p : p + k], x))
+    assert sorted((x.read_id, x.p, x.doc_id, x.q) for x in seeds.hits(q).collect()) == want
+    held = {t[i : i + n] for t in docs.values() for n in range(1, k + 1) for i in range(len(t) - n + 1)}
+    assert {x.text[i : i + n] for x in seeds.texts.collect() for n in range(1, k + 1) for i in range(len(x.text) - n + 1)} == held
+    key = lambda rows: sorted(map(str, rows.collect()))
+    assert k == 1 or key(M.listing(None, q, k, stored_seeds=seeds)) == key(M.listing(df, q, k))
